@@ -11,6 +11,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,20 @@ def build_session(app: str = "lawstrata", cpus: int | str = "*", shuffle_partiti
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once for each session; they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lawstrata_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="lawstrata-")) / "lawstrata.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, str(Path("lawstrata") / file.relative_to(root)))
+    sc.addPyFile(str(target))
+    sc._lawstrata_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, or a temporary one that is noted in the session where none is set."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
@@ -55,6 +71,7 @@ class Scratch:
     """Tables written for one run of an operator, removed when the driver ends or on ``drop``."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, self.path)
