@@ -3,8 +3,10 @@
 A bounded sample gives a neighbour graph, which is cut into balanced parts: recursive bisection,
 each half refined by swaps that lower the number of cut edges. A small softmax classifier learns
 the parts of a vector's neighbourhood. Every vector is indexed in its most probable part; a query
-is routed to its most probable parts, whose vectors are reranked by exact cosine. The number of
-parts probed is the least that reaches the wanted recall on the sample.
+is routed to the parts that are probable enough, whose vectors are reranked by cosine. How probable
+is enough is set so that the wanted recall is reached on the sample.
+
+Vectors travel as unit vectors in 16-bit fixed point, which leaves cosines right to about 0.00005.
 
 Equal vectors (up to length) are indexed once. A part too large for a task is cut into blocks of
 index and query rows; each pair of blocks is its own piece of work.
@@ -33,19 +35,24 @@ GRAPH_K = 10
 
 @dataclass
 class Router:
-    """The classifier: logits are ``x @ weights + bias``; a query goes to its ``probes`` best parts."""
+    """The classifier: a vector's best part is where it is indexed, its parts of at least ``least`` are searched."""
 
     weights: np.ndarray
     bias: np.ndarray
-    probes: int
+    least: float
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        z = x @ self.weights + self.bias
+        z = np.exp(z - z.max(1, keepdims=True))
+        return z / z.sum(1, keepdims=True)
 
-    def parts(self, x: np.ndarray, n: int) -> np.ndarray:
-        logits = x @ self.weights + self.bias
-        n = min(n, logits.shape[1])
-        if n == 1:
-            return logits.argmax(1)[:, None]
-        best = np.argpartition(-logits, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(best, np.argsort(-np.take_along_axis(logits, best, 1), axis=1, kind="stable"), 1)
+    def parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best part of each row; (row, part) of all others to be searched."""
+        p = self.probabilities(x)
+        best = p.argmax(1)
+        p[np.arange(len(x)), best] = -1.0
+        row, part = np.nonzero(p >= self.least)
+        return best, row, part
 
 
 def exact_neighbours(x: np.ndarray, k: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +114,7 @@ def train_router(x: np.ndarray, expected: int, k: int, recall: float, floor: flo
     depth = max(0, int(np.floor(np.log2(want))))
     parts = 1 << depth
     if parts == 1:
-        return Router(np.zeros((x.shape[1], 1), np.float32), np.zeros(1, np.float32), 1)
+        return Router(np.zeros((x.shape[1], 1), np.float32), np.zeros(1, np.float32), 1.0)
     graph, sim = exact_neighbours(x, GRAPH_K)
     part = balanced_parts(x, graph, depth)
     target = np.zeros((len(x), parts), np.float32)
@@ -118,12 +125,13 @@ def train_router(x: np.ndarray, expected: int, k: int, recall: float, floor: flo
         np.add.at(target, (rows, part[graph[:, j]]), weight[:, j])
     target /= target.sum(1, keepdims=True)
     rng = np.random.default_rng(11)
+    held = len(x) // 8  # not trained on; they say how probable is enough
     w, b = np.zeros((x.shape[1], parts), np.float32), np.zeros(parts, np.float32)
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
     t = 0
     for epoch in range(24):
-        order = rng.permutation(len(x))
-        for s in range(0, len(x), 512):
+        order = held + rng.permutation(len(x) - held)
+        for s in range(0, len(order), 512):
             own = order[s : s + 512]
             z = x[own] @ w + b
             z = np.exp(z - z.max(1, keepdims=True))
@@ -133,19 +141,33 @@ def train_router(x: np.ndarray, expected: int, k: int, recall: float, floor: flo
                 m += 0.1 * (d - m)
                 v += 0.001 * (d * d - v)
                 p -= (0.15 if epoch < 16 else 0.03) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    router = Router(w, b, 1)
-    order = router.parts(x, parts)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(parts)[None, :].repeat(len(x), 0), 1)
-    near = graph[:, :k]
-    counted = sim[:, :k] >= floor
-    if not counted.any():
-        counted[:] = True
-    seen = np.take_along_axis(rank, order[near, 0], 1)[counted]
-    router.probes = int(np.searchsorted(np.cumsum(np.bincount(seen, minlength=parts)) / len(seen), recall) + 1)
+    router = Router(w, b, 1.0)
+    p = router.probabilities(x)
+    best = p.argmax(1)
+    near = graph[:held, :k]
+    counted = sim[:held, :k] >= floor
+    if counted.sum() < 50:  # too few to judge by
+        near, counted = graph[:, :k], sim[:, :k] >= (floor if (sim[:, :k] >= floor).sum() >= 50 else -1)
+    own = np.arange(len(near))
+    at = np.take_along_axis(p[own], best[near], 1)
+    at[best[near] == best[own, None]] = 1.0
+    # capped below so that no query is sent everywhere for a few odd ones
+    router.least = float(max(np.sort(at[counted])[int((1 - recall) * counted.sum())], 1e-4))
     return router
 
 
+def packed(x: np.ndarray) -> pa.Array:
+    """Unit vectors in 16-bit fixed point."""
+    data = np.ascontiguousarray(np.rint(x * 32767.0).astype("<i2"))
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (2 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def unpacked(column: pa.Array, dim: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(-1, dim).astype(np.float32)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, unit vectors) of the usable vectors: all numbers there and finite, not all zero."""
     ok = np.array([v is not None for v in column.is_valid().to_pylist()], bool) & np.asarray(column.is_valid())
@@ -179,7 +201,7 @@ def _keys(dim: int):
 
 
 def _route(dim: int, router: Router | None):
-    """(part, side, v, vec) rows: an index row (side 0) in the best part, query rows (side 1) in the others probed."""
+    """(part, side, v, vec) rows: an index row (side 0, or 1 if it also asks) in the best part, query rows (side 2) in the others searched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task are sent once
@@ -190,16 +212,11 @@ def _route(dim: int, router: Router | None):
             x, v, ask = x[new], v[new], np.asarray(batch.column("ask").take(pa.array(at[new])), bool)
             if not len(x):
                 continue
-            parts = np.zeros((len(x), 1), np.int64) if router is None else router.parts(x, router.probes)
-            raw = np.ascontiguousarray(x).view(f"V{4 * dim}").ravel()
-            cols: list[list] = [[], [], [], []]
-            for j in range(parts.shape[1]):
-                own = np.arange(len(x)) if j == 0 else np.flatnonzero(ask)
-                cols[0].append(parts[own, j])
-                cols[1].append(np.where(ask[own], 2, 0) if j == 0 else np.ones(len(own), np.int64))
-                cols[2].append(v[own])
-                cols[3].extend(raw[own].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0]), pa.int32()), pa.array(np.concatenate(cols[1]), pa.int32()), pa.array(np.concatenate(cols[2]), pa.int64()), pa.array([bytes(r) for r in cols[3]], pa.binary())], names=["part", "side", "v", "vec"])
+            best, row, part = (np.zeros(len(x), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)) if router is None else router.parts(x)
+            keep = ask[row]
+            row, part = row[keep], part[keep]
+            side = np.concatenate([np.where(ask, 1, 0), np.full(len(row), 2)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([best, part]), pa.int32()), pa.array(side, pa.int32()), pa.array(np.concatenate([v, v[row]]), pa.int64()), packed(np.concatenate([x, x[row]]))], names=["part", "side", "v", "vec"])
 
     return run
 
@@ -250,7 +267,7 @@ def _rerank(dim: int, k: int, floor: float):
                     yield from flush()
                     cell, xs, vs, asks, index = cells[s], [], [], [], None
                 part = batch.slice(s, e - s)
-                x = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float32).reshape(-1, dim)
+                x = unpacked(part.column("vec"), dim)
                 side, v = np.asarray(part.column("side")), np.asarray(part.column("v"))
                 inner = side < 2
                 if inner.any():
@@ -304,7 +321,6 @@ def most_similar(df: DataFrame, id_col: str, vector_col: str, k: int, order_col:
     routed = src.select("id", "vec", "ask").mapInArrow(_route(dim, router), "part int, side int, v bigint, vec binary")
     if has_stale:
         routed = routed.join(stale, "v", "left_anti")
-    routed = routed.withColumn("side", F.expr("case side when 0 then 0 when 2 then 1 else 2 end"))
     parts = 1 if router is None else len(router.bias)
     if total <= INDEX_BLOCK:
         cells = routed.select(F.col("part").cast("bigint").alias("cell"), "side", "v", "vec")
@@ -329,9 +345,9 @@ def _sizes(dim: int, router: Router | None):
         for batch in batches:
             _, x = unit_rows(batch.column("vec"), dim)
             if len(x):
-                p = np.zeros((len(x), 1), np.int64) if router is None else router.parts(x, router.probes)
-                index += np.bincount(p[:, 0], minlength=parts)
-                query += np.bincount(p[:, 1:].ravel(), minlength=parts)
+                best, _, part = (np.zeros(len(x), np.int64), None, np.empty(0, np.int64)) if router is None else router.parts(x)
+                index += np.bincount(best, minlength=parts)
+                query += np.bincount(part, minlength=parts)
         for side, counts in ((0, index), (1, query)):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), pa.array(np.full(parts, side), pa.int32()), pa.array(counts)], names=["part", "side", "n"])
 

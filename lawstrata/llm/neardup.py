@@ -85,7 +85,7 @@ def _close(least_equal: int):
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sa", "sb"))
-            yield batch.filter(pa.array((a == b).sum(1) >= least_equal)).select(["grp", "a", "b"])
+            yield batch.filter(pa.array((a == b).sum(1) >= least_equal)).select(["a", "b"])
 
     return run
 
@@ -105,7 +105,7 @@ def _verify(size: int, threshold: float):
             rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True)
             sim = np.array([jaccard(of(a, ta), of(b, tb)) for a, b, ta, tb in rows], np.float64)
             part = batch.append_column("similarity", pa.array(sim)).filter(pa.array(sim >= threshold, pa.bool_()))
-            yield part.select(["grp", "a", "b", "similarity"])
+            yield part.select(["a", "b", "similarity"])
 
     return run
 
@@ -125,35 +125,36 @@ def _patterns() -> Column:
         for m in range(WIDTH):
             first = 2 * WIDTH * s + 1
             rest = F.concat(F.substring("sig", first, 2 * m), F.substring("sig", first + 2 * m + 2, 2 * (WIDTH - 1 - m)))
-            keys.append(F.xxhash64(F.lit(s * WIDTH + m), "grp", rest))
+            keys.append(F.xxhash64(F.lit(s * WIDTH + m), "g", rest))
     return F.explode(F.array(*keys))
 
 
 def _matches(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct pairs (grp, a, b), a < b, of classes that share a pattern."""
-    table = prints.select("cid", "grp", _patterns().alias("key"))
-    shared = table.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("a"), F.max("cid").alias("b"), F.first("grp").alias("grp"))
+    """Distinct pairs (a, b), a < b, of classes that share a pattern."""
+    table = prints.select("cid", _patterns().alias("key"))
+    # numbers only, so that the aggregate hashes and does not sort
+    shared = table.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("a"), F.max("cid").alias("b"))
     shared = scratch.cut(shared.where("n > 1"), "shared")
-    two = shared.where("n = 2").select("grp", "a", "b")
+    two = shared.where("n = 2").select("a", "b")
     many = shared.where("n > 2").select("key", "n")
     cell = F.pmod("key", F.lit(CELLS))
     bitmap = many.withColumn("c", cell).groupBy(F.shiftright("c", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("bits"))
     rows = table.withColumn("c", cell).withColumn("word", F.shiftright("c", 6)).join(F.broadcast(bitmap), "word").where("shiftrightunsigned(bits, cast(c % 64 as int)) & 1 = 1")
-    rows = rows.select("key", "cid", "grp").join(many, "key")
+    rows = rows.select("key", "cid").join(many, "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.groupBy("grp", "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(F.collect_list(F.struct("blk", "cid")).alias("m"))
+    rows = rows.groupBy("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(F.collect_list(F.struct("blk", "cid")).alias("m"))
     left = F.filter("m", lambda x: x["blk"] == F.col("i"))
     right = F.filter("m", lambda x: x["blk"] == F.col("j"))
     pairs = F.flatten(F.transform(left, lambda x: F.transform(F.filter(right, lambda y: (F.col("i") != F.col("j")) | (x["cid"] < y["cid"])), lambda y: F.struct(F.least(x["cid"], y["cid"]).alias("a"), F.greatest(x["cid"], y["cid"]).alias("b")))))
-    return two.union(rows.select("grp", F.explode(pairs).alias("p")).select("grp", "p.a", "p.b")).distinct()
+    return two.union(rows.select(F.explode(pairs).alias("p")).select("p.a", "p.b")).distinct()
 
 
 def near_duplicate_classes(df: DataFrame, key: Column, text: Column, order: Column | None = None, group: Column | None = None, threshold: float = 0.8, shingle: int = 5, least_words: int = 1) -> tuple[DataFrame, DataFrame, Scratch]:
-    """(members, links): members has grp, key, cid (class of equal shingle sets); links has grp, a, b, similarity.
+    """(members, links): members has grp, key, cid (class of equal shingle sets); links has a, b, similarity.
 
     ``links`` are the pairs of different classes, a < b, of one group whose similarity reaches
-    ``threshold``. Keys are compared as given; of a repeated key the row with the greatest ``order``
+    ``threshold``; a class belongs to one group. Keys are compared as given; of a repeated key the row with the greatest ``order``
     counts, ties go to the row with the greatest class. Null keys, and texts that are null, empty or
     have fewer than ``least_words`` words or no shingle, are in neither table. Texts are used whole.
     ``threshold`` must be at least 0.5: below, the tables would miss too much.
@@ -165,20 +166,20 @@ def near_duplicate_classes(df: DataFrame, key: Column, text: Column, order: Colu
     src = df.select((F.lit("") if group is None else group).alias("grp"), key.alias("key"), (F.lit(0) if order is None else order).alias("ord"), text.alias("text")).where("key is not null")
     prints = src.mapInArrow(_prints(shingle, least_words), _schema(src, "grp", "key", "ord", cid="bigint", sig="binary", text="string"))
     now = prints.groupBy("grp", "key").agg(F.max_by(F.struct("cid", "sig", "text"), F.struct("ord", "cid")).alias("r"))
-    docs = scratch.cut(now.where("r.cid is not null").select("grp", "key", "r.*"), "docs")
-    classes = docs.select("grp", "cid", "sig").groupBy("grp", "cid").agg(F.first("sig").alias("sig"))
+    docs = scratch.cut(now.where("r.cid is not null").select("grp", "key", F.xxhash64("grp", "r.cid").alias("cid"), F.xxhash64("grp").alias("g"), "r.sig", "r.text"), "docs")
+    classes = docs.groupBy("cid").agg(F.first("g").alias("g"), F.first("sig").alias("sig"))
     classes = scratch.cut(classes, "classes")
     pairs = _matches(classes, scratch)
-    side = lambda df, x, c: df.select("grp", F.col("cid").alias(x), F.col(c).alias(f"{c[0]}{x}"))
-    near = pairs.join(side(classes, "a", "sig"), ["grp", "a"]).join(side(classes, "b", "sig"), ["grp", "b"]).select("grp", "a", "b", "sa", "sb")
+    side = lambda df, x, c: df.select(F.col("cid").alias(x), F.col(c).alias(f"{c[0]}{x}"))
+    near = pairs.join(side(classes, "a", "sig"), "a").join(side(classes, "b", "sig"), "b").select("a", "b", "sa", "sb")
     # 4.4 standard deviations below the expected number of equal symbols
     floor = int(SYMBOLS * threshold - 4.4 * (SYMBOLS * threshold * (1 - threshold)) ** 0.5) if threshold < 0.9 else int(SYMBOLS * threshold * 0.75)
-    near = scratch.cut(near.mapInArrow(_close(floor), _schema(pairs, "grp", "a", "b")), "near")
-    held = near.select("grp", F.col("a").alias("cid")).union(near.select("grp", "b")).distinct()
-    texts = docs.select("grp", "cid", "text").join(held, ["grp", "cid"], "left_semi").groupBy("grp", "cid").agg(F.min("text").alias("text"))
+    near = scratch.cut(near.mapInArrow(_close(floor), _schema(pairs, "a", "b")), "near")
+    held = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
+    texts = docs.select("cid", "text").join(held, "cid", "left_semi").groupBy("cid").agg(F.min("text").alias("text"))
     texts = scratch.cut(texts, "texts")
-    both = near.join(side(texts, "a", "text"), ["grp", "a"]).join(side(texts, "b", "text"), ["grp", "b"]).select("grp", "a", "b", "ta", "tb")
-    links = both.mapInArrow(_verify(shingle, threshold), _schema(near, "grp", "a", "b", similarity="double"))
+    both = near.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b").select("a", "b", "ta", "tb")
+    links = both.mapInArrow(_verify(shingle, threshold), _schema(near, "a", "b", similarity="double"))
     return docs.select("grp", "key", "cid"), scratch.cut(links, "links"), scratch
 
 
@@ -190,13 +191,12 @@ def near_duplicate_pairs(df: DataFrame, key: Column, text: Column, order: Column
     smaller class is written out in full.
     """
     members, links, scratch = near_duplicate_classes(df, key, text, order, group, **options)
-    size = members.groupBy("grp", "cid").agg(F.count("*").alias("n"), F.min("key").alias("least"))
-    m = scratch.cut(members.join(size, ["grp", "cid"]), "members")
-    out = m.where((F.col("n") <= spell_out) | (F.col("key") == F.col("least"))).select("grp", "cid", "key")
-    of = lambda c: out.select("grp", F.col("cid").alias(c), F.col("key").alias(f"k{c}"))
-    across = links.select("grp", "a", "b").join(of("a"), ["grp", "a"]).join(of("b"), ["grp", "b"]).select("grp", "ka", "kb")
-    copies = m.where((F.col("n") > 1) & (F.col("n") <= spell_out)).select("grp", "cid", "key")
-    within = copies.select("grp", "cid", F.col("key").alias("ka")).join(copies.select("grp", "cid", F.col("key").alias("kb")), ["grp", "cid"]).where("ka < kb").select("grp", "ka", "kb")
+    size = members.groupBy("cid").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+    m = scratch.cut(members.join(size, "cid"), "members")
+    out = m.where((F.col("n") <= spell_out) | (F.col("key") == F.col("least")))
+    across = links.select("a", "b").join(out.select(F.col("cid").alias("a"), "grp", F.col("key").alias("ka")), "a").join(out.select(F.col("cid").alias("b"), F.col("key").alias("kb")), "b").select("grp", "ka", "kb")
+    copies = m.where((F.col("n") > 1) & (F.col("n") <= spell_out)).select("cid", "grp", "key")
+    within = copies.select("cid", "grp", F.col("key").alias("ka")).join(copies.select("cid", F.col("key").alias("kb")), "cid").where("ka < kb").select("grp", "ka", "kb")
     star = m.where((F.col("n") > spell_out) & (F.col("key") != F.col("least"))).select("grp", F.col("least").alias("ka"), F.col("key").alias("kb"))
     return across.union(within).union(star).select("grp", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
 
@@ -209,12 +209,11 @@ def near_duplicate_groups(df: DataFrame, key: Column, text: Column, order: Colum
     different classes it is linked with.
     """
     members, links, scratch = near_duplicate_classes(df, key, text, order, group, **options)
-    node = lambda c: F.xxhash64("grp", c)
-    comp = connected_components(links.select(node("a").alias("x"), node("b").alias("y")), "x", "y", scratch)
-    degree = links.select("grp", F.col("a").alias("cid")).union(links.select("grp", "b")).groupBy("grp", "cid").agg(F.count("*").alias("n_links"))
-    classes = members.groupBy("grp", "cid").agg(F.count("*").alias("n_copies"), F.min("key").alias("least")).withColumn("node", node("cid"))
-    classes = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(degree, ["grp", "cid"], "left")
+    comp = connected_components(links, "a", "b", scratch)
+    degree = links.select(F.col("a").alias("cid")).union(links.select("b")).groupBy("cid").agg(F.count("*").alias("n_links"))
+    classes = members.groupBy("cid").agg(F.count("*").alias("n_copies"), F.min("key").alias("least"))
+    classes = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).join(degree, "cid", "left")
     classes = scratch.cut(classes, "groups")
     name = classes.groupBy("comp").agg(F.min("least").alias("group_id"))
-    classes = classes.join(name, "comp").select("grp", "cid", "group_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    return members.join(classes, ["grp", "cid"]).select("grp", "key", "group_id", "n_copies", "n_links")
+    classes = classes.join(name, "comp").select("cid", "group_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return members.join(classes, "cid").select("grp", "key", "group_id", "n_copies", "n_links")

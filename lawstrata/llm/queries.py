@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lawstrata.llm import sql
 from lawstrata.llm.knn import most_similar
+from lawstrata.llm.mixing import mix_sources
 from lawstrata.llm.neardup import near_duplicate_groups, near_duplicate_pairs
+from lawstrata.llm.packing import fill_report, pack_texts
 from lawstrata.sources.tables import table
 
 
@@ -34,7 +36,7 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of points with cosine 0.80 or more, one among the other's five most similar."""
-    near = most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96, min_cosine=0.80)
+    near = most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96, min_cosine=0.80, recall=0.98)
     return near.select(F.least("id", "neighbour").alias("point_a"), F.greatest("id", "neighbour").alias("point_b")).distinct()
 
 
@@ -48,5 +50,31 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("id").alias("point_id"), "neighbour", F.col("rank").alias("neighbour_rank"), F.round("cosine", 4).alias("cosine"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_neighbours)}
+def p7_bins(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every text, for each capacity."""
+    packed = pack_texts(table(spark, folder, "documents"), "doc_id", F.col("text"), table(spark, folder, "pack_capacity"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are."""
+    return fill_report(p7_bins(spark, folder), table(spark, folder, "pack_capacity"))
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("source"), table(spark, folder, "mix_target"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of each mix, their repeats, and their source's actual share."""
+    chosen, shares = _mixed(spark, folder)
+    return chosen.withColumnRenamed("id", "doc_id").join(shares.select("mix_name", "source", "target_share", "actual_share"), ["mix_name", "source"])
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source in each mix."""
+    return _mixed(spark, folder)[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_neighbours, p7_bins, p7_fill, p8_mix, p8_shares)}
 SQL = sql.SQL
