@@ -2,10 +2,11 @@
 
 The tokens of each source form one line, cut into blocks of fixed length. A mix is a row of slots,
 each to be filled by one block; slots are dealt to output shards, and every shard draws from a
-multinomial law how many of its slots each source gets. The slots of a source are numbered through
-all shards, and a slot's number is mapped to a block by a pseudorandom permutation of the source's
-blocks: after each pass through all of them, the next pass takes another permutation. Blocks are then
-joined to documents by their index.
+multinomial law how many of its slots each source gets. What the draws leave short of a source's
+number, a last shard makes up; what they exceed it by is left out, so that shares come out right to a
+block. The slots of a source are numbered through all shards, and a slot's number is mapped to a block
+by a pseudorandom permutation of the source's blocks: after each pass through all of them, the next
+pass takes another permutation. Blocks are then joined to documents by their index.
 """
 
 from __future__ import annotations
@@ -46,15 +47,15 @@ def permuted(position: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarra
     return x.astype(np.int64)
 
 
-def slots_for(weights: np.ndarray, caps: np.ndarray, blocks: np.ndarray) -> int:
-    """The most slots of a mix so that no capped source runs out, four standard deviations left aside."""
-    most = float(blocks[weights > 0].sum()) if not np.isfinite(caps[weights > 0]).any() else np.inf
-    for w, cap in zip(weights, caps, strict=True):
-        if w > 0 and np.isfinite(cap):
-            b = 4.0 * np.sqrt(w * (1 - w))
-            root = (-b + np.sqrt(b * b + 4 * w * cap)) / (2 * w)
-            most = min(most, root * root)
-    return int(most)
+def slots_for(weights: np.ndarray, caps: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """How many slots each source of a mix gets: in all, as many as no capped source runs out of."""
+    capped = np.isfinite(caps)
+    n = int((caps[capped] / weights[capped]).min()) if capped.any() else int(blocks.sum())
+    exact = n * weights
+    out = np.floor(exact + 1e-9).astype(np.int64)
+    for k in np.argsort(out - exact, kind="stable")[: n - int(out.sum())]:
+        out[k] += out[k] + 1 <= caps[k]
+    return out
 
 
 def _draw(mixes: dict[str, tuple[list[str], list[float]]], seed: int):
@@ -130,19 +131,22 @@ def mix_sources(df: DataFrame, id_col: str, text: Column, source: Column, target
         n = np.array([-(-total[r["source"]] // block) for r in own])
         caps = np.array([np.inf if r["max_repeats"] is None else r["max_repeats"] * b for r, b in zip(own, n, strict=True)])
         mixes[name] = [r["source"] for r in own], w.tolist()
-        plan.append((name, k, max(1, slots_for(w, caps, n))))
-        laid += [(name, r["source"], int(b), None if np.isinf(c) else int(c), k * 1_000_003 + i) for i, (r, b, c) in enumerate(zip(own, n, caps, strict=True))]
+        goals = slots_for(w, caps, n)
+        plan.append((name, k, int(goals.sum())))
+        laid += [(name, r["source"], int(b), int(g), k * 1_000_003 + i) for i, (r, b, g) in enumerate(zip(own, n, goals, strict=True))]
     shards = spark.createDataFrame(plan, "mix_name string, k int, n bigint")
-    shards = shards.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / SLOTS))))
+    shards = shards.where("n > 0").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / SLOTS))))
     shards = shards.withColumn("slots", F.least(F.lit(SLOTS), F.col("n") - F.col("shard") * SLOTS)).select("mix_name", "k", "shard", "slots")
     drawn = shards.repartition("mix_name", "shard").mapInPandas(_draw(mixes, seed), "mix_name string, source string, shard bigint, cnt bigint")
     # numbers of a source's slots: the draws, one row for each shard and source, are laid end to end
     drawn = scratch.cut(drawn, "drawn")
+    laws = spark.createDataFrame(laid, "mix_name string, source string, n_blocks bigint, goal bigint, seed bigint")
+    got = drawn.groupBy("mix_name", "source").agg(F.sum("cnt").alias("got"), F.max("shard").alias("top"))
+    short = laws.join(got, ["mix_name", "source"], "left").select("mix_name", "source", (F.coalesce("top", F.lit(0)) + 1).alias("shard"), (F.col("goal") - F.coalesce("got", F.lit(0))).alias("cnt"))
     ends = F.sum("cnt").over(Window.partitionBy("mix_name", "source").orderBy("shard"))
-    laws = spark.createDataFrame(laid, "mix_name string, source string, n_blocks bigint, cap bigint, seed bigint")
-    slots = drawn.withColumn("end", ends).join(F.broadcast(laws), ["mix_name", "source"])
-    slots = slots.select("mix_name", "source", "shard", "n_blocks", "seed", "cap", F.explode(F.sequence(F.col("end") - F.col("cnt"), F.col("end") - 1)).alias("slot"))
-    slots = slots.where("cap is null or slot < cap").select("mix_name", "source", "shard", "slot", "n_blocks", "seed")
+    slots = drawn.union(short.where("cnt > 0")).withColumn("end", ends).join(F.broadcast(laws), ["mix_name", "source"])
+    slots = slots.select("mix_name", "source", "shard", "n_blocks", "seed", "goal", F.explode(F.sequence(F.col("end") - F.col("cnt"), F.col("end") - 1)).alias("slot"))
+    slots = slots.where("slot < goal").drop("goal").select("mix_name", "source", "shard", "slot", "n_blocks", "seed")
     used = slots.mapInArrow(_blocks, "mix_name string, source string, shard bigint, block bigint").groupBy("mix_name", "source", "block").agg(F.count("*").alias("uses"))
     hits = used.join(spans, ["source", "block"])
     chosen = hits.groupBy("mix_name", "source", "id", "start").agg(F.max("tokens").alias("tokens"), F.max("uses").alias("repeats"), F.sum(F.col("uses") * F.col("part")).alias("tokens_used")).drop("start")
