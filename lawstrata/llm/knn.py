@@ -4,7 +4,7 @@ A bounded sample gives a neighbour graph, which is cut into balanced parts: recu
 each half refined by swaps that lower the number of cut edges. A small softmax classifier learns
 the parts of a vector's neighbourhood. Every vector is indexed in its most probable part; a query
 is routed to the parts that are probable enough, whose vectors are reranked by cosine. How probable
-is enough is set so that the wanted recall is reached on the sample.
+is enough is set so that the wanted recall is reached on the part of the sample not trained on.
 
 Vectors travel as unit vectors in 16-bit fixed point, which leaves cosines right to about 0.00005.
 
@@ -35,11 +35,16 @@ GRAPH_K = 10
 
 @dataclass
 class Router:
-    """The classifier: a vector's best part is where it is indexed, its parts of at least ``least`` are searched."""
+    """The classifier: a vector's best part is where it is indexed, its parts of at least ``least`` are searched.
+
+    The shares are the index and query rows of each part for one vector, as the sample has them.
+    """
 
     weights: np.ndarray
     bias: np.ndarray
     least: float
+    index_share: np.ndarray
+    query_share: np.ndarray
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.weights + self.bias
@@ -114,7 +119,7 @@ def train_router(x: np.ndarray, expected: int, k: int, recall: float, floor: flo
     depth = max(0, int(np.floor(np.log2(want))))
     parts = 1 << depth
     if parts == 1:
-        return Router(np.zeros((x.shape[1], 1), np.float32), np.zeros(1, np.float32), 1.0)
+        return Router(np.zeros((x.shape[1], 1), np.float32), np.zeros(1, np.float32), 1.0, np.ones(1), np.zeros(1))
     graph, sim = exact_neighbours(x, GRAPH_K)
     part = balanced_parts(x, graph, depth)
     target = np.zeros((len(x), parts), np.float32)
@@ -133,15 +138,16 @@ def train_router(x: np.ndarray, expected: int, k: int, recall: float, floor: flo
         order = held + rng.permutation(len(x) - held)
         for s in range(0, len(order), 512):
             own = order[s : s + 512]
-            z = x[own] @ w + b
+            y = x[own]
+            z = y @ w + b
             z = np.exp(z - z.max(1, keepdims=True))
             g = (z / z.sum(1, keepdims=True) - target[own]) / len(own)
             t += 1
-            for p, m, v, d in ((w, mw, vw, x[own].T @ g), (b, mb, vb, g.sum(0))):
+            for p, m, v, d in ((w, mw, vw, y.T @ g), (b, mb, vb, g.sum(0))):
                 m += 0.1 * (d - m)
                 v += 0.001 * (d * d - v)
                 p -= (0.15 if epoch < 16 else 0.03) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    router = Router(w, b, 1.0)
+    router = Router(w, b, 1.0, np.ones(parts), np.ones(parts))
     p = router.probabilities(x)
     best = p.argmax(1)
     near = graph[:held, :k]
@@ -149,10 +155,13 @@ def train_router(x: np.ndarray, expected: int, k: int, recall: float, floor: flo
     if counted.sum() < 50:  # too few to judge by
         near, counted = graph[:, :k], sim[:, :k] >= (floor if (sim[:, :k] >= floor).sum() >= 50 else -1)
     own = np.arange(len(near))
-    at = np.take_along_axis(p[own], best[near], 1)
+    # a pair is found from either side
+    at = np.maximum(np.take_along_axis(p[own], best[near], 1), p[near, best[own, None]])
     at[best[near] == best[own, None]] = 1.0
     # capped below so that no query is sent everywhere for a few odd ones
     router.least = float(max(np.sort(at[counted])[int((1 - recall) * counted.sum())], 1e-4))
+    best, _, part = router.parts(x)
+    router.index_share, router.query_share = np.bincount(best, minlength=parts) / len(x), np.bincount(part, minlength=parts) / len(x)
     return router
 
 
@@ -228,7 +237,17 @@ def _rerank(dim: int, k: int, floor: float):
         out = []
         for s in range(0, len(q), 512):
             c = q[s : s + 512] @ x.T
-            c[qv[s : s + 512, None] == xv[None, :]] = -2
+            if len(own := np.flatnonzero(np.isin(qv[s : s + 512], xv))):
+                c[own, np.searchsorted(xv, qv[s + own])] = -2  # xv ascends
+            if floor > 0:  # few reach it; sort those only
+                r, j = np.nonzero(c >= np.float32(floor))
+                val = c[r, j]
+                o = np.lexsort((-val, r))
+                r, j, val = r[o], j[o], val[o]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                r, j, val = r[place < k], j[place < k], val[place < k]
+                out.append((qv[s + r], xv[j], val))
+                continue
             m = min(k, c.shape[1])
             best = np.argpartition(-c, m - 1, axis=1)[:, :m]
             val = np.take_along_axis(c, best, 1)
@@ -322,38 +341,19 @@ def most_similar(df: DataFrame, id_col: str, vector_col: str, k: int, order_col:
     if has_stale:
         routed = routed.join(stale, "v", "left_anti")
     parts = 1 if router is None else len(router.bias)
-    if total <= INDEX_BLOCK:
-        cells = routed.select(F.col("part").cast("bigint").alias("cell"), "side", "v", "vec")
+    blocks = [] if router is None else [(p, int(np.ceil(i * total / INDEX_BLOCK)), int(np.ceil(q * total / QUERY_BLOCK))) for p, (i, q) in enumerate(zip(router.index_share, router.query_share, strict=True))]
+    blocks = [b for b in blocks if b[1] > 1 or b[2] > 1]  # no more than there are parts
+    if blocks:
+        cells = _blocks(routed, spark.createDataFrame(blocks, "part int, bi int, bq int"))
     else:
-        light = src.select("id", "vec", "ask").mapInArrow(_sizes(dim, router), "part int, side int, n bigint")
-        sizes = light.groupBy("part").agg(F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("ni"), F.sum("n").alias("nq"))
-        sizes = sizes.select("part", F.ceil(F.col("ni") / INDEX_BLOCK).cast("int").alias("bi"), F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("bq"))
-        sizes = scratch.cut(sizes.where("bi > 1 or bq > 1"), "sizes")  # at most one row for each part
-        if sizes.limit(1).count():
-            cells = _blocks(routed, sizes)
-        else:
-            cells = routed.select(F.col("part").cast("bigint").alias("cell"), "side", "v", "vec")
+        cells = routed.select(F.col("part").cast("bigint").alias("cell"), "side", "v", "vec")
     n = max(parallelism(spark), min(parts, -(-total // 20_000)))
     found = cells.repartition(n, "cell").sortWithinPartitions("cell", "side").mapInArrow(_rerank(dim, k, min_cosine), "q bigint, n bigint, cosine double")
+    if queries is None:  # a pair found from one side counts for both
+        found = found.union(found.select("n", "q", "cosine"))
     return _with_copies(found, cur, scratch, k)
 
 
-def _sizes(dim: int, router: Router | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = 1 if router is None else len(router.bias)
-        index, query = np.zeros(parts, np.int64), np.zeros(parts, np.int64)
-        for batch in batches:
-            _, x = unit_rows(batch.column("vec"), dim)
-            if len(x):
-                best, _, part = (np.zeros(len(x), np.int64), None, np.empty(0, np.int64)) if router is None else router.parts(x)
-                index += np.bincount(best, minlength=parts)
-                query += np.bincount(part, minlength=parts)
-        for side, counts in ((0, index), (1, query)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), pa.array(np.full(parts, side), pa.int32()), pa.array(counts)], names=["part", "side", "n"])
-
-    return run
-
-
 def _blocks(routed: DataFrame, sizes: DataFrame) -> DataFrame:
     """Every index block of a large part meets every query block of it, in a cell of their own."""
     r = routed.join(F.broadcast(sizes), "part", "left").select("part", "side", "v", "vec", F.coalesce("bi", F.lit(1)).alias("bi"), F.coalesce("bq", F.lit(1)).alias("bq"))
@@ -376,6 +376,10 @@ def _with_copies(found: DataFrame, cur: DataFrame, scratch: Scratch, k: int) ->
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "n"))
     best = scratch.cut(best.withColumn("r", rank).where(F.col("r") <= k).drop("r"), "best")
     many = scratch.cut(cur.groupBy("v").count().where("count > 1").select("v"), "many")
+    order = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
+    if not many.limit(1).count():
+        pairs = best.join(cur.select(F.col("v").alias("q"), "id"), "q").join(cur.select(F.col("v").alias("n"), F.col("id").alias("neighbour")), "n")
+        return pairs.select("id", "neighbour", "cosine").withColumn("rank", order)
     # the least k + 1 ids of every vector stand for its copies
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     single = cur.join(many, "v", "left_anti").select("v", "id")
@@ -383,5 +387,4 @@ def _with_copies(found: DataFrame, cur: DataFrame, scratch: Scratch, k: int) ->
     pairs = best.join(cur.select(F.col("v").alias("q"), "id"), "q").join(heads.select(F.col("v").alias("n"), F.col("id").alias("neighbour")), "n").select("id", "neighbour", "cosine")
     copies = cur.join(many, "v", "left_semi")
     own = copies.join(heads.withColumnRenamed("id", "neighbour"), "v").where(F.col("id") != F.col("neighbour")).select("id", "neighbour", F.lit(1.0).alias("cosine"))
-    order = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
     return pairs.union(own).withColumn("rank", order).where(F.col("rank") <= k)
