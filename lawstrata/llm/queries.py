@@ -10,6 +10,7 @@ from lawstrata.llm.knn import most_similar
 from lawstrata.llm.mixing import mix_sources
 from lawstrata.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from lawstrata.llm.packing import fill_report, pack_texts
+from lawstrata.llm.spam import judged_pages, spam_pages
 from lawstrata.sources.tables import table
 
 
@@ -76,5 +77,16 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_neighbours, p7_bins, p7_fill, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are mostly stuffed keywords, link lists, or product and tag lists."""
+    return spam_pages(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("lang")).withColumnRenamed("id", "doc_id")
+
+
+def p9_curves(spark: SparkSession, folder: str) -> DataFrame:
+    """The rank-frequency curve of each page, what is extreme about it, and the share of spam in the page."""
+    pages = judged_pages(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("lang"))
+    return pages.select(F.col("id").alias("doc_id"), "lang", "n_words", *(F.round(c, 6).alias(c) for c in ("slope", "residual", "divergence", "share", "z")), "flagged")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_neighbours, p7_bins, p7_fill, p8_mix, p8_shares, p9_found, p9_curves)}
 SQL = sql.SQL
