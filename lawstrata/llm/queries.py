@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lawstrata.llm import sql
 from lawstrata.llm.knn import most_similar
+from lawstrata.llm.markup import clean_texts, find_notations
 from lawstrata.llm.mixing import mix_sources
 from lawstrata.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from lawstrata.llm.packing import fill_report, pack_texts
@@ -35,6 +36,19 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.withColumnRenamed("grp", "table_name")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Which chunk holds which notation in which field; amendment markers belong in content."""
+    c = F.col
+    found = find_notations(table(spark, folder, "chunk"), c("chunk_id"), {"content": c("content"), "content_embed": c("content_embed")}, c("loaded_at"), allowed={"content": ("amendment",)})
+    return found.withColumnRenamed("id", "chunk_id")
+
+
+def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean text of both fields of every row of chunk."""
+    c = F.col
+    return clean_texts(table(spark, folder, "chunk"), c("chunk_id"), {"content": c("content"), "content_embed": c("content_embed")}).withColumnRenamed("id", "chunk_id")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of points with cosine 0.80 or more, one among the other's five most similar."""
     near = most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96, min_cosine=0.80, recall=0.97)
@@ -88,5 +102,5 @@ def p9_curves(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select(F.col("id").alias("doc_id"), "lang", "n_words", *(F.round(c, 6).alias(c) for c in ("slope", "residual", "divergence", "share", "z")), "flagged")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_neighbours, p7_bins, p7_fill, p8_mix, p8_shares, p9_found, p9_curves)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_clean, p5_found, p5_neighbours, p7_bins, p7_fill, p8_mix, p8_shares, p9_found, p9_curves)}
 SQL = sql.SQL
