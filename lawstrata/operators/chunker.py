@@ -127,9 +127,10 @@ def summary_chunks(docs: DataFrame, limit: int = LIMIT, size: Size = t.tokens) -
 
 
 def _by_room(parts: DataFrame, keys: list[str], limit: int, size: Size) -> DataFrame:
-    """Like ``greedy_bins`` with a header of ``h`` tokens in each bin: the room that it leaves is part of the key."""
-    sized = parts.withColumn("room", F.greatest(F.lit(limit) - F.col("h"), F.lit(0)))
-    return greedy_bins(sized, [*keys, "room"], "pos2", size(F.col("part")), limit, room="room")
+    """Like ``greedy_bins`` with a header of ``h`` tokens in the first bin and of ``h2`` in the others."""
+    room = lambda h: F.greatest(F.lit(limit) - F.col(h), F.lit(0))
+    later = "h2" if "h2" in parts.columns else "h"
+    return greedy_bins(parts.withColumns({"room": room("h"), "room2": room(later)}), keys, "pos2", size(F.col("part")), limit, room="room", later="room2")
 
 
 def amendment_chunks(docs: DataFrame, limit: int = LIMIT_AMENDMENT, size: Size = t.tokens) -> DataFrame:
@@ -140,8 +141,9 @@ def amendment_chunks(docs: DataFrame, limit: int = LIMIT_AMENDMENT, size: Size =
     a = a.select("doc_id", "pos", F.coalesce("a.tip_id", F.concat(F.lit("unknown_"), F.col("pos").cast("string"))).alias("tip_id"), t.strip(F.coalesce("a.bm_title", F.lit(""))).alias("bm_title"), t.strip_lead_in(t.strip(F.coalesce("a.amended_content", F.lit("")))).alias("body"), F.coalesce("a.amended_link", F.lit("")).alias("amended_link"))
     head = F.concat(F.lit(t.AMENDMENT_HEAD + "\n"), "bm_title")
     a = a.withColumn("head", head).withColumn("h", size(F.concat("head", F.lit(f"\n\n{t.NEW_WORDING}:**")))).withColumn("n", F.col("h") + size(F.col("body")))
+    a = a.withColumn("h2", size(F.concat("head", F.lit(f"\n\n{t.NEW_WORDING}{t.CONTINUED}:**"))))
     whole = a.where(F.col("n") <= limit).select(F.concat(F.lit("amend_"), "doc_id", F.lit("_"), "tip_id").alias("chunk_id"), F.lit("Amendment").alias("chunk_type"), "doc_id", t.strip(F.concat("head", F.lit(f"\n\n{t.NEW_WORDING}:**\n"), "body")).alias("content"), "tip_id", "bm_title", "amended_link")
-    parts = a.where(F.col("n") > limit).select("doc_id", "pos", "tip_id", "bm_title", "amended_link", "head", "h", F.posexplode(t.split_new_wording(F.col("body"))).alias("pos2", "part"))
+    parts = a.where(F.col("n") > limit).select("doc_id", "pos", "tip_id", "bm_title", "amended_link", "head", "h", "h2", F.posexplode(t.split_new_wording(F.col("body"))).alias("pos2", "part"))
     parts = parts.withColumn("part", t.strip(F.col("part"))).where("part <> ''").withColumn("key", F.concat_ws("\n", "doc_id", F.col("pos").cast("string")))
     g = _by_room(parts, ["key"], limit, size).groupBy("key", "doc_id", "pos", "tip_id", "bm_title", "amended_link", "head", "bin").agg(ordered("part", "pos2", "\n").alias("body"))
     more = F.when(F.col("bin") > 0, t.CONTINUED).otherwise("")

@@ -15,18 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _bins(n_keys: int, limit: int, offset: int, room: str | None):
+def _bins(n_keys: int, limit: int, offset: int, room: str | None, later: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, number, used = object(), 0, 0
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(n_keys)), strict=True))
             most = batch.column(room).to_pylist() if room else [limit - offset] * len(keys)
+            then = batch.column(later).to_pylist() if later else most
             out = []
-            for key, size, limit_here in zip(keys, batch.column("__size").to_pylist(), most, strict=True):
+            for key, size, first, next_ in zip(keys, batch.column("__size").to_pylist(), most, then, strict=True):
                 size = size or 0
                 if key != group:
                     group, number, used = key, 0, 0
-                if used + size > limit_here and used > 0:
+                if used + size > (next_ if number else first) and used > 0:
                     number, used = number + 1, 0
                 used += size
                 out.append(number)
@@ -35,11 +36,12 @@ def _bins(n_keys: int, limit: int, offset: int, room: str | None):
     return run
 
 
-def greedy_bins(df: DataFrame, keys: list[str], order: str, size: Column, limit: int, offset: int = 0, room: str | None = None) -> DataFrame:
+def greedy_bins(df: DataFrame, keys: list[str], order: str, size: Column, limit: int, offset: int = 0, room: str | None = None, later: str | None = None) -> DataFrame:
     """``df`` with its bin number within the group of ``keys``, from 0.
 
     An item larger than the limit has a bin of its own, but for items of size 0 before it. ``offset``
-    counts once for each bin; ``room`` names a column that holds the limit of each group instead. Null sizes are 0; ties of ``order`` are broken by the other columns' hash.
+    counts once for each bin; ``room`` names a column that holds the limit of each group instead,
+    ``later`` one with the limit of its bins after the first. Null sizes are 0; ties of ``order`` are broken by the other columns' hash.
     """
     if "bin" in df.columns:
         df = df.drop("bin")
@@ -48,7 +50,7 @@ def greedy_bins(df: DataFrame, keys: list[str], order: str, size: Column, limit:
     tie = F.xxhash64(*[c for c in rest if not isinstance(src.schema[c].dataType, T.MapType)] or [F.lit(0)])
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in src.schema]).add("bin", "integer")
     line = src.repartition(*keys).sortWithinPartitions(*keys, order, tie)
-    return line.mapInArrow(_bins(len(keys), limit, offset, room), schema).drop("__size")
+    return line.mapInArrow(_bins(len(keys), limit, offset, room, later), schema).drop("__size")
 
 
 def ordered(what: str, order: str, sep: str) -> Column:
