@@ -348,8 +348,8 @@ def most_similar(df: DataFrame, id_col: str, vector_col: str, k: int, order_col:
     else:
         cells = routed.select(F.col("part").cast("bigint").alias("cell"), "side", "v", "vec")
     n = max(parallelism(spark), min(parts, -(-total // 20_000)))
-    found = cells.repartition(n, "cell").sortWithinPartitions("cell", "side").mapInArrow(_rerank(dim, k, min_cosine), "q bigint, n bigint, cosine double")
-    if queries is None:  # a pair found from one side counts for both
+    found = cells.repartition(n, "cell").sortWithinPartitions("cell", "side").mapInArrow(_rerank(dim, k if queries is not None else 2 * k, min_cosine), "q bigint, n bigint, cosine double")
+    if queries is None:  # a pair found from one side counts for both; twice k, as one side may have nearer ones
         both = F.array(F.struct("q", "n", "cosine"), F.struct(F.col("n").alias("q"), F.col("q").alias("n"), "cosine"))
         found = found.select(F.explode(both).alias("x")).select("x.*")  # not a union, which would rerank twice
     return _with_copies(found, cur, scratch, k)

@@ -150,7 +150,7 @@ def _matches(prints: DataFrame, scratch: Scratch) -> DataFrame:
     return two.union(rows.select(F.explode(pairs).alias("p")).select("p.a", "p.b")).distinct()
 
 
-def near_duplicate_classes(df: DataFrame, key: Column, text: Column, order: Column | None = None, group: Column | None = None, threshold: float = 0.8, shingle: int = 5, least_words: int = 1) -> tuple[DataFrame, DataFrame, Scratch]:
+def near_duplicate_classes(df: DataFrame, key: Column | str, text: Column | str, order: Column | str | None = None, group: Column | str | None = None, threshold: float = 0.8, shingle: int = 5, least_words: int = 1) -> tuple[DataFrame, DataFrame, Scratch]:
     """(members, links): members has grp, key, cid (class of equal shingle sets); links has a, b, similarity.
 
     ``links`` are the pairs of different classes, a < b, of one group whose similarity reaches
@@ -163,6 +163,7 @@ def near_duplicate_classes(df: DataFrame, key: Column, text: Column, order: Colu
         raise ValueError("threshold must lie between 0.5 and 1")
     spark = df.sparkSession
     scratch = Scratch(spark, "neardup")
+    key, text, order, group = (F.col(c) if isinstance(c, str) else c for c in (key, text, order, group))
     src = df.select((F.lit("") if group is None else group).alias("grp"), key.alias("key"), (F.lit(0) if order is None else order).alias("ord"), text.alias("text")).where("key is not null")
     prints = src.mapInArrow(_prints(shingle, least_words), _schema(src, "grp", "key", "ord", cid="bigint", sig="binary", text="string"))
     now = prints.groupBy("grp", "key").agg(F.max_by(F.struct("cid", "sig", "text"), F.struct("ord", "cid")).alias("r"))
@@ -183,7 +184,7 @@ def near_duplicate_classes(df: DataFrame, key: Column, text: Column, order: Colu
     return docs.select("grp", "key", "cid"), scratch.cut(links, "links"), scratch
 
 
-def near_duplicate_pairs(df: DataFrame, key: Column, text: Column, order: Column | None = None, group: Column | None = None, spell_out: int = SPELL_OUT, **options) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, key: Column | str, text: Column | str, order: Column | str | None = None, group: Column | str | None = None, spell_out: int = SPELL_OUT, **options) -> DataFrame:
     """(grp, key_a, key_b), key_a < key_b: the pairs of keys of one group whose texts are near-duplicates.
 
     A class of more than ``spell_out`` texts with equal shingle sets is written as links between its
@@ -201,7 +202,7 @@ def near_duplicate_pairs(df: DataFrame, key: Column, text: Column, order: Column
     return across.union(within).union(star).select("grp", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
 
 
-def near_duplicate_groups(df: DataFrame, key: Column, text: Column, order: Column | None = None, group: Column | None = None, **options) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key: Column | str, text: Column | str, order: Column | str | None = None, group: Column | str | None = None, **options) -> DataFrame:
     """(grp, key, group_id, n_copies, n_links): for each text its group of near-duplicates and the number of its links.
 
     Groups are the connected components of the links between classes; ``group_id`` is the least key of

@@ -1,0 +1,149 @@
+import itertools
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lawstrata.llm import markup, spam
+
+WORDS = "người điều khiển xe máy phải chấp hành quy định của luật giao thông đường bộ trong thời hạn mười ngày làm việc kể từ khi nhận được thông báo".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def model():
+    rng = random.Random(1)
+    return markup.train([prose(rng, 60) for _ in range(80)])
+
+
+def test_messages_are_exact(model):
+    rng = np.random.default_rng(1)
+    kind = rng.integers(0, len(markup.KINDS), 6)
+    parent, depth = np.array([-1, 0, 0, 1, 1, 2]), np.array([0, 1, 1, 2, 2, 2])
+    p = np.zeros((6, len(markup.LABELS)))
+    for labels in itertools.product(range(len(markup.LABELS)), repeat=6):
+        s = sum(model.look[x, k] for x, k in zip(labels, kind)) + sum(model.link[labels[parent[n]], labels[n]] for n in range(1, 6)) - (50 + model.look[labels[0], kind[0]] if labels[0] else 0)
+        for n, x in enumerate(labels):
+            p[n, x] += np.exp(s)
+    p /= p.sum(1, keepdims=True)
+    assert np.allclose(p, markup.marginals(model, kind, parent, depth), atol=1e-6)
+
+
+def test_held_out_pages(model):
+    rng = random.Random(77)
+    hit, wrong, missed = 0, 0, 0
+    for _ in range(300):
+        page, labels = markup.labelled_page(prose(rng, 50), rng)
+        want = {markup.LABELS[x] for x in labels} - {"content"}
+        _, own = markup.judge(model, [page])
+        got = {markup.LABELS[x] for x in (own[0] if own[0] is not None else [])} - {"content"}
+        hit, wrong, missed = hit + len(want & got), wrong + len(got - want), missed + len(want - got)
+    assert hit / (hit + missed) > 0.97 and hit / (hit + wrong) > 0.97
+
+
+PLAIN = ["Tốc độ < 67 km/h và tải trọng > 70 tấn.", "Diện tích 2 x 3 = 6 m².", "Hãng Mộc & Trà, ô số #80.", "(*) Áp dụng", "thư hoso@vanban.example", "tệp ho_so_1 ở C:\\luu\\37.", "khoảng ~5 phút/lượt | ca.", "5.160 $ một lượt", "a^2 ở phụ lục", "Xem [26] trong", "1. Một\na) Hai", "Giá 3*46 đồng", "- Tên: X\n- Số: Y", "Mẫu {số 7} kèm"]
+MARKED = {
+    "html": ["a <b>b</b> c", "x<br/>y", "a&nbsp;b", "&lt;i&gt;x&lt;/i&gt;", "đang <span style=\"font-size:3pt\" bị", "x <!-- t --> y", "m&#7913;c"],
+    "markdown": ["a **b c** d", "### Tên\nx", "[a](/b)", "![a](b.png)", "> trích", "- [x] việc", "| A | B |\n| --- | --- |\n| 1 | 2 |", "```\nf(1)\n```", "~~x y~~ z", "a `b c` d", "Tên\n=====\nx", "__a b__ c"],
+    "wiki": ["'''a''' b", "== Tên ==\nx", "[[Trang|chữ]] x", "{{Chú thích|số=1|x}}", '{| class="w"\n|-\n! A !! B\n|-\n| 1 || 2\n|}', "[http://a.example chữ]", "__TOC__\nx"],
+    "latex": ["\\textbf{a} b", "$$x = 1$$ a", "\\[ x \\] a", "$v_{1} = \\frac{a}{b}$", "\\begin{itemize} \\item a \\end{itemize}"],
+    "marker": ["[[ANCHOR:a]] x"],
+}
+
+
+def test_signs(model):
+    _, own = markup.judge(model, PLAIN)
+    assert [p for p, x in zip(PLAIN, own) if x is not None and x.any()] == []
+    for notation, texts in MARKED.items():
+        _, own = markup.judge(model, [f"Điều 1. {t}" if "\n" not in t and t[0] not in "#>-" else t for t in texts])
+        for t, x in zip(texts, own):
+            assert x is not None and {markup.LABELS[k] for k in x} - {"content"} == {notation}, t
+
+
+def test_cleaning(model):
+    pairs = {
+        "a **b** c": "a b c", "### Tên\nx": "Tên\nx", "[a](/b) c": "a c", "'''a''' [[P|b]]": "a b", "== Tên ==\nx": "Tên\nx", "- [x] việc\nkhác": "- việc\nkhác", "x <sup>1</sup>&amp; y": "x 1& y",
+        "<ul><li>một</li><li>hai</li></ul>": "- một\n- hai", "| A | B |\n| --- | --- |\n| 1 | 2 |": "A | B\n1 | 2", "tính $$x = y$$ nhé": "tính x = y nhé", "```\nf(1)\n```\nx": "f(1)\n\nx", "[[ANCHOR:a]] Điều 1": "Điều 1", "5 < 6 và 3 * 4": "5 < 6 và 3 * 4",
+    }
+    for raw, want in pairs.items():
+        (tree,), (own,) = markup.judge(model, [raw])
+        assert markup.clean(raw, tree, own).replace("\n\n", "\n") == want.replace("\n\n", "\n"), raw
+
+
+def test_find_and_clean_tables(spark, model):
+    rows = [("a", "x **b** y", "x [[AMENDMENT:t]]", 1), ("a", "x **b** y", "x [[AMENDMENT:t]]", 1), ("b", None, "", 1), ("c", "[[AMENDMENT:t]] x", None, 1), (None, "**b**", None, 1), ("d", "**cũ**", None, 1), ("d", "mới", None, 2), ("l", ("điều khoản " * 50_000) + "<b>x</b>", None, 1)]
+    df = spark.createDataFrame(rows, "k string, u string, v string, o int").withColumn("id", F.lit(1))
+    got = {tuple(r) for r in markup.find_notations(df, F.col("k"), {"u": F.col("u"), "v": F.col("v")}, F.col("o"), {"u": ("amendment",)}, model).collect()}
+    assert got == {("a", "u", "markdown"), ("a", "v", "marker"), ("l", "u", "html")}
+    out = markup.clean_texts(df, F.col("k"), {"u": F.col("u")}, model).collect()
+    assert len(out) == len(rows) and [r.u for r in out[:4]] == ["x b y", "x b y", None, "x"]
+    assert markup.find_notations(df.limit(0), F.col("k"), {"u": F.col("u")}).count() == 0 == markup.clean_texts(df.limit(0), F.col("k"), {"u": F.col("u")}).count()
+
+
+# ---- spam -------------------------------------------------------------------------------------
+
+KEYS = ["lốp xe tải", "bảo hiểm ô tô", "thi bằng lái", "đèn trợ sáng", "vay mua xe", "găng tay"]
+
+
+def spam_text(rng, kind, n=60):
+    pick = lambda: rng.choice(KEYS)
+    return {
+        0: lambda: " | ".join(pick() for _ in range(n)), 1: lambda: "\n".join(f"{pick()} giá rẻ - http://s{rng.randint(1, 9)}.example/{k}" for k in range(n)), 2: lambda: " ".join("#" + pick().replace(" ", "") for _ in range(n)),
+        3: lambda: "\n".join(f"{pick()} size {rng.choice('SML')} màu đỏ SKU-{rng.randint(1, 9999)} {k}k" for k in range(n)), 4: lambda: "Tags: " + ", ".join(pick() for _ in range(n)), 5: lambda: " ".join(pick() for _ in range(n)), 6: lambda: "\n".join(f"lốp xe tải huyện Tên {chr(97 + k % 26)}{k}" for k in range(n)),
+    }[kind]()
+
+
+NOT_SPAM = [
+    "MỤC LỤC\n" + "\n".join(f"Điều {k}. {' '.join(WORDS[k % 9 : k % 9 + 6])}" for k in range(30)),
+    "\n".join(f"Căn cứ Luật số {k}/2010/QH về {WORDS[k % 9]};" for k in range(20)),
+    "Văn bản liên quan:\n" + "\n".join(f"Nghị định {k}/2010/NĐ-CP về {WORDS[k % 9]} https://vanban.example/x-{k}.aspx" for k in range(20)),
+    "MẪU ĐƠN SỐ 1\n" + "\n".join(f"{w}: ........." for w in WORDS[:12]),
+    "BẢNG MỨC PHẠT\n" + "\n".join(f"{k}. {' '.join(WORDS[k % 7 : k % 7 + 4])}: từ {k}.000.000 đồng đến {k + 3}.000.000 đồng" for k in range(1, 25)),
+    "\n".join(f"{k}. {WORDS[k]} {WORDS[k + 1]} là {' '.join(WORDS[k + 2 : k + 8])}, có giá trị." for k in range(1, 18)),
+]
+
+
+def test_spam_share():
+    rng = random.Random(2)
+    for kind in range(7):
+        assert spam.spam_share(spam_text(rng, kind)) > 0.9, kind
+    assert all(spam.spam_share(t) < 0.2 for t in NOT_SPAM)
+    law = " ".join(prose(rng, 20).capitalize() + "." for _ in range(20))
+    assert spam.spam_share(law + "\nTừ khóa: lốp xe tải, vay mua xe") < 0.2
+    assert spam.spam_share("") == spam.spam_share(" \n ") == 0
+
+
+def line_fit(text):
+    """Slope and residual by brute force over the ranked words."""
+    words = spam.WORD.findall(text.lower())
+    counts = sorted((words.count(w) for w in set(words)), reverse=True)
+    ranks = defaultdict(list)
+    for r, c in enumerate(counts, 1):
+        ranks[c].append(r)
+    x = np.array([0.5 * np.log(ranks[c][0] * ranks[c][-1]) for c in counts])
+    y = np.log(np.array(counts) / len(words))
+    if np.ptp(x) == 0:
+        return 0.0, float(np.sqrt(((y - y.mean()) ** 2).mean()))
+    slope, cut = np.polyfit(x, y, 1)
+    return slope, float(np.sqrt(((y - slope * x - cut) ** 2).mean()))
+
+
+def test_curves_and_pages(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(prose(rng, 12).capitalize() + "." for _ in range(10)), "vi") for i in range(300)] + [(1000 + k, spam_text(rng, k % 7, 40), rng.choice(["vi", "VI ", None])) for k in range(28)]
+    rows += [(2000 + k, t, "vi") for k, t in enumerate(NOT_SPAM)] + [(3000, None, "vi"), (3001, "", None), (3002, "!!!", "vi"), (None, "x y", "vi"), (3003, "lốp xe tải | " * 20_000, "vi")]
+    df = spark.createDataFrame(rows, "i bigint, t string, l string").withColumn("f", F.lit(1)).withColumn("share", F.lit("x"))
+    judged = {r.id: r for r in spam.judged_pages(df, "i", F.col("t"), F.col("l")).collect()}
+    text = {i: t for i, t, _ in rows}
+    assert set(judged) == {i for i, t, _ in rows if i is not None and t and spam.WORD.search(t)}
+    for i in (0, 5, 1000, 1003, 2000):
+        slope, residual = line_fit(text[i])
+        assert abs(judged[i].slope - slope) < 1e-6 and abs(judged[i].residual - residual) < 1e-6
+    got = {r.id for r in spam.spam_pages(df, "i", F.col("t"), F.col("l")).collect()}
+    assert got == {1000 + k for k in range(28)} | {3003}
+    assert spam.spam_pages(df.limit(0), "i", F.col("t"), F.col("l")).count() == 0
