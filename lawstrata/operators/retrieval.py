@@ -76,3 +76,10 @@ def answer_questions(questions: DataFrame, chunk_points: DataFrame, reply: Colum
     found = near.join(q.select("qid", "question_id", "question", "query_ord"), "qid").join(chunk_points.select("point_id", "content", "title"), "point_id")
     ranked = reranked(first_hits(found), overlap(F.col("question"), F.col("content")), top)
     return answers(asked(questions, "question"), contexts(ranked)).select("question_id", "question", "answer")
+
+
+def report(ranked: DataFrame, question: str = "question_id", width: int = 120) -> DataFrame:
+    """One line for each hit: place, score, title and the beginning of its text on one line."""
+    preview = F.substring(F.replace(F.coalesce("content", F.lit("")), F.lit("\n"), F.lit(" ")), 1, width)
+    line = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), F.format_number("rerank_score", 4), F.lit(" | "), F.coalesce("title", F.lit(NO_TITLE)), F.lit(" | "), preview, F.lit("..."))
+    return ranked.select(question, "place", line.alias("line"))

@@ -318,6 +318,12 @@ def context_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.contexts(top).select("question_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
+def hit_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The reranked hits of each law, one line each."""
+    top = rerank_top4(spark, folder).join(current_chunks(spark, folder).select(F.col("chunk_id").alias("point_id"), "title", "content"), "point_id")
+    return retrieval.report(top)
+
+
 def question_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Answers to the questions whose id is divisible by 20, from the whole index of embeddable chunks."""
     p = vectors.points(current_chunks(spark, folder), EMBED_DIM).select("point_id", "vector", "payload.content", "payload.title")
@@ -332,6 +338,6 @@ QUERIES = {
         doc_ids, point_ids, token_counts, text_clean_up, text_splits, clauses, new_wordings, metadata_cards, toc_links, metadata_entries, related_documents, html_round_trip,
         pending_pages, listing_pages, all_sources, distinct_amendments, segments, hierarchy_fill, pack_articles, pack_lines, summary_parts, chunks, chunk_types, json_round_trip,
         embed_filter, embedded_points, knn_top6, knn_dedup, upsert_latest, latest_events, streamed_upsert, document_nodes, chunk_nodes, amendment_edges, amended_documents,
-        structure_edges, entity_targets, entity_mentions, penalties, mention_counts, dispatched, query_expansion, rerank_top4, context_blocks, question_answers,
+        structure_edges, entity_targets, entity_mentions, penalties, mention_counts, dispatched, query_expansion, rerank_top4, context_blocks, hit_report, question_answers,
     )
 }

@@ -152,6 +152,7 @@ UNION SELECT 'Chunk', c.parent_chunk_id, 'CONTAINS', 'Chunk', c.chunk_id FROM c
     "rerank_top4": RERANK,
     "context_blocks": f"WITH r AS ({RERANK}), {CHUNKS} SELECT question_id, md5(string_agg(chr(10) || '--- TÀI LIỆU ' || place || ': ' || coalesce(title, 'Tài liệu không tên') || ' ---' || chr(10) || coalesce(content, '') || chr(10), '' ORDER BY place)) AS context_md5 FROM r JOIN cur ON cur.chunk_id = r.point_id GROUP BY question_id",
 }
+SQL["hit_report"] = f"WITH r AS ({RERANK}), {CHUNKS} SELECT question_id, place, '[' || place || '] ' || printf('%.4f', rerank_score) || ' | ' || coalesce(title, 'Tài liệu không tên') || ' | ' || substr(replace(coalesce(content, ''), chr(10), ' '), 1, 120) || '...' AS line FROM r JOIN cur ON cur.chunk_id = r.point_id"
 SQL["html_round_trip"] = f"""WITH {DOCS} SELECT doc_id, {strip("title")} AS title, len(list_filter(map_entries(metadata), lambda e: {strip("replace(e.key, ':', '')")} <> '' AND {strip("coalesce(e.value, '')")} <> ''))::INT AS n_metadata, len(mucluc)::INT AS n_toc, len(amendments)::INT AS n_amendments,
   array_to_string(list_sort(list_transform(amendments, lambda a: CASE WHEN a.amended_link LIKE '/%' THEN 'https://vanban.example' || a.amended_link ELSE coalesce(a.amended_link, '') END)), ' ') AS links
 FROM docs WHERE coalesce(metadata['Tình trạng'], '') <> 'Đã biết'"""

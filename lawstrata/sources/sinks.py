@@ -35,3 +35,12 @@ def upserted(current: DataFrame, arriving: DataFrame, key: str, order: Column) -
     """``current`` with the arriving rows: the last write of each key wins, and arriving ones over those there."""
     new = latest(arriving, key, order)
     return current.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def merge_graph(nodes: DataFrame, edges: DataFrame, path: str, key: list[str], order: Column) -> None:
+    """Writes a new version of a graph's node and edge tables below ``path``: nodes by key, the last write wins;
+    edges as a set. Running it again with the same rows changes nothing but the version."""
+    names = [c for c in nodes.columns if c not in key]
+    rows = nodes.groupBy(*key).agg(F.max_by(F.struct(*names), order).alias("r"))
+    rows.select(*key, *(F.col(f"r.`{n}`").alias(n) for n in names)).write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.distinct().write.mode("overwrite").parquet(f"{path}/edges")
