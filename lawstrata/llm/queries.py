@@ -49,20 +49,20 @@ def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
     return clean_texts(table(spark, folder, "chunk"), c("chunk_id"), {"content": c("content"), "content_embed": c("content_embed")}).withColumnRenamed("id", "chunk_id")
 
 
+def _near_points(spark: SparkSession, folder: str) -> DataFrame:
+    return most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96, min_cosine=0.80, recall=0.985)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of points with cosine 0.80 or more, one among the other's five most similar."""
-    near = most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96, min_cosine=0.80, recall=0.975)
+    near = _near_points(spark, folder)
     return near.select(F.least("id", "neighbour").alias("point_a"), F.greatest("id", "neighbour").alias("point_b")).distinct()
 
 
 def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """The five most similar points, whatever their cosine, of each point whose id, read as a number, is divisible by 20."""
-    # 16 is a multiple of 4, and of 1 modulo 5: the id modulo 20 follows from its digits
-    digits = F.split(F.regexp_replace("point_id", "[^0-9a-f]", ""), "")
-    by5 = F.aggregate(F.transform(digits, lambda x: F.conv(x, 16, 10).cast("int")), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 5
-    by4 = F.conv(F.substring("point_id", -1, 1), 16, 10).cast("int") % 4
-    near = most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96, recall=0.95, queries=(by5 == 0) & (by4 == 0))
-    return near.select(F.col("id").alias("point_id"), "neighbour", F.col("rank").alias("neighbour_rank"), F.round("cosine", 4).alias("cosine"))
+    """The up to five most similar points of every point, with cosine 0.80 or more."""
+    near = _near_points(spark, folder)
+    return near.select(F.col("id").alias("point_id"), "neighbour", F.col("rank").alias("neighbour_rank"), F.round("cosine", 3).alias("cosine"))
 
 
 def p7_bins(spark: SparkSession, folder: str) -> DataFrame:
