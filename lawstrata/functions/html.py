@@ -16,6 +16,11 @@ STATE_HEAD, STATE_MOTTO, RECEIVERS = "CỘNG HÒA", "ĐỘC LẬP", "NƠI NHẬN
 JUNK_SPANS = ("VABW", "LdAB")
 DIAGRAM_SELF, DIAGRAM_OTHER = "Văn bản đang xem", "Khác"
 TIP_PREFIX, TIP_BODY = ".lqhlTootip-", "lqhlTip-"
+#: The classes and ids by which the pages mark their parts.
+MAIN_TAB, VALIDITY_TAB, CONTENT_TAB, TAB_CLASS = "tab-1", "tab5", "tab6", "contentDoc"
+TOC_LIST, TOC_LINK, BODY, SUMMARY, TIP_ATTRIBUTE, TIPS = "muclucVB", "amuclucvb", "content1", "Tomtatvanban", "atmm", "divltrLienQuanHieuLucTungPhan"
+TIP_TITLE, TIP_ORIGINAL, TIP_TEXT = "bmTitle", "bmOriginal", "bmContent"
+RELATED_CLASS, RELATED_NUMBER, DIAGRAM_SECTION, DIAGRAM_HEADING = "content-", "number", "ct", "ghd"
 
 
 class Node:
@@ -150,14 +155,14 @@ def finish(markdown: str) -> str:
 
 
 def table_of_contents(root: Node) -> list[dict]:
-    ul = root.first("ul", cls="muclucVB")
-    links = [li.first("a", cls="amuclucvb") for li in ul.find("li")] if ul else []
+    ul = root.first("ul", cls=TOC_LIST)
+    links = [li.first("a", cls=TOC_LINK) for li in ul.find("li")] if ul else []
     return [{"title": a.all_text().strip(), "href": a.attrs.get("href", "")} for a in links if a]
 
 
 def main_text(root: Node, toc: list[dict]) -> str:
     """Body as Markdown with a marker before each target of the contents and each amendment's first link."""
-    body = root.first("div", cls="content1")
+    body = root.first("div", cls=BODY)
     if body is None:
         return ""
     for x in list(body.find("span")):
@@ -177,7 +182,7 @@ def main_text(root: Node, toc: list[dict]) -> str:
             _before(target, f"\n\n[[ANCHOR:{key}]]\n\n")
     seen: set[str] = set()
     for a in list(body.find("a")):
-        tip = a.attrs.get("atmm", "")
+        tip = a.attrs.get(TIP_ATTRIBUTE, "")
         if tip.startswith(TIP_PREFIX) and (tip := tip[len(TIP_PREFIX) :]) not in seen:
             seen.add(tip)
             _before(a, f" [[AMENDMENT:{tip}]] ")
@@ -209,26 +214,26 @@ def amendments(root: Node, base: str) -> list[dict]:
     """Tooltip bodies left-joined with the text of the last link of each tip."""
     texts = {}
     for a in root.find("a"):
-        tip = a.attrs.get("atmm", "")
+        tip = a.attrs.get(TIP_ATTRIBUTE, "")
         if tip.startswith(TIP_PREFIX):
             texts[tip[len(TIP_PREFIX) :]] = a.all_text().strip()
-    holder = root.first("div", id="divltrLienQuanHieuLucTungPhan")
+    holder = root.first("div", id=TIPS)
     out = []
     for tip in holder.find("div", cls_prefix=TIP_BODY) if holder else ():
         key = next(c for c in tip.attrs["class"].split() if c.startswith(TIP_BODY))[len(TIP_BODY) :]
         part = lambda cls, tip=tip: (tip.first(None, cls=cls).all_text().strip() if tip.first(None, cls=cls) else "")
         link = tip.first("a")
         href = link.attrs.get("href", "") if link else ""
-        out.append({"tip_id": key, "anchor_text": texts.get(key, ""), "bm_title": part("bmTitle"), "original_content": part("bmOriginal"), "amended_content": part("bmContent"), "amended_link": base + href if href.startswith("/") else href})
+        out.append({"tip_id": key, "anchor_text": texts.get(key, ""), "bm_title": part(TIP_TITLE), "original_content": part(TIP_ORIGINAL), "amended_content": part(TIP_TEXT), "amended_link": base + href if href.startswith("/") else href})
     return out
 
 
 def related(root: Node, tab: str) -> list[dict]:
     """Related documents of a tab; the first span of a paragraph is its key, every occurrence of which is cut from the value."""
-    holder = root.first("div", id=tab, cls="contentDoc")
+    holder = root.first("div", id=tab, cls=TAB_CLASS)
     out = []
-    for div in holder.find("div", cls_prefix="content-") if holder else ():
-        number, link = div.first(None, cls="number"), div.first("a")
+    for div in holder.find("div", cls_prefix=RELATED_CLASS) if holder else ():
+        number, link = div.first(None, cls=RELATED_NUMBER), div.first("a")
         attributes = []
         for p in div.find("p"):
             span = p.first("span")
@@ -241,12 +246,12 @@ def related(root: Node, tab: str) -> list[dict]:
 def diagram(root: Node) -> list[dict]:
     """Relation diagram: entries by the nearest heading before them; a repeated category is replaced by its later section."""
     sections: dict[str, list[dict]] = {}
-    for ct in root.find("div", cls="ct"):
+    for ct in root.find("div", cls=DIAGRAM_SECTION):
         category = DIAGRAM_OTHER
         for x in ct.parent.children:
             if x is ct:
                 break
-            if x.name == "div" and "ghd" in x.attrs.get("class", "").split():
+            if x.name == "div" and DIAGRAM_HEADING in x.attrs.get("class", "").split():
                 category = x.all_text().strip()
         if category == DIAGRAM_SELF:
             continue
@@ -261,12 +266,12 @@ def diagram(root: Node) -> list[dict]:
 def page_fields(main: str | None, diagram_page: str | None, validity_page: str | None, content_page: str | None, base: str) -> dict:
     """All fields of a document from its four pages; missing pages give empty fields."""
     root = parse_html(main)
-    tab = root.first("div", id="tab-1", cls="contentDoc")
+    tab = root.first("div", id=MAIN_TAB, cls=TAB_CLASS)
     h1 = tab.first("h1") if tab else None
     toc = table_of_contents(root)
     amended, pairs = amendments(root, base), metadata_pairs(root)
-    summary = root.first("div", cls="Tomtatvanban")
+    summary = root.first("div", cls=SUMMARY)
     return {
         "title": h1.all_text().strip() if h1 else "", "metadata": pairs, "summary_content": finish(to_markdown(summary)) if summary else "", "mucluc": toc, "main_content": main_text(root, toc),
-        "amendments": amended, "lienquan_hieuluc_list": related(parse_html(validity_page), "tab5"), "related_noidung_list": related(parse_html(content_page), "tab6"), "luoc_do_list": diagram(parse_html(diagram_page)),
+        "amendments": amended, "lienquan_hieuluc_list": related(parse_html(validity_page), VALIDITY_TAB), "related_noidung_list": related(parse_html(content_page), CONTENT_TAB), "luoc_do_list": diagram(parse_html(diagram_page)),
     }

@@ -161,8 +161,9 @@ def flatten(record_id: int, body: str | None) -> list[tuple]:
         elif isinstance(value, dict) and not (value.keys() & RECORD_FIELDS or value.keys() & set(CONTAINERS) or name):
             stack += [("hold", v, k, node, tip) for k, v in reversed(value.items())]
         elif isinstance(value, dict):
-            own = text_of(value[TIP]) if TIP in value else name.strip()
-            mine = add(node, "amendment" if own else "amendment_without_tip", "filed" if TIP not in value and name else "record", tip, own, text_of(value.get("amended_content")) or None)
+            held = text_of(value.get(TIP))
+            own = held or name.strip()
+            mine = add(node, "amendment" if own else "amendment_without_tip", "record" if held or not own else "filed", tip, own, text_of(value.get("amended_content")) or None)
             for title in titles(value.get(TITLES)):
                 add(mine, TITLES, "texts" if isinstance(opened(value[TITLES]), list) else "scalar", own, title)
             inner = {k: v for k, v in value.items() if k not in (TITLES, METADATA)}
