@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from lawstrata.session import Scratch, parallelism
 
-#: Vectors of the training sample at most; 32 MB at 96 dimensions would be 87,000.
-SAMPLE = 16_384
+#: Vectors of the training sample: this many, or one of 64 of a large table, but never more than the second.
+SAMPLE, SAMPLE_MOST = 16_384, 65_536
 #: Vectors that a part should hold, and the least number of sample vectors for each part.
 PART, PER_PART = 2_500, 24
 #: Rows of an index block and of a query block.
@@ -122,13 +122,10 @@ def train_router(x: np.ndarray, expected: int, k: int, recall: float, floor: flo
         return Router(np.zeros((x.shape[1], 1), np.float32), np.zeros(1, np.float32), 1.0, np.ones(1), np.zeros(1))
     graph, sim = exact_neighbours(x, GRAPH_K)
     part = balanced_parts(x, graph, depth)
-    target = np.zeros((len(x), parts), np.float32)
-    rows = np.arange(len(x))
-    target[rows, part] = 1.0
-    weight = np.maximum(sim, 0.0) ** 4
-    for j in range(graph.shape[1]):
-        np.add.at(target, (rows, part[graph[:, j]]), weight[:, j])
-    target /= target.sum(1, keepdims=True)
+    # a vector's target: its own part, and those of its neighbours by the fourth power of the cosine
+    near_parts = np.concatenate([part[:, None], part[graph]], 1)
+    shares = np.concatenate([np.ones((len(x), 1), np.float32), np.maximum(sim, 0.0) ** 4], 1)
+    shares /= shares.sum(1, keepdims=True)
     rng = np.random.default_rng(11)
     held = len(x) // 8  # not trained on; they say how probable is enough
     w, b = np.zeros((x.shape[1], parts), np.float32), np.zeros(parts, np.float32)
@@ -141,26 +138,30 @@ def train_router(x: np.ndarray, expected: int, k: int, recall: float, floor: flo
             y = x[own]
             z = y @ w + b
             z = np.exp(z - z.max(1, keepdims=True))
-            g = (z / z.sum(1, keepdims=True) - target[own]) / len(own)
+            g = z / z.sum(1, keepdims=True)
+            np.subtract.at(g, (np.arange(len(own))[:, None], near_parts[own]), shares[own])
+            g /= len(own)
             t += 1
             for p, m, v, d in ((w, mw, vw, y.T @ g), (b, mb, vb, g.sum(0))):
                 m += 0.1 * (d - m)
                 v += 0.001 * (d * d - v)
                 p -= (0.15 if epoch < 16 else 0.03) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     router = Router(w, b, 1.0, np.ones(parts), np.ones(parts))
-    p = router.probabilities(x)
-    best = p.argmax(1)
+    best = np.concatenate([router.probabilities(x[k : k + 2048]).argmax(1) for k in range(0, len(x), 2048)])
     near = graph[:held, :k]
     counted = sim[:held, :k] >= floor
     if counted.sum() < 50:  # too few to judge by
         near, counted = graph[:, :k], sim[:, :k] >= (floor if (sim[:, :k] >= floor).sum() >= 50 else -1)
-    own = np.arange(len(near))
-    # a pair is found from either side
-    at = np.maximum(np.take_along_axis(p[own], best[near], 1), p[near, best[own, None]])
-    at[best[near] == best[own, None]] = 1.0
+    r, c = np.nonzero(counted)
+    at = np.empty(len(r), np.float32)
+    for k0 in range(0, len(r), 2048):  # a pair is found from either side
+        a, b = r[k0 : k0 + 2048], near[r[k0 : k0 + 2048], c[k0 : k0 + 2048]]
+        own = np.arange(len(a))
+        at[k0 : k0 + 2048] = np.maximum(router.probabilities(x[a])[own, best[b]], router.probabilities(x[b])[own, best[a]])
+    at[best[near[r, c]] == best[r]] = 1.0
     # capped below so that no query is sent everywhere for a few odd ones
-    router.least = float(max(np.sort(at[counted])[int((1 - recall) * counted.sum())], 1e-4))
-    best, _, part = router.parts(x)
+    router.least = float(max(np.sort(at)[min(len(at) - 1, int((1 - recall) * len(at)))], 1e-4))
+    best, _, part = (np.concatenate(z) for z in zip(*(router.parts(x[k : k + 2048]) for k in range(0, len(x), 2048)), strict=True))
     router.index_share, router.query_share = np.bincount(best, minlength=parts) / len(x), np.bincount(part, minlength=parts) / len(x)
     return router
 
@@ -303,7 +304,7 @@ def _rerank(dim: int, k: int, floor: float):
     return run
 
 
-def most_similar(df: DataFrame, id_col: str, vector_col: str, k: int, order_col: str | None = None, dim: int | None = None, min_cosine: float = -1.0, recall: float = 0.97, queries: Column | None = None, sample: int = SAMPLE) -> DataFrame:
+def most_similar(df: DataFrame, id_col: str, vector_col: str, k: int, order_col: str | None = None, dim: int | None = None, min_cosine: float = -1.0, recall: float = 0.97, queries: Column | None = None, sample: int | None = None) -> DataFrame:
     """(id, neighbour, cosine, rank): for each vector its k most similar others with at least ``min_cosine``.
 
     * Vectors that are null, all zero, not of ``dim`` numbers, or hold a null, NaN or infinite number
@@ -330,6 +331,7 @@ def most_similar(df: DataFrame, id_col: str, vector_col: str, k: int, order_col:
         return empty
     stale = scratch.cut(keys.join(cur, ["id", "v"], "left_anti").select("v").distinct().join(cur, "v", "left_anti"), "stale")
     has_stale = stale.limit(1).count() > 0
+    sample = sample or min(SAMPLE_MOST, max(SAMPLE, total // 64))
     near_size = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / total))
     rows = src.where(near_size).select("vec").limit(sample).toArrow().column("vec").combine_chunks()
     if isinstance(rows, pa.ChunkedArray):
