@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lawstrata.functions import text as t
 from lawstrata.operators.pack import greedy_bins, ordered, union_of
+from lawstrata.session import Scratch
 
 LIMIT, LIMIT_AMENDMENT, LEAST = 768, 1024, 10
 COLUMNS = ("chunk_id", "chunk_type", "doc_id", "parent_chunk_id", "content", "content_embed", "anchors", "amends", "tip_id", "bm_title", "amended_link")
@@ -67,9 +68,11 @@ def _remeasured(parts: DataFrame, keys: list[str], limit: int, size: Size, offse
     return greedy_bins(parts.where(t.strip(F.col("part")) != ""), keys, "pos2", size(t.tidy(F.col("part"))), limit, offset)
 
 
-def body_chunks(docs: DataFrame, limit: int = LIMIT, least: int = LEAST, starred: bool = True, size: Size = t.tokens) -> DataFrame:
+def body_chunks(docs: DataFrame, limit: int = LIMIT, least: int = LEAST, starred: bool = True, size: Size = t.tokens, scratch: Scratch | None = None) -> DataFrame:
     """Chunks of ``main_content``: headings, packed articles, and what oversized articles fall into."""
-    s = with_hierarchy(segments(docs, least, starred, size))
+    # every branch below reads the segments: they are computed once
+    scratch = scratch or Scratch(docs.sparkSession, "chunks")
+    s = scratch.cut(with_hierarchy(segments(docs, least, starred, size)), "segments")
     none = F.lit(None).cast("string")
     head = F.concat(F.lit(t.DOCUMENT_HEAD), "title", F.lit("\n\n" + t.WITHIN_HEAD))
     above = F.when(F.col("kind") == "Phần", F.col("doc_id")).otherwise(F.col("up"))
@@ -158,6 +161,8 @@ def chunk_documents(docs: DataFrame, limit: int = LIMIT, limit_amendment: int =
     give no chunks of their kind, but the card. ``size`` is the tokenizer (a column expression; sizes of
     joined texts must be the sum of their parts').
     """
+    scratch = Scratch(docs.sparkSession, "chunks")
+    docs = scratch.cut(docs.select("doc_id", "title", "metadata", "summary_content", "main_content", "amendments"), "docs")
     out = meta_chunks(docs).unionByName(summary_chunks(docs, limit, size), allowMissingColumns=True)
-    out = out.unionByName(body_chunks(docs, limit, least, starred, size), allowMissingColumns=True)
+    out = out.unionByName(body_chunks(docs, limit, least, starred, size, scratch), allowMissingColumns=True)
     return out.unionByName(amendment_chunks(docs, limit_amendment, size), allowMissingColumns=True).select(*COLUMNS)

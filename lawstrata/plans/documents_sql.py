@@ -152,6 +152,16 @@ UNION SELECT 'Chunk', c.parent_chunk_id, 'CONTAINS', 'Chunk', c.chunk_id FROM c
     "rerank_top4": RERANK,
     "context_blocks": f"WITH r AS ({RERANK}), {CHUNKS} SELECT question_id, md5(string_agg(chr(10) || '--- TÀI LIỆU ' || place || ': ' || coalesce(title, 'Tài liệu không tên') || ' ---' || chr(10) || coalesce(content, '') || chr(10), '' ORDER BY place)) AS context_md5 FROM r JOIN cur ON cur.chunk_id = r.point_id GROUP BY question_id",
 }
+SQL["summary_parts"] = f"""WITH {DOCS},
+s AS (SELECT doc_id, 'Tóm tắt nội dung văn bản: ' || {plain("coalesce(title, '')")} || chr(10) || chr(10) AS head, {strip("summary_content")} AS summary FROM docs),
+z AS (SELECT *, {n_tokens("head")} AS h, {n_tokens("summary")} AS size FROM s WHERE summary <> ''),
+l AS (SELECT doc_id, head, h, i, ps[i] AS part, {n_tokens("ps[i]")} AS n FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT *, string_split_regex(summary, '\n\n+') AS ps FROM z WHERE h + size > 60))),
+g AS (SELECT doc_id, head, greatest(60 - h, 0) AS room, list({{'part': part, 'n': n}} ORDER BY i) AS its, {items("i")} AS ns FROM l GROUP BY doc_id, head, h),
+b AS (SELECT doc_id, head, its, {packed("ns", "room")} AS bins FROM g),
+u AS (SELECT doc_id, head, i, its[i] AS it, bins[i] AS bin FROM (SELECT *, unnest(range(1, len(its) + 1)) AS i FROM b)),
+j AS (SELECT doc_id, head, bin, {strip("string_agg(it.part, chr(10) || chr(10) ORDER BY i)")} AS body FROM u GROUP BY doc_id, head, bin)
+SELECT 'summary_' || doc_id AS chunk_id, 'Summary' AS chunk_type, summary AS content, head || summary AS content_embed FROM z WHERE h + size <= 60
+UNION ALL SELECT 'summary_' || doc_id || '_part' || (bin + 1), 'Summary_Split', body, head || body FROM j"""
 SQL["hit_report"] = f"WITH r AS ({RERANK}), {CHUNKS} SELECT question_id, place, '[' || place || '] ' || printf('%.4f', rerank_score) || ' | ' || coalesce(title, 'Tài liệu không tên') || ' | ' || substr(replace(coalesce(content, ''), chr(10), ' '), 1, 120) || '...' AS line FROM r JOIN cur ON cur.chunk_id = r.point_id"
 SQL["html_round_trip"] = f"""WITH {DOCS} SELECT doc_id, {strip("title")} AS title, len(list_filter(map_entries(metadata), lambda e: {strip("replace(e.key, ':', '')")} <> '' AND {strip("coalesce(e.value, '')")} <> ''))::INT AS n_metadata, len(mucluc)::INT AS n_toc, len(amendments)::INT AS n_amendments,
   array_to_string(list_sort(list_transform(amendments, lambda a: CASE WHEN a.amended_link LIKE '/%' THEN 'https://vanban.example' || a.amended_link ELSE coalesce(a.amended_link, '') END)), ' ') AS links
