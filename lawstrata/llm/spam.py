@@ -35,8 +35,10 @@ SEPARATOR = re.compile(r"[|,/;»•·>]|\s[-–]\s")
 #: How provisions, recitals, forms and tables of law texts begin or look.
 STRUCTURE = re.compile(r"^\s*(?:\d+[.)]\s|[a-zđ]\)\s|Điều\s+\d|Chương\s|Mục\s|Phần\s|Khoản\s|Căn cứ|Theo\s|Xét\s|MẪU|BẢNG|MỤC LỤC|Article\s+\d|Section\s+\d)|\.{4,}|…{2,}|_{4,}")
 TAGS = re.compile(r"^\s*(?:tags?|từ khóa|tu khoa|keywords?)\s*:", re.I)
-#: Words of a line that are judged together, and the share of distinct word pairs below which they are stuffed.
-WINDOW, STUFFED, STUFFED_SHORT = 80, 0.76, 0.62
+LIST_SIGN = re.compile(r"\[[^\[\]]*\]\((?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)\S+|(?<!\S)#\w+|(?<!\w)\w(?:[.*\-_·]\w){4,}(?!\w)", re.I)
+#: Words of a line that are judged together, and the share of distinct word pairs below which so many (or
+#: twice as many as HALF) are stuffed; between, by interpolation. Law structure and short lines take the last.
+WINDOW, HALF, STUFFED_HALF, STUFFED, STUFFED_SHORT = 120, 60, 0.76, 0.66, 0.62
 
 
 def _distinct_pairs(words: list[str]) -> float:
@@ -53,11 +55,13 @@ def spam_share(text: str) -> float:
         if not size:
             continue
         words = WORD.findall(line.lower())
-        if LINK.search(line):
-            if not LAW.search(line):
-                bad += size
+        link = LINK.search(line)
+        if link and LAW.search(line) and len(words) < 40:
+            continue
+        if link or len(HASHTAG.findall(line)) >= 3 or len(SPACED_OUT.findall(line)) >= 2:
+            bad += _between_signs(line, size)
             continue
-        if len(HASHTAG.findall(line)) >= 3 or len(SPACED_OUT.findall(line)) >= 2 or TAGS.match(line):
+        if TAGS.match(line):
             bad += size
             continue
         if STRUCTURE.search(line) or (LAW.search(line) and len(words) < 40):
@@ -80,7 +84,7 @@ def spam_share(text: str) -> float:
         if len(words) <= 14:
             short.append((words, size))
             continue
-        bad += _stuffed(line, words, STUFFED if len(words) >= 30 else STUFFED_SHORT)
+        bad += _stuffed(line, words, 1.0 if len(words) >= 30 else STUFFED_SHORT)
     if len(short) >= 4:
         heads, tails = Counter(tuple(w[:2]) for w, _ in short), Counter(tuple(w[-2:]) for w, _ in short)
         common = Counter(x for w, _ in short for x in set(w))
@@ -90,14 +94,25 @@ def spam_share(text: str) -> float:
     return bad / total if total else 0.0
 
 
+def _between_signs(line: str, size: int) -> float:
+    """Links, hashtags and spelled-out words of a line with the few words between them; prose between them is none."""
+    prose = 0.0
+    for piece in LIST_SIGN.split(line):
+        words = WORD.findall(piece.lower())
+        if len(words) > 14:
+            prose += len(piece.strip()) - _stuffed(piece, words, 1.0)
+    return max(0.0, size - prose)
+
+
 def _stuffed(line: str, words: list[str], least: float) -> float:
-    """Characters of the windows of a line whose word pairs repeat, however long the line is."""
+    """Characters of the windows of a line whose word pairs repeat, however long the line is; ``least`` caps the bound."""
     if len(words) < 12:
         return 0.0
     parts = [words[s : s + WINDOW] for s in range(0, max(1, len(words) - WINDOW // 2), WINDOW)]
     if len(words) > WINDOW:
         parts[-1] = words[WINDOW * (len(parts) - 1) :]
-    hit = sum(len(p) for p in parts if _distinct_pairs(p) < least)
+    bound = lambda n: STUFFED_HALF - (STUFFED_HALF - STUFFED) * (min(max(n, HALF), WINDOW) - HALF) / (WINDOW - HALF)
+    hit = sum(len(p) for p in parts if _distinct_pairs(p) < min(least, bound(len(p))))
     return len(line.strip()) * hit / len(words)
 
 
