@@ -90,11 +90,11 @@ def find_orphans(references: DataFrame, targets: DataFrame, per_range: int = 100
     rng = F.shiftrightunsigned(rng, 32).cast("int")
     refs, keys = refs.withColumn("r", rng), keys.withColumn("r", rng)
     share = refs.groupBy("r").agg(F.ceil(F.count("*") / F.lit(2 * per_range)).cast("int").alias("salts"))
-    share = scratch.cut(share.where("salts > 1"), "share")  # at most one row for each range
+    share = scratch.cut(share.where("salts > 1"), "share")  # only ranges that are hot; the planner sees its size
     salted = share.limit(1).count() > 0
     if salted:
-        refs = refs.join(F.broadcast(share), "r", "left").withColumn("s", F.pmod(F.xxhash64("row_key", "ref_value"), F.coalesce("salts", F.lit(1))).cast("int"))
-        keys = keys.join(F.broadcast(share), "r", "left").withColumn("s", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        refs = refs.join(share, "r", "left").withColumn("s", F.pmod(F.xxhash64("row_key", "ref_value"), F.coalesce("salts", F.lit(1))).cast("int"))
+        keys = keys.join(share, "r", "left").withColumn("s", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
     else:
         refs, keys = refs.withColumn("s", F.lit(0)), keys.withColumn("s", F.lit(0))
     text = F.lit(None).cast("string")
