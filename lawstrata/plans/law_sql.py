@@ -58,7 +58,69 @@ FROM refs LEFT JOIN t ON t.rel = refs.rel AND t.k = refs.k
 WHERE refs.k IS NOT NULL AND (t.k IS NULL OR t.deleted OR t.first > refs.first)
 """
 
+
+# ---- problem 2: shapes told apart on JSON values ----------------------------------------------
+
+
+def _open(x: str) -> str:
+    """What a text of whole JSON holds."""
+    return f"(CASE WHEN json_type({x}) = 'VARCHAR' AND left(ltrim({x}->>'$'), 1) IN ('{{', '[') AND json_valid({x}->>'$') THEN ({x}->>'$')::JSON ELSE {x} END)"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _name(x: str) -> str:
+    return rf"regexp_replace({_strip(x)}, '\s*:$', '')"
+
+
+def _blank(x: str) -> str:
+    return f"(json_type({x}) = 'NULL' OR (json_type({x}) = 'VARCHAR' AND trim({x}->>'$', chr(32) || chr(9) || chr(10) || chr(13)) = '') OR (json_type({x}) IN ('OBJECT', 'ARRAY') AND {x}::VARCHAR IN ('{{}}', '[]')))"
+
+
+P2 = f"""
+WITH RECURSIVE
+rec AS (SELECT record_id, body::JSON AS j FROM raw_record WHERE json_valid(body)),
+meta0 AS (SELECT record_id, {_open("j->'metadata'")} AS j FROM rec WHERE json_type(j) = 'OBJECT'),
+meta1 AS (
+  SELECT record_id, e.key AS k, e.value AS v FROM (SELECT record_id, unnest(map_entries(j::MAP(VARCHAR, JSON))) AS e FROM meta0 WHERE json_type(j) = 'OBJECT')
+  UNION ALL
+  SELECT record_id, x->>0, x->1 FROM (SELECT record_id, unnest(j::JSON[]) AS x FROM meta0 WHERE json_type(j) = 'ARRAY') WHERE json_type(x) = 'ARRAY' AND json_array_length(x) = 2
+  UNION ALL
+  SELECT record_id, x->>'key', x->'value' FROM (SELECT record_id, unnest(j::JSON[]) AS x FROM meta0 WHERE json_type(j) = 'ARRAY') WHERE json_type(x) = 'OBJECT' AND list_sort(json_keys(x)) = ['key', 'value']
+  UNION ALL
+  SELECT record_id, e.key, e.value FROM (SELECT record_id, unnest(map_entries(x::MAP(VARCHAR, JSON))) AS e FROM (SELECT record_id, unnest(j::JSON[]) AS x FROM meta0 WHERE json_type(j) = 'ARRAY') WHERE json_type(x) = 'OBJECT' AND list_sort(json_keys(x)) <> ['key', 'value'])),
+meta AS (SELECT record_id, {_name("k")} AS k, {_open("v")} AS v FROM meta1),
+fields AS (SELECT record_id, k, {_name("e.key")} AS f FROM (SELECT record_id, k, unnest(map_entries(v::MAP(VARCHAR, JSON))) AS e FROM meta WHERE json_type(v) = 'OBJECT') WHERE NOT {_blank("e.value")}),
+entries AS (
+  SELECT record_id, k FROM meta WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY') AND NOT {_blank("v")}
+  UNION SELECT record_id, k FROM fields
+  UNION SELECT record_id, k FROM (SELECT record_id, k, unnest(v::JSON[]) AS x FROM meta WHERE json_type(v) = 'ARRAY') WHERE NOT {_blank("x")}),
+walk(record_id, kind, j, name, tip, own, is_rec) AS (
+  SELECT record_id, 'search', j, '', '', '', false FROM rec
+  UNION ALL
+  SELECT record_id, kind, j, name, tip, coalesce(nullif({_strip("j->>'tip_id'")}, ''), {_strip("name")}),
+    kind = 'hold' AND json_type(j) = 'OBJECT' AND (name <> '' OR len(list_intersect(json_keys(j), ['tip_id', 'bm_title', 'amended_content', 'original_content', 'anchor_text', 'amended_link', 'links', 'phu_luc', 'amendments', 'children'])) > 0)
+  FROM (
+    SELECT record_id, CASE WHEN kind = 'hold' AND NOT is_rec THEN 'hold' WHEN c.key IN ('amendments', 'children') THEN 'hold' ELSE 'search' END AS kind, {_open("c.value")} AS j,
+      CASE WHEN kind = 'hold' AND NOT is_rec THEN c.key ELSE '' END AS name, CASE WHEN is_rec THEN own ELSE tip END AS tip
+    FROM (SELECT *, unnest(map_entries(j::MAP(VARCHAR, JSON))) AS c FROM walk WHERE json_type(j) = 'OBJECT') WHERE c.key <> 'metadata' AND NOT (is_rec AND c.key = 'bm_title')
+    UNION ALL
+    SELECT record_id, kind, {_open("x")}, name, tip FROM (SELECT *, unnest(j::JSON[]) AS x FROM walk WHERE json_type(j) = 'ARRAY'))
+  WHERE json_type(j) IN ('OBJECT', 'ARRAY')),
+titles AS (
+  SELECT record_id, own, {_strip("t->>'$'")} AS title FROM (SELECT record_id, own, CASE WHEN json_type(b) = 'ARRAY' THEN unnest(b::JSON[]) END AS t FROM (SELECT record_id, own, {_open("j->'bm_title'")} AS b FROM walk WHERE is_rec) WHERE json_type(b) = 'ARRAY')
+  UNION ALL
+  SELECT record_id, own, {_strip("b->>'$'")} FROM (SELECT record_id, own, {_open("j->'bm_title'")} AS b FROM walk WHERE is_rec) WHERE json_type(b) NOT IN ('ARRAY', 'OBJECT', 'NULL'))
+SELECT DISTINCT record_id, 'metadata' AS child, '' AS parent_key, k AS child_key FROM entries
+UNION SELECT DISTINCT record_id, 'metadata', k, f FROM fields
+UNION SELECT DISTINCT record_id, 'amendment', tip, own FROM walk WHERE is_rec AND own <> ''
+UNION SELECT DISTINCT record_id, 'bm_title', own, title FROM titles WHERE title <> ''
+"""
+
 SQL = {
+    "p2_found": P2,
     "p3_found": P3,
     "p6_found": P6,
     "p6_by_month": f"SELECT ref_field, ref_status, ref_month, count(*) AS n_refs, count(DISTINCT row_key) AS n_rows FROM ({P6}) GROUP BY ALL",
