@@ -28,4 +28,35 @@ top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, other) AS
 SELECT DISTINCT least(id, other) AS point_a, greatest(id, other) AS point_b FROM top WHERE r <= 5
 """
 
-SQL = {"p1_found": P1, "p5_found": P5}
+P1_GROUPS = P1.split("e AS (")[0].replace("list_distinct([", "list_sort(list_distinct([").replace("+ 2] for i in range(1, len(ws) - 1)])", "+ 2] for i in range(1, len(ws) - 1)]))").replace("WITH t AS", "WITH RECURSIVE t AS", 1) + """
+c AS (SELECT table_name, sh, min(key) AS cid, count(*) AS n FROM s GROUP BY ALL),
+m AS (SELECT s.table_name, s.key, c.cid, c.n FROM s JOIN c ON s.table_name = c.table_name AND s.sh = c.sh),
+e AS (SELECT table_name, cid, unnest(sh) AS x, len(sh) AS n FROM c),
+p AS (SELECT a.table_name, a.cid AS a, b.cid AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.table_name = b.table_name AND a.x = b.x AND a.cid <> b.cid GROUP BY ALL HAVING common >= 0.6 * (na + nb - common)),
+r(table_name, cid, other) AS (SELECT table_name, cid, cid FROM c UNION SELECT r.table_name, r.cid, p.b FROM r JOIN p ON p.table_name = r.table_name AND p.a = r.other),
+g AS (SELECT table_name, cid, min(other) AS group_id FROM r GROUP BY ALL),
+d AS (SELECT table_name, a AS cid, count(*) AS n_links FROM p GROUP BY ALL)
+SELECT m.table_name, m.key, g.group_id, m.n AS n_copies, coalesce(d.n_links, 0) AS n_links FROM m JOIN g ON g.table_name = m.table_name AND g.cid = m.cid LEFT JOIN d ON d.table_name = m.table_name AND d.cid = m.cid
+"""
+
+#: What residue of each notation looks like in these tables, as plain patterns; the operator does not use them.
+RESIDUE = {
+    "html": r"<!--|</?[A-Za-z]|&(#[0-9]+|[A-Za-z]+);",
+    "markdown": r"\*\*|(^|\n)#{1,6} |(^|\n)={3,}(\n|$)|\]\([^)]*\)|(^|\n)> |(^|\n)- \[[ x]\]|(^|\n)\|[^\n]*\|[ ]*(\n|$)|~~|`|__[^_]*[^A-Z_][^_]*__|(^|[^*\w(])\*[^*\s)][^*\n]*\*",
+    "wiki": r"''|(^|\n)={2,6}[^=\n]+={2,6}[ ]*(\n|$)|\[\[|\{\{|\{\||\[https?://[^\]]*\]([^(]|$)|__[A-Z]+__",
+    "latex": r"\\[A-Za-z]+\{|\\item|\$\$|\\\[|\$[^$\s][^$\n]*\$",
+}
+
+
+def _residue() -> str:
+    parts = []
+    for field, markers in (("content", "ANCHOR"), ("content_embed", "(ANCHOR|AMENDMENT)")):
+        bare = rf"regexp_replace({field}, '\[\[(ANCHOR|AMENDMENT):[^\]\n]*\]\]', '', 'g')"
+        for notation, pattern in RESIDUE.items():
+            quoted = pattern.replace("'", "''")
+            parts.append(f"SELECT chunk_id, '{field}' AS text_field, '{notation}' AS notation FROM cur WHERE regexp_matches({bare}, '{quoted}')")
+        parts.append(rf"SELECT chunk_id, '{field}', 'marker' FROM cur WHERE regexp_matches({field}, '\[\[{markers}:')")
+    return "WITH cur AS (SELECT chunk_id, arg_max(content, loaded_at) AS content, arg_max(content_embed, loaded_at) AS content_embed FROM chunk GROUP BY chunk_id)\n" + "\nUNION ALL ".join(parts)
+
+
+SQL = {"p1_found": P1, "p1_groups": P1_GROUPS, "p4_found": _residue(), "p5_found": P5}
