@@ -117,7 +117,7 @@ def _traverse(with_paths: bool):
 
 
 def resolve_by_doubling(nodes: DataFrame, scratch: Scratch, with_paths: bool = False, rounds: int = 64) -> DataFrame:
-    """SCHEMA without ``pre`` and ``last`` values, for components that no task may hold.
+    """SCHEMA without ``pre`` and ``last``, for components that no task may hold; ``n_descendants`` with paths only.
 
     ``nodes``: id, parent, inner (whether the parent is one of the ids). Every round doubles the
     distance that each open node has climbed. When a round settles no node, those left end in rings;
@@ -125,6 +125,13 @@ def resolve_by_doubling(nodes: DataFrame, scratch: Scratch, with_paths: bool = F
     roots for the rest.
     """
 
+    def finished(out: DataFrame) -> DataFrame:
+        if not with_paths:
+            return out.select("id", "root_id", "node_depth", "node_state", F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("n_descendants"))
+        out = scratch.cut(out, "paths")
+        above = out.select(F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("id")).groupBy("id").agg(F.count("*").alias("n_descendants"))
+        return out.join(above, "id", "left").select("id", "root_id", "node_depth", "node_state", F.array_join("path", "/").alias("path"), F.coalesce("n_descendants", F.lit(0)).cast("bigint").alias("n_descendants"))
+
     def climb(start: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
         """start: id, at (the node reached or null), root, depth, path. Settled rows, and open ones if rings are left."""
         cur, settled = scratch.cut(start, f"{name}0"), []
@@ -137,7 +144,7 @@ def resolve_by_doubling(nodes: DataFrame, scratch: Scratch, with_paths: bool = F
             nxt = _union_all(settled + [live]).select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
             step = live.drop("root").join(nxt, "at").select(
                 "id", F.col("at2").alias("at"), F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"),
-                F.concat_ws("/", "path2", "path").alias("path"),
+                F.concat("path2", "path").alias("path"),
             )
             cur = scratch.cut(step, f"{name}{k}")
             now = cur.where("at is not null").count()
@@ -147,16 +154,17 @@ def resolve_by_doubling(nodes: DataFrame, scratch: Scratch, with_paths: bool = F
             open_n = now
         raise RuntimeError("a hierarchy deeper than 2^64")
 
-    path = F.col("id") if with_paths else F.lit(None).cast("string")
+    # paths as arrays while they grow; without them, nulls
+    path = F.array("id") if with_paths else F.lit(None).cast("array<string>")
     start = nodes.select(
         "id", F.when(F.col("inner"), F.col("parent")).alias("at"), F.when(~F.col("inner"), F.coalesce("parent", "id")).alias("root"),
         F.when(F.col("inner") | F.col("parent").isNotNull(), F.lit(1)).otherwise(F.lit(0)).alias("depth"),
-        (F.when(~F.col("inner"), F.concat_ws("/", "parent", "id")).otherwise(F.col("id")) if with_paths else path).alias("path"),
+        (F.when(~F.col("inner") & F.col("parent").isNotNull(), F.array("parent", "id")).otherwise(F.array("id")) if with_paths else path).alias("path"),
     )
     done, live = climb(start, "climb")
     trees = done.select("id", F.col("root").alias("root_id"), F.col("depth").alias("node_depth"), F.lit(TREE).alias("node_state"), "path")
     if live is None:
-        return trees
+        return finished(trees)
     left = nodes.join(live.select("id"), "id", "left_semi").select("id", F.col("parent").alias("at"), F.col("id").alias("least"))
     cur, n, k = scratch.cut(left, "ring0"), left.count(), 0
     while 2**k < n:
@@ -169,10 +177,10 @@ def resolve_by_doubling(nodes: DataFrame, scratch: Scratch, with_paths: bool = F
     touch = on.select(F.col("id").alias("parent"), F.col("least"))
     start = tails.join(touch, "parent", "left").select(
         "id", F.when(F.col("least").isNull(), F.col("parent")).alias("at"), F.col("least").alias("root"), F.lit(1).alias("depth"),
-        (F.when(F.col("least").isNotNull(), F.concat_ws("/", "parent", "id")).otherwise(F.col("id")) if with_paths else path).alias("path"),
+        (F.when(F.col("least").isNotNull(), F.array("parent", "id")).otherwise(F.array("id")) if with_paths else path).alias("path"),
     )
     below, _ = climb(start, "tail")
-    return _union_all([trees, rings, below.select("id", F.col("root").alias("root_id"), F.col("depth").alias("node_depth"), F.lit(BELOW).alias("node_state"), "path")])
+    return finished(_union_all([trees, rings, below.select("id", F.col("root").alias("root_id"), F.col("depth").alias("node_depth"), F.lit(BELOW).alias("node_state"), "path")]))
 
 
 def _union_all(dfs: list[DataFrame]) -> DataFrame:
@@ -193,7 +201,7 @@ def resolve_hierarchy(df: DataFrame, id_col: str, parent_col: str, order_col: st
       as root and depth 0; ``below_cycle`` nodes count the steps to the first node of the ring.
     * All descendants of a node in the same component are the nodes with ``pre`` in (pre, last]; a ring
       node's interval holds what hangs below it, not the rest of the ring. Components above ``bound``
-      have null intervals; their ``n_descendants`` is null too.
+      have null intervals, and ``n_descendants`` only with paths.
     * Other columns of ``df`` are ignored, whatever their names. An empty table gives no rows.
     """
     spark = df.sparkSession
@@ -214,8 +222,8 @@ def resolve_hierarchy(df: DataFrame, id_col: str, parent_col: str, order_col: st
     giants = giant.count()  # no more than total / bound rows
     small = placed.join(giant, "comp", "left_anti") if giants else placed
     n = enough_partitions(spark, total, per_task)
-    walked = small.select("comp", "id", "parent").repartition(n, "comp").sortWithinPartitions("comp").mapInPandas(_traverse(with_paths), SCHEMA)
+    walked = small.select("comp", "id", "parent").repartition(n, "comp").sortWithinPartitions("comp", "id").mapInPandas(_traverse(with_paths), SCHEMA)
     if not giants:
         return walked
     rest = resolve_by_doubling(placed.join(giant, "comp", "left_semi"), scratch, with_paths)
-    return walked.unionByName(rest.select("id", "root_id", F.col("node_depth").cast("int"), "node_state", "path", F.lit(None).cast("bigint").alias("n_descendants"), F.lit(None).cast("bigint").alias("pre"), F.lit(None).cast("bigint").alias("last")))
+    return walked.unionByName(rest.select("id", "root_id", F.col("node_depth").cast("int"), "node_state", "path", "n_descendants", F.lit(None).cast("bigint").alias("pre"), F.lit(None).cast("bigint").alias("last")))

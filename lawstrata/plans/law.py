@@ -32,8 +32,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Full path, depth, root, number of descendants and traversal interval of every chunk."""
-    return resolve_hierarchy(table(spark, folder, "chunk"), "chunk_id", "parent_chunk_id", "loaded_at", "doc_id", with_paths=True).withColumnRenamed("id", "chunk_id").withColumnsRenamed({"pre": "first_visit", "last": "last_visit"})
+    """Full path, depth, root and number of descendants of every chunk."""
+    found = resolve_hierarchy(table(spark, folder, "chunk"), "chunk_id", "parent_chunk_id", "loaded_at", "doc_id", with_paths=True)
+    return found.select(F.col("id").alias("chunk_id"), "root_id", "node_depth", "node_state", "path", "n_descendants")
 
 
 def law_references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -34,6 +34,14 @@ SELECT k AS chunk_id,
 FROM judged
 """
 
+_CLIMB, _STATES = P3.split("SELECT k AS chunk_id")
+P3_PATHS = f"""{_CLIMB.rstrip()},
+chain AS (SELECT k, CASE WHEN NOT ringed THEN seen WHEN first = 0 THEN [k] ELSE seen[1:first + 1] END AS c FROM judged),
+below AS (SELECT x, count(*) AS n FROM (SELECT unnest(c[2:]) AS x FROM chain) GROUP BY x),
+found AS (SELECT k AS chunk_id{_STATES})
+SELECT found.*, array_to_string(list_reverse(c), '/') AS path, coalesce(n, 0) AS n_descendants FROM found JOIN chain ON chain.k = chunk_id LEFT JOIN below ON below.x = chunk_id
+"""
+
 P6 = f"""
 WITH c AS (SELECT {_id("chunk_id")} AS id, * FROM chunk),
 cc AS (SELECT *, min(loaded_at) OVER (PARTITION BY id) AS first, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, amends DESC) AS rn FROM c WHERE id IS NOT NULL),
@@ -122,6 +130,7 @@ UNION SELECT DISTINCT record_id, 'bm_title', own, title FROM titles WHERE title
 SQL = {
     "p2_found": P2,
     "p3_found": P3,
+    "p3_paths": P3_PATHS,
     "p6_found": P6,
     "p6_by_month": f"SELECT ref_field, ref_status, ref_month, count(*) AS n_refs, count(DISTINCT row_key) AS n_rows FROM ({P6}) GROUP BY ALL",
 }

@@ -52,6 +52,7 @@ def test_random_forests(spark, bound):
             steps = r.path.split("/")
             assert steps[-1] == k and steps[0] == (r.root_id if r.node_state == "tree" else steps[0])
             assert all(parent[b] == a for a, b in zip(steps, steps[1:]))
+            assert r.n_descendants == sum(k in other.path.split("/")[:-1] for other in got.values())
 
 
 def test_long_chain_and_descendants(spark):
