@@ -11,7 +11,7 @@ from lawstrata.llm.markup import clean_texts, find_notations
 from lawstrata.llm.mixing import mix_sources
 from lawstrata.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from lawstrata.llm.packing import fill_report, pack_texts
-from lawstrata.llm.spam import judged_pages, spam_pages
+from lawstrata.llm.spam import judged_pages, page_curves, spam_pages
 from lawstrata.sources.tables import table
 
 
@@ -102,5 +102,11 @@ def p9_curves(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select(F.col("id").alias("doc_id"), "lang", "n_words", *(F.round(c, 6).alias(c) for c in ("slope", "residual", "divergence", "share", "z")), "flagged")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_clean, p5_found, p5_neighbours, p7_bins, p7_fill, p8_mix, p8_shares, p9_found, p9_curves)}
+def p9_fits(spark: SparkSession, folder: str) -> DataFrame:
+    """Slope and residual of each page's rank-frequency line."""
+    fits = page_curves(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("lang"))
+    return fits.select(F.col("id").alias("doc_id"), "lang", "n_words", F.round("slope", 4).alias("slope"), F.round("residual", 4).alias("residual"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_clean, p5_found, p5_neighbours, p7_bins, p7_fill, p8_mix, p8_shares, p9_found, p9_curves, p9_fits)}
 SQL = sql.SQL

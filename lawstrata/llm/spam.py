@@ -158,6 +158,13 @@ def rank_curves(spectrum: DataFrame) -> DataFrame:
 OCTAVES = 14
 
 
+def page_curves(df: DataFrame, id_col: str, text: Column, lang: Column) -> DataFrame:
+    """id, lang, n_words, share, slope, residual, octaves: the curve of each page with a word."""
+    src = df.select(F.col(id_col).alias("id"), F.coalesce(norm_id(lang), F.lit("")).alias("lang"), text.alias("text")).where("id is not null")
+    kind = src.schema["id"].dataType.simpleString()
+    return rank_curves(src.mapInArrow(_spectrum, f"id {kind}, lang string, n_words int, f int, v int, share double"))
+
+
 def judged_pages(df: DataFrame, id_col: str, text: Column, lang: Column, extreme: float = EXTREME, group: int = GROUP) -> DataFrame:
     """id, lang, n_words, slope, residual, divergence, share, z, flagged: one row for each page with a word.
 
@@ -172,10 +179,7 @@ def judged_pages(df: DataFrame, id_col: str, text: Column, lang: Column, extreme
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "spam")
-    src = df.select(F.col(id_col).alias("id"), F.coalesce(norm_id(lang), F.lit("")).alias("lang"), text.alias("text")).where("id is not null")
-    kind = src.schema["id"].dataType.simpleString()
-    spectrum = src.mapInArrow(_spectrum, f"id {kind}, lang string, n_words int, f int, v int, share double")
-    curves = scratch.cut(rank_curves(spectrum).withColumn("size", F.floor(2 * F.log2("n_words")).cast("int")), "curves")
+    curves = scratch.cut(page_curves(df, id_col, text, lang).withColumn("size", F.floor(2 * F.log2("n_words")).cast("int")), "curves")
     # what prose looks like: the groups' middles; a row for each language and half octave of length
     parts = [F.percentile_approx(F.col("octaves")[k], 0.5, 1000).alias(f"q{k}") for k in range(OCTAVES)]
     typical = curves.groupBy("lang", "size").agg(F.count("*").alias("pages"), *parts)

@@ -59,4 +59,16 @@ def _residue() -> str:
     return "WITH cur AS (SELECT chunk_id, arg_max(content, loaded_at) AS content, arg_max(content_embed, loaded_at) AS content_embed FROM chunk GROUP BY chunk_id)\n" + "\nUNION ALL ".join(parts)
 
 
-SQL = {"p1_found": P1, "p1_groups": P1_GROUPS, "p4_found": _residue(), "p5_found": P5}
+P9_FITS = r"""
+WITH w AS (SELECT doc_id, coalesce(nullif(lower(trim(lang)), ''), '') AS lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+c AS (SELECT doc_id, lang, n, x, count(*) AS f FROM (SELECT doc_id, lang, len(ws) AS n, unnest(ws) AS x FROM w) GROUP BY ALL),
+s AS (SELECT doc_id, lang, n, f, count(*) AS v FROM c GROUP BY ALL),
+r AS (SELECT *, sum(v) OVER (PARTITION BY doc_id ORDER BY f DESC) AS hi FROM s),
+p AS (SELECT *, ln(sqrt((hi - v + 1) * hi)) AS x, ln(f / n) AS y FROM r),
+m AS (SELECT doc_id, lang, n, sum(v) AS k, sum(v * x) / sum(v) AS mx, sum(v * y) / sum(v) AS my FROM p GROUP BY ALL),
+q AS (SELECT m.doc_id, m.lang, m.n, k, sum(v * (x - mx) ** 2) AS sxx, sum(v * (x - mx) * (y - my)) AS sxy, sum(v * (y - my) ** 2) AS syy FROM p JOIN m ON p.doc_id = m.doc_id GROUP BY ALL),
+l AS (SELECT *, CASE WHEN sxx > 1e-9 THEN sxy / sxx ELSE 0.0 END AS b FROM q)
+SELECT doc_id, lang, n::INT AS n_words, round(b, 4) AS slope, round(sqrt(greatest(0.0, (syy - b * sxy) / k)), 4) AS residual FROM l
+"""
+
+SQL = {"p1_found": P1, "p1_groups": P1_GROUPS, "p4_found": _residue(), "p5_found": P5, "p9_fits": P9_FITS}
