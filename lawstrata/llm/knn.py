@@ -147,18 +147,22 @@ def train_router(x: np.ndarray, expected: int, k: int, recall: float, floor: flo
                 v += 0.001 * (d * d - v)
                 p -= (0.15 if epoch < 16 else 0.03) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     router = Router(w, b, 1.0, np.ones(parts), np.ones(parts))
-    best = np.concatenate([router.probabilities(x[k : k + 2048]).argmax(1) for k in range(0, len(x), 2048)])
-    near = graph[:held, :k]
-    counted = sim[:held, :k] >= floor
-    if counted.sum() < 50:  # too few to judge by
-        near, counted = graph[:, :k], sim[:, :k] >= (floor if (sim[:, :k] >= floor).sum() >= 50 else -1)
-    r, c = np.nonzero(counted)
-    at = np.empty(len(r), np.float32)
-    for k0 in range(0, len(r), 2048):  # a pair is found from either side
-        a, b = r[k0 : k0 + 2048], near[r[k0 : k0 + 2048], c[k0 : k0 + 2048]]
-        own = np.arange(len(a))
-        at[k0 : k0 + 2048] = np.maximum(router.probabilities(x[a])[own, best[b]], router.probabilities(x[b])[own, best[a]])
-    at[best[near[r, c]] == best[r]] = 1.0
+    # pairs to judge by: neighbours in the sample, whose vectors are sparse, stand closer in the table;
+    # so each vector held out gets neighbours by a random step to a cosine that the sample's pairs have
+    known = sim[:, :k][sim[:, :k] >= floor]
+    if floor > 0 and len(known) >= 20:
+        a = x[np.repeat(np.arange(held), k)]
+        c = rng.choice(known, (len(a), 1)).astype(np.float32)
+        step = rng.standard_normal(a.shape, dtype=np.float32)
+        step -= (step * a).sum(1, keepdims=True) * a
+        b = c * a + np.sqrt(np.maximum(1 - c * c, 0)) * step / np.sqrt((step * step).sum(1, keepdims=True))
+    else:
+        a, b = x[np.repeat(np.arange(held), k)], x[graph[:held, :k].ravel()]
+    at = np.empty(len(a), np.float32)
+    for s in range(0, len(a), 2048):  # a pair is found from either side
+        pa_, pb_ = router.probabilities(a[s : s + 2048]), router.probabilities(b[s : s + 2048])
+        own, ta, tb = np.arange(len(pa_)), pa_.argmax(1), pb_.argmax(1)
+        at[s : s + 2048] = np.where(ta == tb, 1.0, np.maximum(pa_[own, tb], pb_[own, ta]))
     # capped below so that no query is sent everywhere for a few odd ones
     router.least = float(max(np.sort(at)[min(len(at) - 1, int((1 - recall) * len(at)))], 1e-4))
     best, _, part = (np.concatenate(z) for z in zip(*(router.parts(x[k : k + 2048]) for k in range(0, len(x), 2048)), strict=True))
