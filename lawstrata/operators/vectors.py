@@ -57,9 +57,13 @@ def points(chunks: DataFrame, dim: int = DIM, embedder=hashed_words) -> DataFram
 
 
 def latest(df: DataFrame, key: str, order: Column) -> DataFrame:
-    """The last write of each key wins; ties go to the greatest row by hash."""
+    """The last write of each key wins; ties go to the greatest row by hash (maps, which have none, left out).
+
+    The aggregate combines before the shuffle, so that a key with a third of the rows is no hot spot.
+    """
     names = [c for c in df.columns if c != key]
-    rows = df.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(order, F.xxhash64(*names))).alias("r"))
+    hashed = [c for c in names if "map<" not in df.schema[c].dataType.simpleString()]
+    rows = df.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(order, F.xxhash64(F.lit(0), *hashed))).alias("r"))
     return rows.select(key, *(F.col(f"r.`{n}`").alias(n) for n in names))
 
 

@@ -22,18 +22,13 @@ LIMIT, LEAST, EMBED_DIM = 96, 4, 64
 
 def current_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The current version of each page that is not deleted."""
-    laws = table(spark, folder, "law_document")
-    names = [c for c in laws.columns if c not in ("source_url", "loaded_at")]
-    rows = laws.groupBy("source_url").agg(F.max_by(F.struct(*names), "loaded_at").alias("r")).where(~F.coalesce("r.is_deleted", F.lit(False)))
-    return rows.select("source_url", *(F.col(f"r.{n}").alias(n) for n in names))
+    laws = vectors.latest(table(spark, folder, "law_document"), "source_url", F.col("loaded_at"))
+    return laws.where(~F.coalesce("is_deleted", F.lit(False)))
 
 
 def current_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The current row of each chunk."""
-    chunks = table(spark, folder, "chunk")
-    names = [c for c in chunks.columns if c not in ("chunk_id", "loaded_at")]
-    rows = chunks.groupBy("chunk_id").agg(F.max_by(F.struct(*names), "loaded_at").alias("r"))
-    return rows.select("chunk_id", *(F.col(f"r.{n}").alias(n) for n in names))
+    return vectors.latest(table(spark, folder, "chunk"), "chunk_id", F.col("loaded_at"))
 
 
 # ---- keys and text functions ------------------------------------------------------------------
