@@ -74,8 +74,8 @@ def entity_targets(chunks: DataFrame) -> DataFrame:
 
 #: The phrases by which the built-in matcher tells entities in the law texts.
 PENALTY = r"((?:Phạt tiền|phạt tiền) từ [0-9.]+ đến [0-9.]+ đồng)"
-SUBJECT = r"(?:đối với|do|cùng) ((?:người|chủ|cơ quan|cơ sở|đơn vị|tổ chức|trung tâm|đội|ban|bên|hợp tác xã|phòng|trạm|nhà thầu|cán bộ|trưởng ca)[\p{L} ]{0,24}?)(?= (?:xe|thực hiện|phải|không|của|tại)|[,.;]|$)"
-ACTION = r"(?:phải|được) ((?:[\p{Ll}]+ ){1,4}[\p{Ll}]+)(?=[ ,.;]|$)"
+SUBJECT = r"(?:đối với|do|cùng) ((?:người|chủ|cơ quan|cơ sở|đơn vị|tổ chức|trung tâm|đội|ban|bên|hợp tác xã|phòng|trạm|nhà thầu|cán bộ|trưởng ca)[\p{L} ]{0,24}?)(?: (?:xe|thực hiện|phải|không|của|tại)|[,.;]|\z)"
+ACTION = r"(?:phải|được) ((?:[\p{Ll}]+ ){1,4}[\p{Ll}]+)(?:[ ,.;]|\z)"
 
 
 def extract_entities(targets: DataFrame) -> DataFrame:

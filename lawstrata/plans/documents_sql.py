@@ -74,6 +74,8 @@ def items(order: str) -> str:
 
 
 PENALTY = r"((?:Phạt tiền|phạt tiền) từ [0-9.]+ đến [0-9.]+ đồng)"
+SUBJECT = r"(?:đối với|do|cùng) ((?:người|chủ|cơ quan|cơ sở|đơn vị|tổ chức|trung tâm|đội|ban|bên|hợp tác xã|phòng|trạm|nhà thầu|cán bộ|trưởng ca)[\p{L} ]{0,24}?)(?: (?:xe|thực hiện|phải|không|của|tại)|[,.;]|\z)"
+ACTION = r"(?:phải|được) ((?:[\p{Ll}]+ ){1,4}[\p{Ll}]+)(?:[ ,.;]|\z)"
 AMENDED, NO_ENTITY = "('Amendment', 'Amendment_Split')", "('Document_Meta', 'Summary', 'Summary_Split', 'Phần', 'Chương', 'Mục', 'Preamble')"
 TARGETS = f"""
 {CHUNKS},
@@ -82,6 +84,7 @@ targets AS (
   SELECT DISTINCT chunk_id, content AS text FROM cur WHERE chunk_type IN {AMENDED}
   UNION SELECT DISTINCT chunk_id, coalesce(content_embed, content) FROM cur WHERE chunk_type NOT IN {AMENDED} AND chunk_type NOT IN {NO_ENTITY} AND chunk_id NOT IN (SELECT p FROM parents))
 """
+ENTITIES = TARGETS + "".join(f", e{k} AS (SELECT DISTINCT chunk_id, '{label}' AS label, {strip('name')} AS name FROM (SELECT chunk_id, unnest(regexp_extract_all(text, '{pattern}', 1)) AS name FROM targets) WHERE {strip('name')} <> '')" for k, (label, pattern) in enumerate({"Subject": SUBJECT, "Action": ACTION, "Penalty": PENALTY}.items())) + ", e AS (SELECT * FROM e0 UNION SELECT * FROM e1 UNION SELECT * FROM e2)"
 _CARD = " || chr(10) || ".join(["'Thông tin chung (Metadata) của văn bản pháp luật:'", f"'- Tên văn bản: ' || {plain('coalesce(title, chr(32)[:0])')}", *(f"'- {k}: ' || coalesce(metadata['{k}'], 'Không có thông tin')" for k in ("Loại văn bản", "Nơi ban hành", "Người ký", "Ngày ban hành", "Ngày hiệu lực", "Tình trạng", "Số công báo", "Ngày công báo"))])
 KNN = """
 WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
@@ -162,6 +165,8 @@ u AS (SELECT doc_id, head, i, its[i] AS it, bins[i] AS bin FROM (SELECT *, unnes
 j AS (SELECT doc_id, head, bin, {strip("string_agg(it.part, chr(10) || chr(10) ORDER BY i)")} AS body FROM u GROUP BY doc_id, head, bin)
 SELECT 'summary_' || doc_id AS chunk_id, 'Summary' AS chunk_type, summary AS content, head || summary AS content_embed FROM z WHERE h + size <= 60
 UNION ALL SELECT 'summary_' || doc_id || '_part' || (bin + 1), 'Summary_Split', body, head || body FROM j"""
+SQL["entity_mentions"] = f"WITH {ENTITIES} SELECT 'Chunk' AS src_label, chunk_id AS src, 'MENTIONS' AS rel, label AS dst_label, name AS dst FROM e"
+SQL["mention_counts"] = f"WITH {ENTITIES} SELECT label, count(*) AS n_mentions, count(DISTINCT name) AS n_entities, count(DISTINCT chunk_id) AS n_chunks FROM e GROUP BY label"
 SQL["hit_report"] = f"WITH r AS ({RERANK}), {CHUNKS} SELECT question_id, place, '[' || place || '] ' || printf('%.4f', rerank_score) || ' | ' || coalesce(title, 'Tài liệu không tên') || ' | ' || substr(replace(coalesce(content, ''), chr(10), ' '), 1, 120) || '...' AS line FROM r JOIN cur ON cur.chunk_id = r.point_id"
 SQL["html_round_trip"] = f"""WITH {DOCS} SELECT doc_id, {strip("title")} AS title, len(list_filter(map_entries(metadata), lambda e: {strip("replace(e.key, ':', '')")} <> '' AND {strip("coalesce(e.value, '')")} <> ''))::INT AS n_metadata, len(mucluc)::INT AS n_toc, len(amendments)::INT AS n_amendments,
   array_to_string(list_sort(list_transform(amendments, lambda a: CASE WHEN a.amended_link LIKE '/%' THEN 'https://vanban.example' || a.amended_link ELSE coalesce(a.amended_link, '') END)), ' ') AS links
