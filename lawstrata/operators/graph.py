@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,16 +50,15 @@ def amended_documents(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 def structure_edges(chunks: DataFrame) -> DataFrame:
     """HAS_METADATA, HAS_SUMMARY and CONTAINS; a parent that is no chunk of the document gives no edge."""
-    c = chunks.where(~F.col("chunk_type").isin(*AMENDMENTS))
-    kind = F.col("chunk_type")
-    meta = _edges(c.where(kind == "Document_Meta"), "Document", F.col("doc_id"), "HAS_METADATA", "Chunk", F.col("chunk_id"))
-    summary = _edges(c.where(kind.isin(*SUMMARIES)), "Document", F.col("doc_id"), "HAS_SUMMARY", "Chunk", F.col("chunk_id"))
-    rest = c.where(~kind.isin("Document_Meta", *SUMMARIES))
-    root = _edges(rest.where(F.col("parent_chunk_id") == F.col("doc_id")), "Document", F.col("doc_id"), "CONTAINS", "Chunk", F.col("chunk_id"))
-    inner = rest.where(F.col("parent_chunk_id") != F.col("doc_id")).select("doc_id", "parent_chunk_id", "chunk_id")
+    c = chunks.where(~F.col("chunk_type").isin(*AMENDMENTS)).select("chunk_type", "doc_id", "parent_chunk_id", "chunk_id")
+    rel = F.when(F.col("chunk_type") == "Document_Meta", "HAS_METADATA").when(F.col("chunk_type").isin(*SUMMARIES), "HAS_SUMMARY").otherwise("CONTAINS")
+    c = c.withColumn("rel", rel)
+    own = c.where((F.col("rel") != "CONTAINS") | (F.col("parent_chunk_id") == F.col("doc_id")))
+    own = own.select(F.lit("Document").alias("src_label"), F.col("doc_id").alias("src"), "rel", F.lit("Chunk").alias("dst_label"), F.col("chunk_id").alias("dst"))
+    inner = c.where((F.col("rel") == "CONTAINS") & (F.col("parent_chunk_id") != F.col("doc_id"))).select("doc_id", "parent_chunk_id", "chunk_id")
     parents = chunks.select("doc_id", F.col("chunk_id").alias("parent_chunk_id")).distinct()
     inner = _edges(inner.join(parents, ["doc_id", "parent_chunk_id"]), "Chunk", F.col("parent_chunk_id"), "CONTAINS", "Chunk", F.col("chunk_id"))
-    return reduce(DataFrame.union, [meta, summary, root, inner]).distinct()
+    return own.union(inner).distinct()
 
 
 def entity_targets(chunks: DataFrame) -> DataFrame:

@@ -20,15 +20,20 @@ SITE = "https://vanban.example"
 LIMIT, LEAST, EMBED_DIM = 96, 4, 64
 
 
-def current_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The current version of each page that is not deleted."""
-    laws = vectors.latest(table(spark, folder, "law_document"), "source_url", F.col("loaded_at"))
-    return laws.where(~F.coalesce("is_deleted", F.lit(False)))
+def current_documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The current version of each page that is not deleted; only the columns named, if any are, travel."""
+    laws = table(spark, folder, "law_document")
+    if columns:
+        laws = laws.select(*dict.fromkeys(("source_url", "is_deleted", "loaded_at", *columns)))
+    return vectors.latest(laws, "source_url", F.col("loaded_at")).where(~F.coalesce("is_deleted", F.lit(False)))
 
 
-def current_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """The current row of each chunk."""
-    return vectors.latest(table(spark, folder, "chunk"), "chunk_id", F.col("loaded_at"))
+def current_chunks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The current row of each chunk; only the columns named, if any are, travel."""
+    chunks = table(spark, folder, "chunk")
+    if columns:
+        chunks = chunks.select(*dict.fromkeys(("chunk_id", "loaded_at", *columns)))
+    return vectors.latest(chunks, "chunk_id", F.col("loaded_at"))
 
 
 # ---- keys and text functions ------------------------------------------------------------------
@@ -70,31 +75,31 @@ def new_wordings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def metadata_cards(spark: SparkSession, folder: str) -> DataFrame:
-    return chunker.meta_chunks(current_documents(spark, folder)).select("chunk_id", "content")
+    return chunker.meta_chunks(current_documents(spark, folder, "doc_id", "title", "metadata")).select("chunk_id", "content")
 
 
 # ---- documents --------------------------------------------------------------------------------
 
 
 def toc_links(spark: SparkSession, folder: str) -> DataFrame:
-    d = current_documents(spark, folder)
+    d = current_documents(spark, folder, "doc_id", "mucluc")
     rows = d.select("doc_id", "source_url", F.posexplode("mucluc").alias("pos", "e"))
     return rows.select("doc_id", "pos", "e.title", F.concat("source_url", "e.href").alias("link"))
 
 
 def metadata_entries(spark: SparkSession, folder: str) -> DataFrame:
-    d = current_documents(spark, folder).select("doc_id", F.explode("metadata").alias("key", "value"))
+    d = current_documents(spark, folder, "doc_id", "metadata").select("doc_id", F.explode("metadata").alias("key", "value"))
     return d.select("doc_id", t.strip(F.regexp_replace("key", ":", "")).alias("key"), t.strip(F.col("value")).alias("value")).where("key <> '' and value <> ''")
 
 
 def related_documents(spark: SparkSession, folder: str) -> DataFrame:
-    d = current_documents(spark, folder).select("doc_id", F.posexplode("lienquan_hieuluc_list").alias("pos", "r"))
+    d = current_documents(spark, folder, "doc_id", "lienquan_hieuluc_list").select("doc_id", F.posexplode("lienquan_hieuluc_list").alias("pos", "r"))
     return d.select("doc_id", "pos", "r.number", "r.lawid", "r.title", absolute(F.col("r.href"), SITE).alias("link"), F.coalesce(F.size("r.attributes"), F.lit(0)).alias("n_attributes"))
 
 
 def html_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Pages written from the documents' fields, parsed again: what the parser reads back."""
-    d = current_documents(spark, folder)
+    d = current_documents(spark, folder, "title", "metadata", "mucluc", "amendments")
     esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     meta = F.array_join(F.transform(F.map_entries("metadata"), lambda e: F.concat(F.lit("<tr><td><b>"), esc(e["key"]), F.lit(":</b></td><td>"), esc(e["value"]), F.lit("</td></tr>"))), "")
     toc = F.array_join(F.transform("mucluc", lambda e: F.concat(F.lit('<li><a class="amuclucvb" href="'), esc(e["href"]), F.lit('">'), esc(e["title"]), F.lit("</a></li>"))), "")
@@ -121,13 +126,13 @@ def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_sources(spark: SparkSession, folder: str) -> DataFrame:
-    a = current_documents(spark, folder).select("source_url", "doc_id", "title", F.lit("law_document").alias("origin"))
+    a = current_documents(spark, folder, "doc_id", "title").select("source_url", "doc_id", "title", F.lit("law_document").alias("origin"))
     return a.unionByName(table(spark, folder, "base_law").withColumn("origin", F.lit("base_law")), allowMissingColumns=True).select("source_url", "doc_id", "title", "validity", "origin")
 
 
 def distinct_amendments(spark: SparkSession, folder: str) -> DataFrame:
     """Amendments of the documents, structurally equal ones once."""
-    d = current_documents(spark, folder).select("doc_id", F.posexplode("amendments").alias("pos", "a"))
+    d = current_documents(spark, folder, "doc_id", "amendments").select("doc_id", F.posexplode("amendments").alias("pos", "a"))
     first = F.row_number().over(Window.partitionBy("doc_id", F.to_json("a")).orderBy("pos"))
     return d.withColumn("r", first).where("r = 1").select("doc_id", "pos", "a.tip_id", "a.bm_title")
 
@@ -136,17 +141,17 @@ def distinct_amendments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, folder: str) -> DataFrame:
-    s = chunker.segments(current_documents(spark, folder), LEAST, starred=False)
+    s = chunker.segments(current_documents(spark, folder, "doc_id", "title", "main_content"), LEAST, starred=False)
     return s.select("doc_id", "pos", "seg_id", "clean", "n_tokens", "kind", F.array_join("anchors", ",").alias("anchors"), F.array_join("amends", ",").alias("amends"))
 
 
 def hierarchy_fill(spark: SparkSession, folder: str) -> DataFrame:
-    s = chunker.with_hierarchy(chunker.segments(current_documents(spark, folder), LEAST, starred=False))
+    s = chunker.with_hierarchy(chunker.segments(current_documents(spark, folder, "doc_id", "title", "main_content"), LEAST, starred=False))
     return s.select("doc_id", "pos", "seg_id", "kind", "part", "chapter", "section")
 
 
 def pack_articles(spark: SparkSession, folder: str) -> DataFrame:
-    s = chunker.with_hierarchy(chunker.segments(current_documents(spark, folder), LEAST, starred=False))
+    s = chunker.with_hierarchy(chunker.segments(current_documents(spark, folder, "doc_id", "title", "main_content"), LEAST, starred=False))
     b = chunker.article_bins(s, LIMIT)
     g = b.groupBy("doc_id", "barrier", "bin").agg(F.min_by("seg_id", "pos").alias("first"), F.count("*").alias("n_items"), F.sum("n_tokens").alias("n_tokens"), ordered("clean", "pos", "\n\n").alias("content"), union_of("anchors").alias("anchors"))
     return g.select("doc_id", F.concat("first", F.when(F.col("n_items") > 1, "_gop").otherwise("")).alias("chunk_id"), "n_items", "n_tokens", "content", F.array_join("anchors", ",").alias("anchors"))
@@ -160,12 +165,12 @@ def pack_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def summary_parts(spark: SparkSession, folder: str) -> DataFrame:
-    return chunker.summary_chunks(current_documents(spark, folder), 60).select("chunk_id", "chunk_type", "content", "content_embed")
+    return chunker.summary_chunks(current_documents(spark, folder, "doc_id", "title", "summary_content"), 60).select("chunk_id", "chunk_type", "content", "content_embed")
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """All chunks of the documents, cut at small limits so that every path is taken."""
-    c = chunker.chunk_documents(current_documents(spark, folder), LIMIT, 80, LEAST, starred=False)
+    c = chunker.chunk_documents(current_documents(spark, folder, "doc_id", "title", "metadata", "summary_content", "main_content", "amendments"), LIMIT, 80, LEAST, starred=False)
     return c.withColumn("anchors", F.array_join("anchors", ",")).withColumn("amends", F.array_join("amends", ","))
 
 
@@ -186,11 +191,11 @@ def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embed_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return vectors.embeddable(current_chunks(spark, folder)).select("chunk_id", "chunk_type", t.point_key(F.col("chunk_id")).alias("point_id"), F.md5(F.col("embed_text").cast("binary")).alias("text_md5"))
+    return vectors.embeddable(current_chunks(spark, folder, "chunk_type", "content", "content_embed")).select("chunk_id", "chunk_type", t.point_key(F.col("chunk_id")).alias("point_id"), F.md5(F.col("embed_text").cast("binary")).alias("text_md5"))
 
 
 def embedded_points(spark: SparkSession, folder: str) -> DataFrame:
-    p = vectors.points(current_chunks(spark, folder), EMBED_DIM)
+    p = vectors.points(current_chunks(spark, folder, "chunk_type", "content", "content_embed"), EMBED_DIM)
     norm = F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 4)
     return p.select("point_id", "payload.chunk_type", F.size("vector").alias("dim"), norm.alias("norm"))
 
@@ -232,32 +237,32 @@ def streamed_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.document_nodes(current_chunks(spark, folder))
+    return graph.document_nodes(current_chunks(spark, folder, "chunk_type", "doc_id", "title", "source_url", "metadata", "ord"))
 
 
 def chunk_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.chunk_nodes(current_chunks(spark, folder)).withColumn("content", F.md5(F.col("content").cast("binary")))
+    return graph.chunk_nodes(current_chunks(spark, folder, "chunk_type", "doc_id", "content", "content_embed", "parent_chunk_id", "bm_title", "amended_link")).withColumn("content", F.md5(F.col("content").cast("binary")))
 
 
 def amendment_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.amendment_edges(current_chunks(spark, folder))
+    return graph.amendment_edges(current_chunks(spark, folder, "chunk_type", "doc_id", "tip_id", "amends"))
 
 
 def amended_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = current_documents(spark, folder).select("source_url", "doc_id").union(table(spark, folder, "base_law").select("source_url", "doc_id"))
-    return graph.amended_documents(current_chunks(spark, folder), docs)
+    docs = current_documents(spark, folder, "doc_id").select("source_url", "doc_id").union(table(spark, folder, "base_law").select("source_url", "doc_id"))
+    return graph.amended_documents(current_chunks(spark, folder, "chunk_type", "amended_link"), docs)
 
 
 def structure_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.structure_edges(current_chunks(spark, folder))
+    return graph.structure_edges(current_chunks(spark, folder, "chunk_type", "doc_id", "parent_chunk_id"))
 
 
 def entity_targets(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.entity_targets(current_chunks(spark, folder)).select("chunk_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return graph.entity_targets(current_chunks(spark, folder, "chunk_type", "content", "content_embed", "parent_chunk_id")).select("chunk_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def _entities(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.unpivot_entities(graph.extract_entities(graph.entity_targets(current_chunks(spark, folder))))
+    return graph.unpivot_entities(graph.extract_entities(graph.entity_targets(current_chunks(spark, folder, "chunk_type", "content", "content_embed", "parent_chunk_id"))))
 
 
 def entity_mentions(spark: SparkSession, folder: str) -> DataFrame:
@@ -276,7 +281,7 @@ def mention_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dispatched(spark: SparkSession, folder: str) -> DataFrame:
-    d = graph.dispatch(graph.entity_targets(current_chunks(spark, folder)), 2)
+    d = graph.dispatch(graph.entity_targets(current_chunks(spark, folder, "chunk_type", "content", "content_embed", "parent_chunk_id")), 2)
     return d.groupBy("endpoint").agg(F.count("*").alias("n_targets"))
 
 
@@ -295,33 +300,29 @@ def query_expansion(spark: SparkSession, folder: str) -> DataFrame:
     return q.select("question_id", F.posexplode(retrieval.expanded(F.col("question"), F.col("reply"))).alias("query_ord", "query"))
 
 
-def _summaries(spark: SparkSession, folder: str) -> DataFrame:
-    return current_documents(spark, folder).select("doc_id", "title", F.col("summary_content").alias("content")).where("length(content) > 0")
-
-
 def rerank_top4(spark: SparkSession, folder: str) -> DataFrame:
     """For each law, its chunks' summary and points reranked against its title by shared words."""
-    c = current_chunks(spark, folder).where("content_embed is not null")
-    d = current_documents(spark, folder).select(F.col("doc_id").alias("question_id"), F.col("title").alias("question"))
+    c = current_chunks(spark, folder, "doc_id", "content", "content_embed").where("content_embed is not null")
+    d = current_documents(spark, folder, "doc_id", "title").select(F.col("doc_id").alias("question_id"), F.col("title").alias("question"))
     hits = c.join(d, c.doc_id == d.question_id).select("question_id", "question", F.col("chunk_id").alias("point_id"), "content", F.lit(0).alias("query_ord"), F.lit(0).alias("rank"))
     top = retrieval.reranked(hits, F.round(retrieval.overlap(F.col("question"), F.col("content")), 6))
     return top.select("question_id", "point_id", "place", "rerank_score")
 
 
 def context_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    top = rerank_top4(spark, folder).join(current_chunks(spark, folder).select(F.col("chunk_id").alias("point_id"), "title", "content"), "point_id")
+    top = rerank_top4(spark, folder).join(current_chunks(spark, folder, "title", "content").select(F.col("chunk_id").alias("point_id"), "title", "content"), "point_id")
     return retrieval.contexts(top).select("question_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
 def hit_report(spark: SparkSession, folder: str) -> DataFrame:
     """The reranked hits of each law, one line each."""
-    top = rerank_top4(spark, folder).join(current_chunks(spark, folder).select(F.col("chunk_id").alias("point_id"), "title", "content"), "point_id")
+    top = rerank_top4(spark, folder).join(current_chunks(spark, folder, "title", "content").select(F.col("chunk_id").alias("point_id"), "title", "content"), "point_id")
     return retrieval.report(top)
 
 
 def question_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Answers to the questions whose id is divisible by 20, from the whole index of embeddable chunks."""
-    p = vectors.points(current_chunks(spark, folder), EMBED_DIM).select("point_id", "vector", "payload.content", "payload.title")
+    p = vectors.points(current_chunks(spark, folder, "chunk_type", "content", "content_embed", "title"), EMBED_DIM).select("point_id", "vector", "payload.content", "payload.title")
     p = Scratch(spark, "points").cut(p, "points")
     q = _questions(spark, folder).where("question_id % 20 = 0")
     return retrieval.answer_questions(q.select("question_id", "question"), p, F.lit(None).cast("string"), EMBED_DIM)
