@@ -1,4 +1,8 @@
-"""Chunks to a property graph: node and edge tables with set semantics."""
+"""Chunks to a property graph: node and edge tables with set semantics.
+
+Null keys join nothing; a chunk without a type has a node and no edges. Empty tables give empty tables,
+repeated rows change no edge or entity. Columns that are not named here are ignored.
+"""
 
 from __future__ import annotations
 
@@ -50,7 +54,7 @@ def amended_documents(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 def structure_edges(chunks: DataFrame) -> DataFrame:
     """HAS_METADATA, HAS_SUMMARY and CONTAINS; a parent that is no chunk of the document gives no edge."""
-    c = chunks.where(~F.col("chunk_type").isin(*AMENDMENTS)).select("chunk_type", "doc_id", "parent_chunk_id", "chunk_id")
+    c = chunks.where(~F.col("chunk_type").isin(*AMENDMENTS) & F.col("chunk_id").isNotNull()).select("chunk_type", "doc_id", "parent_chunk_id", "chunk_id")
     rel = F.when(F.col("chunk_type") == "Document_Meta", "HAS_METADATA").when(F.col("chunk_type").isin(*SUMMARIES), "HAS_SUMMARY").otherwise("CONTAINS")
     c = c.withColumn("rel", rel)
     own = c.where((F.col("rel") != "CONTAINS") | (F.col("parent_chunk_id") == F.col("doc_id")))

@@ -43,6 +43,17 @@ def test_edges_and_nodes(spark):
     assert graph.structure_edges(c.limit(0)).count() == 0
 
 
+def test_dirty_chunks(spark):
+    odd = ({"chunk_id": None, "chunk_type": "Khoản", "doc_id": "d", "parent_chunk_id": "a1"}, {"chunk_id": "t", "doc_id": "d", "parent_chunk_id": "d"}, {"chunk_id": "x", "chunk_type": "Khoản"}, BASE[2], BASE[2])
+    c = chunks(spark, *BASE, *odd).withColumn("rel", F.lit("clash")).withColumn("src", F.lit(1))
+    edges = graph.structure_edges(c).collect()
+    assert len(edges) == len(set(edges)) == 4 and all(r.src and r.dst for r in edges)
+    assert {r.chunk_id for r in graph.chunk_nodes(c).collect()} >= {"t", "x", None}
+    assert graph.amendment_edges(c).count() == 1 and graph.entity_targets(c).where("chunk_id = 'x'").count() == 1
+    for f in (graph.amendment_edges, graph.structure_edges, graph.entity_targets, graph.chunk_nodes, graph.document_nodes):
+        assert f(c.limit(0)).count() == 0
+
+
 def test_entities(spark):
     reply = '<think>a\n{"x"</think>```json\n{"subjects": ["A", " ", "A", 3], "penalties": [], "actions": "no", "things": ["T"]}\n```'
     df = spark.createDataFrame([("c", reply), ("d", "[1]"), ("e", "not json"), ("f", None), ("g", '{"penalties": ["P"]}')], "chunk_id string, entities string")
