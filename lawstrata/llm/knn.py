@@ -4,7 +4,7 @@ A bounded sample gives a neighbour graph, which is cut into balanced parts: recu
 each half refined by swaps that lower the number of cut edges. A small softmax classifier learns
 the parts of a vector's neighbourhood. Every vector is indexed in its most probable part; a query
 is routed to the parts that are probable enough, whose vectors are reranked by cosine. How probable
-is enough is set so that the wanted recall is reached on the part of the sample not trained on.
+is enough is set so that the wanted recall is reached on random steps from vectors not trained on.
 
 Vectors travel as unit vectors in 16-bit fixed point, which leaves cosines right to about 0.00005.
 
@@ -236,7 +236,7 @@ def _route(dim: int, router: Router | None):
 
 
 def _rerank(dim: int, k: int, floor: float):
-    """Rows come by (cell, side): index rows (0), index rows that also ask (1), query rows (2)."""
+    """Rows come by place, which is cell * 4 + side: index rows (0), index rows that also ask (1), query rows (2)."""
 
     def top(q: np.ndarray, qv: np.ndarray, x: np.ndarray, xv: np.ndarray) -> pa.RecordBatch | None:
         out = []
@@ -282,7 +282,8 @@ def _rerank(dim: int, k: int, floor: float):
             qs, qvs = [], []
 
         for batch in batches:
-            cells = np.asarray(batch.column("cell"))
+            places = np.asarray(batch.column("place"))
+            cells = places >> 2
             cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if s == e:
@@ -292,7 +293,7 @@ def _rerank(dim: int, k: int, floor: float):
                     cell, xs, vs, asks, index = cells[s], [], [], [], None
                 part = batch.slice(s, e - s)
                 x = unpacked(part.column("vec"), dim)
-                side, v = np.asarray(part.column("side")), np.asarray(part.column("v"))
+                side, v = places[s:e] & 3, np.asarray(part.column("v"))
                 inner = side < 2
                 if inner.any():
                     xs.append(x[inner])
@@ -354,7 +355,9 @@ def most_similar(df: DataFrame, id_col: str, vector_col: str, k: int, order_col:
     else:
         cells = routed.select(F.col("part").cast("bigint").alias("cell"), "side", "v", "vec")
     n = max(parallelism(spark), min(parts, -(-total // 20_000)))
-    found = cells.repartition(n, "cell").sortWithinPartitions("cell", "side").mapInArrow(_rerank(dim, k if queries is not None else 2 * k, min_cosine), "q bigint, n bigint, cosine double")
+    # cell and side in one number: of what is shuffled, all but the vector should be little
+    cells = cells.select((F.col("cell") * 4 + F.col("side")).alias("place"), "v", "vec")
+    found = cells.repartition(n, F.shiftright("place", 2)).sortWithinPartitions("place").mapInArrow(_rerank(dim, k if queries is not None else 2 * k, min_cosine), "q bigint, n bigint, cosine double")
     if queries is None:  # a pair found from one side counts for both; twice k, as one side may have nearer ones
         both = F.array(F.struct("q", "n", "cosine"), F.struct(F.col("n").alias("q"), F.col("q").alias("n"), "cosine"))
         found = found.select(F.explode(both).alias("x")).select("x.*")  # not a union, which would rerank twice
