@@ -315,8 +315,8 @@ def most_similar(df: DataFrame, id_col: str, vector_col: str, k: int, order_col:
     * Vectors that are null, all zero, not of ``dim`` numbers, or hold a null, NaN or infinite number
       are left out, as are null ids. ``dim`` defaults to the most frequent length.
     * Of a repeated id, the row with the greatest ``order_col`` among the usable ones counts.
-    * Vectors of unequal length are compared by cosine. Ties go to the lesser id. Copies count as
-      neighbours of cosine 1; of many copies, the least k ids are taken.
+    * Vectors of unequal length are compared by cosine. Copies count as neighbours of
+      cosine 1; of many copies, the least k ids are taken. Other ties go by a hash of the vectors.
     * ``queries`` (a condition on ``df``) restricts who asks, not who is found.
     * An empty table, or a single vector, gives no rows. Other columns of ``df`` are ignored.
     """
@@ -384,12 +384,12 @@ def _with_copies(found: DataFrame, cur: DataFrame, scratch: Scratch, k: int) ->
 
     best = found.groupBy("q", "n").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "n"))
-    best = scratch.cut(best.withColumn("r", rank).where(F.col("r") <= k).drop("r"), "best")
+    best = scratch.cut(best.withColumn("r", rank).where(F.col("r") <= k), "best")
     many = scratch.cut(cur.groupBy("v").count().where("count > 1").select("v"), "many")
     order = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
     if not many.limit(1).count():
         pairs = best.join(cur.select(F.col("v").alias("q"), "id"), "q").join(cur.select(F.col("v").alias("n"), F.col("id").alias("neighbour")), "n")
-        return pairs.select("id", "neighbour", "cosine").withColumn("rank", order)
+        return pairs.select("id", "neighbour", "cosine", F.col("r").alias("rank"))
     # the least k + 1 ids of every vector stand for its copies
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     single = cur.join(many, "v", "left_anti").select("v", "id")
