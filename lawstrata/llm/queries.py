@@ -50,7 +50,7 @@ def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _near_points(spark: SparkSession, folder: str) -> DataFrame:
-    return most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96, min_cosine=0.80, recall=0.945)
+    return most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96, min_cosine=0.80, recall=0.935)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
