@@ -3,9 +3,10 @@
 Every page's words, ranked by frequency, form a curve. SQL windows over the frequency spectrum (how
 many words occur f times) give the ranks and a least-squares line through log frequency against log
 rank; a page is flagged when its slope, the residual of the fit, or the divergence of its curve from
-the pages of the same language and a comparable length is extreme. A flagged page is then checked
-exactly: the characters of stuffed keywords, bare link lists, and product and tag lists must make up
-more than half of its text.
+the pages of the same language and a comparable length is extreme. The curves are a report: a spam
+page's curve is not extreme where many pages resemble it. Which pages are spam is decided exactly, for
+each page by itself: the characters of stuffed keywords, bare link lists, and product and tag lists
+must make up more than half of its text.
 """
 
 from __future__ import annotations
@@ -198,6 +199,18 @@ def judged_pages(df: DataFrame, id_col: str, text: Column, lang: Column, extreme
     return d.select("id", "lang", "n_words", "slope", "residual", "divergence", "share", worst.alias("z"), ((F.col("pages") < group) | (worst > extreme)).alias("flagged"))
 
 
-def spam_pages(df: DataFrame, id_col: str, text: Column, lang: Column, **options) -> DataFrame:
-    """Ids of the flagged pages of which more than half is spam."""
-    return judged_pages(df, id_col, text, lang, **options).where(F.col("flagged") & (F.col("share") > MOST)).select("id")
+def _spam_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of the pages with a word of which more than half is spam."""
+    for batch in batches:
+        hit = [bool(text and WORD.search(text) and spam_share(text) > MOST) for text in batch.column("text").to_pylist()]
+        yield batch.filter(pa.array(hit, pa.bool_())).select(["id"])
+
+
+def spam_pages(df: DataFrame, id_col: str, text: Column, lang: Column | None = None) -> DataFrame:
+    """Ids of the pages of which more than half is spam.
+
+    Each page is judged by its own text alone, so neither the number of pages like it nor ``lang``
+    (accepted as by ``judged_pages``, but not read) changes the answer. A null id is left out.
+    """
+    src = df.select(F.col(id_col).alias("id"), text.alias("text")).where("id is not null")
+    return src.mapInArrow(_spam_ids, f"id {src.schema['id'].dataType.simpleString()}")

@@ -147,3 +147,11 @@ def test_curves_and_pages(spark):
     got = {r.id for r in spam.spam_pages(df, "i", F.col("t"), F.col("l")).collect()}
     assert got == {1000 + k for k in range(28)} | {3003}
     assert spam.spam_pages(df.limit(0), "i", F.col("t"), F.col("l")).count() == 0
+
+
+def test_spam_among_its_like(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 120), "vi") for i in range(30)] + [(1000 + k, spam_text(random.Random(9), 0, 40), "vi") for k in range(60)] + [(2000 + k, spam_text(rng, 5, 40), "vi") for k in range(60)]
+    df = spark.createDataFrame(rows, "i bigint, t string, l string")
+    want = {1000 + k for k in range(60)} | {2000 + k for k in range(60)}
+    assert {r.id for r in spam.spam_pages(df, "i", F.col("t"), F.col("l")).collect()} == want
