@@ -49,19 +49,15 @@ def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
     return clean_texts(table(spark, folder, "chunk"), c("chunk_id"), {"content": c("content"), "content_embed": c("content_embed")}).withColumnRenamed("id", "chunk_id")
 
 
-def _near_points(spark: SparkSession, folder: str) -> DataFrame:
-    return most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96, min_cosine=0.80, recall=0.935)
-
-
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of points with cosine 0.80 or more, one among the other's five most similar."""
-    near = _near_points(spark, folder)
+    near = most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96, min_cosine=0.80, recall=0.935)
     return near.select(F.least("id", "neighbour").alias("point_a"), F.greatest("id", "neighbour").alias("point_b")).distinct()
 
 
 def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """The up to five most similar points of every point, with cosine 0.80 or more."""
-    near = _near_points(spark, folder)
+    """The five most similar points of every point, whatever their cosine."""
+    near = most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96)
     return near.select(F.col("id").alias("point_id"), "neighbour", F.col("rank").alias("neighbour_rank"), F.round("cosine", 3).alias("cosine"))
 
 
