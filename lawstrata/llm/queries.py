@@ -15,6 +15,10 @@ from lawstrata.llm.spam import judged_pages, page_curves, spam_pages
 from lawstrata.sources.tables import table
 
 
+#: Share of the true neighbours that p5_found asks for.
+RECALL = 0.985
+
+
 def _provisions(spark: SparkSession, folder: str) -> DataFrame:
     """The texts of problem 1: chunks but for metadata cards, and amendments with new wording."""
     chunk = table(spark, folder, "chunk").where("chunk_type is null or chunk_type <> 'Document_Meta'").select(F.lit("chunk").alias("table_name"), F.trim("chunk_id").alias("key"), F.col("content").alias("text"), "loaded_at")
@@ -51,7 +55,7 @@ def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of points with cosine 0.80 or more, one among the other's five most similar."""
-    near = most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96, min_cosine=0.80, recall=0.935)
+    near = most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96, min_cosine=0.80, recall=RECALL)
     return near.select(F.least("id", "neighbour").alias("point_a"), F.greatest("id", "neighbour").alias("point_b")).distinct()
 
 

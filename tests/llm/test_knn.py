@@ -91,3 +91,16 @@ def test_parts_are_balanced():
     assert sizes.max() - sizes.min() <= 8 and cut < 0.6
     unpacked = knn.unpacked(knn.packed(x), 16)
     assert np.abs((unpacked * x).sum(1) - 1).max() < 1e-6
+
+
+def test_recall_as_registered(spark, monkeypatch, tmp_path):
+    from lawstrata.llm.queries import QUERIES
+
+    monkeypatch.setattr(knn, "PART", 80)
+    rng = np.random.default_rng(7)  # clusters larger than a part
+    x = rng.standard_normal((40, 96))[rng.integers(0, 40, 6000)] + 0.45 * rng.standard_normal((6000, 96))
+    frame(spark, x).toDF("point_id", "vector", "loaded_at").write.parquet(str(tmp_path / "vector_point.parquet"))
+    at, sim = truth(x, 5)
+    want = {tuple(sorted((f"p{i:05}", f"p{j:05}"))) for i in range(len(x)) for j, s in zip(at[i], sim[i], strict=True) if s >= 0.8}
+    got = {tuple(r) for r in QUERIES["p5_found"](spark, str(tmp_path)).collect()}
+    assert len(want & got) >= 0.965 * len(want) > 10_000, len(want & got) / len(want)
