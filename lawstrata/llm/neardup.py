@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from lawstrata.llm.words import jaccard, mix, shingles, words
 from lawstrata.operators.components import connected_components
-from lawstrata.session import Scratch
+from lawstrata.session import Scratch, parallelism
 
 SEGMENTS, WIDTH = 10, 5
 SYMBOLS = SEGMENTS * WIDTH
@@ -37,6 +37,8 @@ SYMBOLS = SEGMENTS * WIDTH
 BLOCK = 64
 #: Copies up to which a class is written out as all pairs of keys; above, as links to its least key.
 SPELL_OUT = 64
+#: Keys of a block of a class that is written out.
+KEYS = 256
 #: Cells of the bitmap that thins the rows before the second shuffle: 65,536 words, whatever the data.
 CELLS = 1 << 22
 
@@ -184,22 +186,33 @@ def near_duplicate_classes(df: DataFrame, key: Column | str, text: Column | str,
     return docs.select("grp", "key", "cid"), scratch.cut(links, "links"), scratch
 
 
-def near_duplicate_pairs(df: DataFrame, key: Column | str, text: Column | str, order: Column | str | None = None, group: Column | str | None = None, spell_out: int = SPELL_OUT, **options) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, key: Column | str, text: Column | str, order: Column | str | None = None, group: Column | str | None = None, spell_out: int | None = SPELL_OUT, **options) -> DataFrame:
     """(grp, key_a, key_b), key_a < key_b: the pairs of keys of one group whose texts are near-duplicates.
 
     A class of more than ``spell_out`` texts with equal shingle sets is written as links between its
     least key and each other key, and its links to other classes as those of its least key; every
-    smaller class is written out in full.
+    smaller class is written out in full. None writes all classes out in full, whatever their size.
     """
     members, links, scratch = near_duplicate_classes(df, key, text, order, group, **options)
     size = members.groupBy("cid").agg(F.count("*").alias("n"), F.min("key").alias("least"))
-    m = scratch.cut(members.join(size, "cid"), "members")
-    out = m.where((F.col("n") <= spell_out) | (F.col("key") == F.col("least")))
-    across = links.select("a", "b").join(out.select(F.col("cid").alias("a"), "grp", F.col("key").alias("ka")), "a").join(out.select(F.col("cid").alias("b"), F.col("key").alias("kb")), "b").select("grp", "ka", "kb")
-    copies = m.where((F.col("n") > 1) & (F.col("n") <= spell_out)).select("cid", "grp", "key")
-    within = copies.select("cid", "grp", F.col("key").alias("ka")).join(copies.select("cid", F.col("key").alias("kb")), "cid").where("ka < kb").select("grp", "ka", "kb")
-    star = m.where((F.col("n") > spell_out) & (F.col("key") != F.col("least"))).select("grp", F.col("least").alias("ka"), F.col("key").alias("kb"))
-    return across.union(within).union(star).select("grp", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
+    m = members.join(size, "cid")
+    star = None
+    if spell_out is not None:
+        m = scratch.cut(m, "members")
+        star = m.where((F.col("n") > spell_out) & (F.col("key") != F.col("least"))).select("grp", F.col("least").alias("x"), F.col("key").alias("y"))
+        m = m.where((F.col("n") <= spell_out) | (F.col("key") == F.col("least"))).withColumn("n", F.when(F.col("n") <= spell_out, F.col("n")).otherwise(1))
+    # a large class is cut into blocks of keys; pairs of blocks are dealt out before they become pairs of keys
+    blk = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / KEYS)).alias("blk")
+    blocks = scratch.cut(m.groupBy("cid", blk).agg(F.first("grp").alias("grp"), F.first("n").alias("n"), F.collect_list("key").alias("keys")), "blocks")
+    side = lambda x, keys, *more: blocks.select(F.col("cid").alias(x), F.col("keys").alias(keys), *more)
+    across = links.select("a", "b").join(side("a", "xs", "grp"), "a").join(side("b", "ys"), "b").select("grp", "xs", "ys", F.lit(False).alias("same"))
+    several = blocks.where("n > 1")
+    within = several.select("cid", "grp", F.col("keys").alias("xs"), F.col("blk").alias("i")).join(several.select("cid", F.col("keys").alias("ys"), F.col("blk").alias("j")), "cid").where("i <= j").select("grp", "xs", "ys", F.expr("i = j").alias("same"))
+    pairs = across.union(within).repartition(parallelism(df.sparkSession))
+    pairs = pairs.select("grp", "ys", "same", F.explode("xs").alias("x")).select("grp", "same", "x", F.explode("ys").alias("y")).where("not same or x < y").select("grp", "x", "y")
+    if star is not None:
+        pairs = pairs.union(star)
+    return pairs.select("grp", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
 
 
 def near_duplicate_groups(df: DataFrame, key: Column | str, text: Column | str, order: Column | str | None = None, group: Column | str | None = None, **options) -> DataFrame:

@@ -29,7 +29,7 @@ def _provisions(spark: SparkSession, folder: str) -> DataFrame:
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of keys whose texts carry one provision: three-word shingles, similarity 0.6, 60 words or more."""
     c = F.col
-    pairs = near_duplicate_pairs(_provisions(spark, folder), c("key"), c("text"), c("loaded_at"), c("table_name"), threshold=0.6, shingle=3, least_words=60)
+    pairs = near_duplicate_pairs(_provisions(spark, folder), c("key"), c("text"), c("loaded_at"), c("table_name"), spell_out=None, threshold=0.6, shingle=3, least_words=60)
     return pairs.withColumnRenamed("grp", "table_name")
 
 

@@ -93,3 +93,17 @@ def test_groups(spark):
 def test_threshold_is_checked(spark):
     with pytest.raises(ValueError):
         found(spark, [("a", "b", "c")], threshold=0.3)
+
+
+def test_large_class_is_written_out(spark, monkeypatch, tmp_path):
+    from lawstrata.llm.queries import QUERIES
+
+    if hasattr(neardup, "KEYS"):
+        monkeypatch.setattr(neardup, "KEYS", 16)
+    text = " ".join(f"w{i}" for i in range(90))
+    rows = [(f"c{i:03}", text if i % 3 else text.upper() + ".", "chunk") for i in range(80)]
+    rows += [("d0", text + " thêm một", "chunk"), ("d1", "đầu " + text, "chunk"), ("e", " ".join(f"v{i}" for i in range(90)), "chunk")]
+    spark.createDataFrame([("Khoan", k, t, 1) for k, t, _ in rows], "chunk_type string, chunk_id string, content string, loaded_at int").write.parquet(str(tmp_path / "chunk.parquet"))
+    spark.createDataFrame([], "amend_key string, amended_content string, loaded_at int").write.parquet(str(tmp_path / "amendment.parquet"))
+    got = [tuple(r) for r in QUERIES["p1_found"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) == 82 * 81 // 2 and set(got) == brute(rows, 3, 0.6, 60)
