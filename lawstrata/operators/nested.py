@@ -56,20 +56,40 @@ def text_of(value: Any) -> str:
 
 
 def state_of(value: Any) -> str:
-    """The automaton's state of a node, from its children's states."""
+    """The automaton's state of a node, from its children's states; bottom-up without recursion, as depth is unknown."""
+    frames = [_frame(value)]
+    while True:
+        node, left, states = frames[-1]
+        if left:
+            frames.append(_frame(left.pop()))
+            continue
+        frames.pop()
+        state = _state(node, states)
+        if not frames:
+            return state
+        frames[-1][2].add(state)
+
+
+def _frame(value: Any) -> tuple[Any, list, set[str]]:
+    """A node, its children still to be judged, and the states of the others."""
     value = opened(value)
+    if isinstance(value, dict):
+        known = value.keys() & RECORD_FIELDS or value.keys() & set(CONTAINERS) or set(value) == {"key", "value"}
+        return value, [] if known else list(value.values()), set()
+    return value, list(value) if isinstance(value, list) else [], set()
+
+
+def _state(value: Any, states: set[str]) -> str:
+    inner = states - {"blank"}
     if isinstance(value, dict):
         if value.keys() & RECORD_FIELDS or value.keys() & set(CONTAINERS):
             return "record"
         if set(value) == {"key", "value"}:
             return "entry"
-        inner = {state_of(x) for x in value.values()} - {"blank"}
         if not inner:
             return "blank"
         return "filed" if inner <= {"record", "records"} else "fields"
     if isinstance(value, list):
-        states = [state_of(x) for x in value]
-        inner = set(states) - {"blank"}
         if not inner:
             return "blank"
         if inner <= {"record", "records", "filed"}:
@@ -91,19 +111,20 @@ def entry_name(name: Any) -> str:
 
 def _entries(value: Any) -> Iterator[tuple[str, str, Any]]:
     """(variant, name, value) of every metadata entry, whatever holds them."""
-    value = opened(value)
-    if isinstance(value, dict):
-        if set(value) == {"key", "value"}:
-            yield "entry", entry_name(value["key"]), value["value"]
-        else:
-            for name, x in value.items():
-                yield "fields", entry_name(name), x
-    elif isinstance(value, list):
-        for x in value:
-            if isinstance(x, list) and len(x) == 2 and isinstance(x[0], str):
-                yield "pair", entry_name(x[0]), x[1]
-            else:
-                yield from _entries(x)
+    stack = [(value, False)]
+    while stack:
+        x, element = stack.pop()
+        if element and isinstance(x, list) and len(x) == 2 and isinstance(x[0], str):
+            yield "pair", entry_name(x[0]), x[1]
+            continue
+        x = opened(x)
+        if isinstance(x, list):
+            stack += [(y, True) for y in reversed(x)]
+        elif isinstance(x, dict) and set(x) == {"key", "value"}:
+            yield "entry", entry_name(x["key"]), x["value"]
+        elif isinstance(x, dict):
+            for name, y in x.items():
+                yield "fields", entry_name(name), y
 
 
 def flatten(record_id: int, body: str | None) -> list[tuple]:
@@ -121,15 +142,15 @@ def flatten(record_id: int, body: str | None) -> list[tuple]:
         return len(rows) - 1
 
     def titles(value: Any) -> Iterator[str]:
-        value = opened(value)
-        if isinstance(value, list):
-            for x in value:
-                yield from titles(x)
-        elif isinstance(value, dict):
-            for x in value.values():
-                yield from titles(x)
-        elif text_of(value):
-            yield text_of(value)
+        left = [value]
+        while left:
+            x = opened(left.pop())
+            if isinstance(x, list):
+                left += reversed(x)
+            elif isinstance(x, dict):
+                left += reversed(x.values())
+            elif text_of(x):
+                yield text_of(x)
 
     def metadata(node: int, value: Any) -> None:
         for variant, name, x in _entries(value):

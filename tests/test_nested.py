@@ -62,3 +62,12 @@ def test_links_and_subtypes(spark):
     parts = {k: v.count() for k, v in subtype_tables(rows.where("record_id is null")).items()}
     assert parts == {"record": 1, "metadata_entry": 1, "metadata_field": 1, "amendment": 2, "title": 2}
     assert flatten_records(df.limit(0), "rid", "b").count() == 0
+
+
+def test_deep_values():
+    deep = '{"a": ' * 3000 + "1" + "}" * 3000
+    lists = "[" * 3000 + '"t"' + "]" * 3000
+    body = f'{{"metadata": {{"x": {deep}, "y": "z"}}, "amendments": [{{"tip_id": "1", "bm_title": {lists}}}]}}'
+    got = [(r[3], r[5], r[6]) for r in flatten(1, body)]
+    assert ("metadata", "", "x") in got and ("metadata", "", "y") in got and ("bm_title", "1", "t") in got
+    assert len(flatten(2, deep)) == 1 and flatten(3, f'{{"metadata": {lists}}}')
