@@ -97,15 +97,16 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_curves(spark: SparkSession, folder: str) -> DataFrame:
-    """The rank-frequency curve of each page, what is extreme about it, and the share of spam in the page."""
+    """How much of each page lies in passages with an extreme rank-frequency curve."""
     pages = judged_pages(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("lang"))
-    return pages.select(F.col("id").alias("doc_id"), "lang", "n_words", *(F.round(c, 6).alias(c) for c in ("slope", "residual", "divergence", "share", "z")), "flagged")
+    return pages.select(F.col("id").alias("doc_id"), "n_words", "n_passages", "n_extreme", F.round("share", 4).alias("share"), "found")
 
 
 def p9_fits(spark: SparkSession, folder: str) -> DataFrame:
-    """Slope and residual of each page's rank-frequency line."""
+    """Slope, residual and divergence of each passage's rank-frequency curve."""
     fits = page_curves(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("lang"))
-    return fits.select(F.col("id").alias("doc_id"), "lang", "n_words", F.round("slope", 4).alias("slope"), F.round("residual", 4).alias("residual"))
+    values = (F.round(c, 4).alias(c) for c in ("slope", "residual", "divergence"))
+    return fits.select(F.col("id").alias("doc_id"), "part", "n_words", "prose", *values)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_clean, p5_found, p5_neighbours, p7_bins, p7_fill, p8_mix, p8_shares, p9_found, p9_curves, p9_fits)}

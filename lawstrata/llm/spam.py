@@ -1,18 +1,25 @@
-"""Keyword-stuffed and link-list pages.
-
-Every page's words, ranked by frequency, form a curve. SQL windows over the frequency spectrum (how
-many words occur f times) give the ranks and a least-squares line through log frequency against log
-rank; a page is flagged when its slope, the residual of the fit, or the divergence of its curve from
-the pages of the same language and a comparable length is extreme. The curves are a report: a spam
-page's curve is not extreme where many pages resemble it. Which pages are spam is decided exactly, for
-each page by itself: the characters of stuffed keywords, bare link lists, and product and tag lists
-must make up more than half of its text.
+"""Keyword-stuffed and link-list pages, by rank-frequency curves.
+
+Every page is cut into passages of about the same number of words, so that curves are compared at
+comparable lengths and a page that is half prose is judged by its halves. A passage's words, ranked by
+frequency, form its curve; SQL windows over the frequency spectrum (how many words occur f times) give
+the ranks, and a least-squares line through log frequency against log rank gives slope and residual.
+Its divergence from prose of the same language is the mean surprise of its words, in bits, by how many
+passages of prose hold each word. A passage is extreme where slope, residual and divergence together
+lie too far from the passages of its language; a page whose extreme passages hold more than half of the
+characters of its words is found.
+
+What prose looks like is taken from the collection: the passages of a language that repeat themselves
+least (the half with the most distinct words), each text counted once however often it is copied. All
+middles and spreads are medians and quartiles on the side of prose, so they hold until about half of a
+language's distinct passages are spam.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,195 +29,265 @@ from pyspark.sql import functions as F
 from lawstrata.functions.text import norm_id
 from lawstrata.session import Scratch
 
-#: Robust z-score beyond which a curve is extreme, and pages that a reference group must have.
-EXTREME, GROUP = 1.0, 50
+#: Words of a passage, and the least number of words of one that statistics are taken from.
+PASSAGE, FULL = 48, 36
+#: Sum of the z-scores of slope, residual and divergence beyond which a passage is extreme, and the z-score
+#: that divergence must have by itself.
+EXTREME, DIVERGENT = 9.0, 2.0
+#: Weight of the point where a curve ends.
+END = 3
+#: Share of a page's characters in extreme passages beyond which it is found.
 MOST = 0.5
+#: A language with fewer texts has no prose of its own and shares that of all such languages; the most
+#: languages with prose of their own; words of each that are kept, the most frequent ones.
+OWN_PROSE, LANGUAGES, VOCABULARY = 16, 63, 20_000
+#: Shares of distinct words are told apart in so many steps, values of curves in steps of a 1/STEP.
+SHARES, STEP = 64, 200
+REST = ""
+#: A page is in another language than its label says only if each of its words is, on average, held by so large a share of that prose.
+LIKE = 0.05
 
 WORD = re.compile(r"[^\W_]+")
-LINK = re.compile(r"https?://|www\.", re.I)
-#: The kinds of law documents, as titles begin.
-LAW = re.compile(r"(?:Bộ luật|Luật|Nghị định|Thông tư|Quyết định|Chỉ thị|Nghị quyết|Công văn|Văn bản hợp nhất|Pháp lệnh|Thông báo)\s+(?:gốc\s+)?(?:số\s+)?\d", re.I)
-HASHTAG = re.compile(r"(?:^|\s)#\w")
-SPACED_OUT = re.compile(r"(?<!\w)\w(?:[.*\-_·]\w){4,}(?!\w)")
-SEPARATOR = re.compile(r"[|,/;»•·>]|\s[-–]\s")
-#: How provisions, recitals, forms and tables of law texts begin or look.
-STRUCTURE = re.compile(r"^\s*(?:\d+[.)]\s|[a-zđ]\)\s|Điều\s+\d|Chương\s|Mục\s|Phần\s|Khoản\s|Căn cứ|Theo\s|Xét\s|MẪU|BẢNG|MỤC LỤC|Article\s+\d|Section\s+\d)|\.{4,}|…{2,}|_{4,}")
-TAGS = re.compile(r"^\s*(?:tags?|từ khóa|tu khoa|keywords?)\s*:", re.I)
-LIST_SIGN = re.compile(r"\[[^\[\]]*\]\((?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)\S+|(?<!\S)#\w+|(?<!\w)\w(?:[.*\-_·]\w){4,}(?!\w)", re.I)
-#: Words of a line that are judged together, and the share of distinct word pairs below which so many (or
-#: twice as many as HALF) are stuffed; between, by interpolation. Law structure and short lines take the last.
-WINDOW, HALF, STUFFED_HALF, STUFFED, STUFFED_SHORT = 120, 60, 0.76, 0.66, 0.62
-
-
-def _distinct_pairs(words: list[str]) -> float:
-    return len(set(zip(words, words[1:], strict=False))) / (len(words) - 1) if len(words) > 1 else 1.0
-
-
-def spam_share(text: str) -> float:
-    """Share of a text's characters, without white space at line ends, in stuffed keywords, link lists, product and tag lists."""
-    total = bad = 0
-    short: list[tuple[list[str], int]] = []
-    for line in text.split("\n"):
-        size = len(line.strip())
-        total += size
-        if not size:
-            continue
-        words = WORD.findall(line.lower())
-        link = LINK.search(line)
-        if link and LAW.search(line) and len(words) < 40:
-            continue
-        if link or len(HASHTAG.findall(line)) >= 3 or len(SPACED_OUT.findall(line)) >= 2:
-            bad += _between_signs(line, size)
-            continue
-        if TAGS.match(line):
-            bad += size
-            continue
-        if STRUCTURE.search(line) or (LAW.search(line) and len(words) < 40):
-            # a provision may still hide a long run of one phrase
-            bad += _stuffed(line, words, STUFFED_SHORT)
-            continue
-        items = [x for x in SEPARATOR.split(line) if x.strip()]
-        if len(items) >= 4 and len(words) / len(items) <= 8:
-            heads = Counter(tuple(WORD.findall(x.lower())[:2]) for x in items)
-            again = sum(n for n in heads.values() if n > 1) / len(items)
-            if again >= 0.3 or len(words) / len(items) <= 4.5:
-                bad += size
-                continue
-        if len(items) >= 4 and len(words) / len(items) <= 20:
-            own = [set(WORD.findall(x.lower())) for x in items]
-            common = {x for x, n in Counter(x for o in own for x in o).items() if n >= 0.6 * len(items)}
-            if sum(len(o & common) >= 2 for o in own) >= 0.5 * len(items):
-                bad += size
-                continue
-        if len(words) <= 14:
-            short.append((words, size))
-            continue
-        bad += _stuffed(line, words, 1.0 if len(words) >= 30 else STUFFED_SHORT)
-    if len(short) >= 4:
-        heads, tails = Counter(tuple(w[:2]) for w, _ in short), Counter(tuple(w[-2:]) for w, _ in short)
-        common = Counter(x for w, _ in short for x in set(w))
-        again = [heads[tuple(w[:2])] > 1 or tails[tuple(w[-2:])] > 1 or any(common[x] >= 0.6 * len(short) for x in w) for w, _ in short]
-        if sum(again) >= 0.5 * len(short):
-            bad += sum(size for _, size in short)
-    return bad / total if total else 0.0
-
-
-def _between_signs(line: str, size: int) -> float:
-    """Links, hashtags and spelled-out words of a line with the few words between them; prose between them is none."""
-    prose = 0.0
-    for piece in LIST_SIGN.split(line):
-        words = WORD.findall(piece.lower())
-        if len(words) > 14:
-            prose += len(piece.strip()) - _stuffed(piece, words, 1.0)
-    return max(0.0, size - prose)
-
-
-def _stuffed(line: str, words: list[str], least: float) -> float:
-    """Characters of the windows of a line whose word pairs repeat, however long the line is; ``least`` caps the bound."""
-    if len(words) < 12:
-        return 0.0
-    parts = [words[s : s + WINDOW] for s in range(0, max(1, len(words) - WINDOW // 2), WINDOW)]
-    if len(words) > WINDOW:
-        parts[-1] = words[WINDOW * (len(parts) - 1) :]
-    bound = lambda n: STUFFED_HALF - (STUFFED_HALF - STUFFED) * (min(max(n, HALF), WINDOW) - HALF) / (WINDOW - HALF)
-    hit = sum(len(p) for p in parts if _distinct_pairs(p) < min(least, bound(len(p))))
-    return len(line.strip()) * hit / len(words)
-
-
-def _spectrum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each page and word frequency: how many words have it; n_words 0 for pages without words."""
-    for batch in batches:
-        at: list[int] = []
-        rows: list[tuple[int, int, int]] = []
-        shares: list[float] = []
-        for k, text in enumerate(batch.column("text").to_pylist()):
-            words = WORD.findall(text.lower()) if text else []
-            share = spam_share(text) if words else 0.0
-            for f, v in Counter(Counter(words).values()).items():
-                at.append(k)
-                rows.append((len(words), f, v))
-                shares.append(share)
-        n, f, v = zip(*rows, strict=True) if rows else ((), (), ())
-        take = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("lang").take(take), pa.array(n, pa.int32()), pa.array(f, pa.int32()), pa.array(v, pa.int32()), pa.array(shares, pa.float64())], names=["id", "lang", "n_words", "f", "v", "share"])
+DIGIT = re.compile(r"\d")
 
 
-def rank_curves(spectrum: DataFrame) -> DataFrame:
-    """Per page: slope and residual of the rank-frequency line, and the share of its words in each octave of ranks.
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits in lower case; any with a digit counts as the one word ``#``."""
+    return ["#" if DIGIT.search(w) else w for w in WORD.findall(text.lower())]
 
-    Words of equal frequency share ranks; the group stands at the geometric middle of its ranks and
-    weighs as many points as it has words.
-    """
-    by = Window.partitionBy("id")
-    ranks = spectrum.withColumn("hi", F.sum("v").over(by.orderBy(F.desc("f")))).withColumn("lo", F.col("hi") - F.col("v") + 1)
-    x, y = F.log(F.sqrt(F.col("lo") * F.col("hi"))), F.log(F.col("f") / F.col("n_words"))
-    p = ranks.withColumn("x", x).withColumn("y", y)
-    s = {"w": F.sum("v"), "sx": F.sum(F.col("v") * F.col("x")), "sy": F.sum(F.col("v") * F.col("y")), "sxx": F.sum(F.col("v") * F.col("x") ** 2), "sxy": F.sum(F.col("v") * F.col("x") * F.col("y")), "syy": F.sum(F.col("v") * F.col("y") ** 2)}
-    # words of the octave [2^k, 2^(k+1)) of ranks, by the overlap of each tie group with it
-    octave = [F.sum(F.greatest(F.lit(0), F.least("hi", F.lit(2 ** (k + 1) - 1)) - F.greatest("lo", F.lit(2**k)) + 1) * F.col("f")) / F.first("n_words") for k in range(OCTAVES - 1)]
-    octave.append(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.lit(2 ** (OCTAVES - 1))) + 1) * F.col("f")) / F.first("n_words"))
-    g = p.groupBy("id", "lang", "n_words", "share").agg(*(c.alias(n) for n, c in s.items()), F.array(*octave).alias("octaves"))
-    vx = F.col("sxx") - F.col("sx") ** 2 / F.col("w")
-    vxy, vy = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("w"), F.col("syy") - F.col("sy") ** 2 / F.col("w")
-    slope = F.when(vx > 1e-9, vxy / vx).otherwise(F.lit(0.0))
-    return g.select("id", "lang", "n_words", "share", slope.alias("slope"), F.sqrt(F.greatest(F.lit(0.0), (vy - slope * vxy) / F.col("w"))).alias("residual"), "octaves")
-
-
-OCTAVES = 14
-
-
-def page_curves(df: DataFrame, id_col: str, text: Column, lang: Column) -> DataFrame:
-    """id, lang, n_words, share, slope, residual, octaves: the curve of each page with a word."""
-    src = df.select(F.col(id_col).alias("id"), F.coalesce(norm_id(lang), F.lit("")).alias("lang"), text.alias("text")).where("id is not null")
-    kind = src.schema["id"].dataType.simpleString()
-    return rank_curves(src.mapInArrow(_spectrum, f"id {kind}, lang string, n_words int, f int, v int, share double"))
 
+def passages(n: int) -> list[int]:
+    """Where the passages of n words begin, and n."""
+    m = max(1, (n + PASSAGE // 2) // PASSAGE)
+    return [-(-n * j // m) for j in range(m + 1)]
 
-def judged_pages(df: DataFrame, id_col: str, text: Column, lang: Column, extreme: float = EXTREME, group: int = GROUP) -> DataFrame:
-    """id, lang, n_words, slope, residual, divergence, share, z, flagged: one row for each page with a word.
 
-    * ``z`` is the largest robust z-score (by median and median deviation of the group) of slope and
-      residual, either way, and of divergence, upwards; ``flagged`` means above ``extreme``. A group is
-      a language (trimmed, lower case; missing ones are one group) and half an octave of page length;
-      pages of a group with fewer than ``group`` pages are always flagged, as there is nothing to
-      compare them with.
-    * ``share`` is the share of stuffed keywords, link lists, product and tag lists in the text.
-    * Null and empty texts, and texts without letters and digits, give no row. Ids must be unique; a
-      null id is left out. Whole texts are read.
-    """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "spam")
-    curves = scratch.cut(page_curves(df, id_col, text, lang).withColumn("size", F.floor(2 * F.log2("n_words")).cast("int")), "curves")
-    # what prose looks like: the groups' middles; a row for each language and half octave of length
-    parts = [F.percentile_approx(F.col("octaves")[k], 0.5, 1000).alias(f"q{k}") for k in range(OCTAVES)]
-    typical = curves.groupBy("lang", "size").agg(F.count("*").alias("pages"), *parts)
-    q = F.array(*(F.col(f"q{k}") + 1e-4 for k in range(OCTAVES)))
-    typical = typical.select("lang", "size", "pages", F.transform(q, lambda a: a / F.aggregate(q, F.lit(0.0), lambda s, b: s + b)).alias("q"))
-    p = F.transform("octaves", lambda a: (a + 1e-4) / (1 + 1e-4 * OCTAVES))
-    d = curves.join(typical, ["lang", "size"]).withColumn("divergence", F.aggregate(F.zip_with(p, "q", lambda a, b: a * F.log(a / b)), F.lit(0.0), lambda s, b: s + b)).drop("octaves", "q")
-    d = scratch.cut(d, "divergence")
-    values = ("slope", "residual", "divergence")
-    middle = d.groupBy("lang", "size").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}") for c in values))
-    d = d.join(middle, ["lang", "size"])
-    spread = d.groupBy("lang", "size").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 1000).alias(f"s_{c}") for c in values))
-    d = d.join(spread, ["lang", "size"])
-    z = {c: (F.col(c) - F.col(f"m_{c}")) / (F.lit(1.4826) * F.col(f"s_{c}") + 1e-3) for c in values}
-    worst = F.greatest(F.abs(z["slope"]), F.abs(z["residual"]), z["divergence"])
-    return d.select("id", "lang", "n_words", "slope", "residual", "divergence", "share", worst.alias("z"), ((F.col("pages") < group) | (worst > extreme)).alias("flagged"))
-
-
-def _spam_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids of the pages with a word of which more than half is spam."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weight of the full passages of each language and share of distinct words that hold each word, and '' of all of
+    them. A text's passages weigh one together, so that a long one does not outweigh the others."""
+    seen: defaultdict[tuple[str, int, str], float] = defaultdict(float)
+
+    def rows() -> pa.RecordBatch:
+        keys = list(seen)
+        cols = [pa.array([k[c] for k in keys], t) for c, t in enumerate((pa.string(), pa.int32(), pa.string()))]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(seen.values(), pa.float64())], names=["lang", "bin", "word", "n"])
+
     for batch in batches:
-        hit = [bool(text and WORD.search(text) and spam_share(text) > MOST) for text in batch.column("text").to_pylist()]
-        yield batch.filter(pa.array(hit, pa.bool_())).select(["id"])
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = words_of(text)
+            cuts = passages(len(words))
+            full = sum(e - s >= FULL for s, e in zip(cuts, cuts[1:], strict=False))
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if e - s >= FULL:
+                    own = set(words[s:e])
+                    share = len(own) * SHARES // (e - s)
+                    for w in (*own, ""):
+                        seen[lang, share, w] += 1 / full
+        if len(seen) > 500_000:
+            yield rows()
+            seen.clear()
+    if seen:
+        yield rows()
+
+
+class Prose:
+    """For each word in each language's prose the share of passages that hold it, and its surprise in bits; of any other word, ``rare``."""
+
+    def __init__(self, langs: list[str], rare: list[float], words: dict[str, list[tuple[int, float]]]):
+        self.langs, self.rare, self.place = langs, rare, {x: k for k, x in enumerate(langs)}
+        self.words = {w: [(k, p, rare[k] + math.log2(p)) for k, p in own] for w, own in words.items()}
+
+    def language(self, label: str, words: list[str]) -> int:
+        """The prose a page is compared with: of the language it is labelled with, unless the frequent words of another fit
+        twice as well; without a label, of the language that fits best; of a language without prose of its own, the shared one."""
+        fit = [0.0] * len(self.langs)
+        n = 0
+        for w in words:
+            if w != "#":
+                n += 1
+                for k, p, _ in self.words.get(w, ()):
+                    fit[k] += p
+        named = [k for k, x in enumerate(self.langs) if x != REST] or [0]
+        best = max(named, key=fit.__getitem__)
+        own = self.place.get(label, self.place.get(REST)) if label != REST else None
+        if own is None:
+            return best
+        return best if fit[best] > 2 * fit[own] and fit[best] > LIKE * n else own
+
+    def divergence(self, k: int, counts: Counter[str], n: int) -> float:
+        """The mean surprise of words by the prose of a language."""
+        total = self.rare[k] * n
+        for w, f in counts.items():
+            for at, _, gain in self.words.get(w, ()):
+                if at == k:
+                    total -= f * gain
+        return total / n
+
+
+def learn_prose(pages: DataFrame, scratch: Scratch) -> Prose:
+    """From (lang, text) rows, each distinct one counted once. Bounded: LANGUAGES and VOCABULARY."""
+    texts = pages.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("lang", "text")
+    seen = scratch.cut(texts.mapInArrow(_count_words, "lang string, bin int, word string, n double").groupBy("lang", "bin", "word").agg(F.sum("n").alias("n")), "words")
+    shares = seen.where("word = ''")
+    sizes = shares.where(F.col("lang") != REST).groupBy("lang").agg(F.sum("n").alias("all")).where(F.round("all", 3) >= OWN_PROSE)
+    own = [r["lang"] for r in sizes.orderBy(F.desc(F.round("all", 3)), "lang").limit(LANGUAGES).collect()]
+    lang = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(REST)) if own else F.lit(REST)
+    if own:  # texts without a label show no language's prose
+        seen, shares = (x.where(F.col("lang") != REST) for x in (seen, shares))
+    by = Window.partitionBy("lang").orderBy("bin")
+    shares = shares.groupBy(lang.alias("lang"), "bin").agg(F.sum("n").alias("n"))
+    shares = shares.withColumn("upto", F.sum("n").over(by)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
+    middle = shares.where(2 * F.col("upto") >= F.col("all") - 1e-6).groupBy("lang").agg(F.min("bin").alias("least"))
+    kept = seen.withColumn("lang", lang).join(F.broadcast(middle), "lang").where(F.col("bin") >= F.col("least"))  # a row for each language
+    kept = kept.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.round("n", 6)), "word"))
+    table = kept.withColumn("r", rank).where(F.col("r") <= VOCABULARY + 1).select("lang", "word", "n").toArrow().to_pylist()
+    total = {r["lang"]: r["n"] for r in table if not r["word"]}
+    langs = sorted(total)
+    rare = [-math.log2(0.5 / total[x]) for x in langs]
+    words: dict[str, list[tuple[int, float]]] = {}
+    for r in table:
+        if r["word"]:
+            words.setdefault(r["word"], []).append((langs.index(r["lang"]), (r["n"] + 0.5) / total[r["lang"]]))
+    return Prose(langs, rare, words)
+
+
+def _spectrum(prose: Prose):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each passage and word frequency: how many words have it."""
+        names = ("part", "n_words", "weight", "chars", "prose", "divergence", "f", "v")
+        types = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())
+        for batch in batches:
+            at: list[int] = []
+            rows: list[tuple] = []
+            for k, (label, text) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                found = WORD.findall(text.lower())
+                words = ["#" if DIGIT.search(w) else w for w in found]
+                cuts = passages(len(words)) if words and prose.langs else []
+                lang = prose.language(label, words) if cuts else 0
+                weight = 1 / max(1, sum(e - s >= FULL for s, e in zip(cuts, cuts[1:], strict=False)))
+                for part, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    counts = Counter(words[s:e])
+                    head = (part, e - s, weight, sum(map(len, found[s:e])), prose.langs[lang], prose.divergence(lang, counts, e - s))
+                    for f, v in Counter(counts.values()).items():
+                        at.append(k)
+                        rows.append((*head, f, v))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["id", *names])
+
+    return run
 
 
-def spam_pages(df: DataFrame, id_col: str, text: Column, lang: Column | None = None) -> DataFrame:
-    """Ids of the pages of which more than half is spam.
+def rank_curves(spectrum: DataFrame) -> DataFrame:
+    """One row for each passage: slope and residual of its rank-frequency line, beside its other columns.
 
-    Each page is judged by its own text alone, so neither the number of pages like it nor ``lang``
-    (accepted as by ``judged_pages``, but not read) changes the answer. A null id is left out.
+    Words of equal frequency share ranks; the group stands at the geometric middle of its ranks and
+    weighs as many points as it has words. Where the curve ends, half a word at the next rank weighs
+    ``END`` points, so that few words that are all equally frequent make a steep line and not a flat one.
+    """
+    passage = ["id", "part"]
+    up_to = F.sum("v").over(Window.partitionBy(*passage).orderBy(F.desc("f")))
+    ranks = spectrum.withColumn("hi", up_to).withColumn("lo", F.col("hi") - F.col("v") + 1)
+    p = ranks.withColumn("x", F.log(F.sqrt(F.col("lo") * F.col("hi")))).withColumn("y", F.log(F.col("f") / F.col("n_words")))
+    v, x, y = F.col("v"), F.col("x"), F.col("y")
+    sums = {"w": v, "sx": v * x, "sy": v * y, "sxx": v * x * x, "sxy": v * x * y, "syy": v * y * y}
+    others = [F.first(c).alias(c) for c in ("n_words", "weight", "chars", "prose", "divergence")]
+    g = p.groupBy(*passage).agg(*others, *(F.sum(c).alias(n) for n, c in sums.items()))
+    x, y = F.log(F.col("w") + 1), F.log(0.5 / F.col("n_words"))
+    sx, sy, sxx, sxy, syy = (F.col(n) + END * c for n, c in (("sx", x), ("sy", y), ("sxx", x * x), ("sxy", x * y), ("syy", y * y)))
+    w = F.col("w") + END
+    vx, vxy, vy = sxx - sx * sx / w, sxy - sx * sy / w, syy - sy * sy / w
+    g = g.select(*passage, *(c for c in ("n_words", "weight", "chars", "prose", "divergence")), w.alias("w"), (vxy / vx).alias("slope"), vxy.alias("vxy"), vy.alias("vy"))
+    residual = F.sqrt(F.greatest(F.lit(0.0), (F.col("vy") - F.col("slope") * F.col("vxy")) / F.col("w")))
+    return g.withColumn("residual", residual).drop("w", "vxy", "vy")
+
+
+def page_curves(df: DataFrame, id_col: str, text: Column, lang: Column, scratch: Scratch | None = None) -> DataFrame:
+    """id, part, n_words, weight, chars, prose, divergence, slope, residual: the curve of each passage of each page with a word."""
+    scratch = scratch or Scratch(df.sparkSession, "spam")
+    name = F.regexp_extract(F.coalesce(norm_id(lang), F.lit("")), "^[a-z]+", 0)
+    name = F.when(name.isin("und", "mul", "zxx"), F.lit(REST)).otherwise(name)  # names for no or no single language
+    src = df.select(F.col(id_col).alias("id"), name.alias("lang"), text.alias("text")).where("id is not null and text is not null")
+    prose = learn_prose(src.select("lang", "text"), scratch)
+    kind = src.schema["id"].dataType.simpleString()
+    spectrum = src.mapInArrow(_spectrum(prose), f"id {kind}, part int, n_words int, weight double, chars int, prose string, divergence double, f int, v int")
+    return rank_curves(spectrum.repartition("id"))
+
+
+#: (value, quantile of the middle, quantile on the side of prose, 1 if the high side is extreme)
+SIDES = (("slope", 0.75, -1), ("residual", None, 1), ("divergence", 0.25, 1))
+
+
+def _quantile(df: DataFrame, value: Column, q: float) -> DataFrame:
+    """(prose, q, n): a quantile of a value by prose, in steps of 1/STEP, and the weight; '*' stands for all. No group is gathered: steps are counted."""
+    steps = df.groupBy(F.col("prose"), F.round(value * STEP).cast("int").alias("s")).agg(F.sum("weight").alias("n"))
+    both = steps.select(F.explode(F.array("prose", F.lit("*"))).alias("prose"), "s", "n").groupBy("prose", "s").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy("prose")
+    upto = both.withColumn("upto", F.sum("n").over(by.orderBy("s"))).withColumn("all", F.sum("n").over(by))
+    return upto.where(F.col("upto") >= q * F.col("all") - 1e-6).groupBy("prose").agg((F.min("s") / STEP).alias("q"), F.first("all").alias("n"))
+
+
+def typical(curves: DataFrame) -> dict[str, dict[str, tuple[float, float]]]:
+    """By prose, the (middle, spread) of each value among the full passages, those of a page weighing one together; '*' is that of all."""
+    full = curves.where(F.col("n_words") >= FULL)
+    out: dict[str, dict[str, tuple[float, float]]] = {}
+    for name, side, _ in SIDES:
+        middle = {r["prose"]: (r["q"], r["n"]) for r in _quantile(full, F.col(name), 0.5).collect()}  # a row for each language
+        if side is None:
+            off = F.lit(None).cast("double")
+            for p, (m, _n) in middle.items():
+                off = F.when(F.col("prose") == p, F.abs(F.col(name) - m)).otherwise(off)
+            # by '*' this is the spread around each language's own middle
+            spread = {r["prose"]: 1.4826 * r["q"] for r in _quantile(full, off, 0.5).collect()}
+        else:
+            spread = {r["prose"]: abs(r["q"] - middle[r["prose"]][0]) / 0.6745 for r in _quantile(full, F.col(name), side).collect()}
+        for p, (m, n) in middle.items():
+            if round(n, 3) >= OWN_PROSE or p == "*":
+                out.setdefault(p, {})[name] = (m, max(spread[p], 1 / STEP))
+    return out
+
+
+def judged_passages(df: DataFrame, id_col: str, text: Column, lang: Column) -> DataFrame:
+    """Each passage's curve with z_slope, z_residual, z_divergence and whether they are extreme together.
+
+    A z-score is the distance from the middle of the language in spreads, counted only on the side of
+    repetition; shorter passages vary more, so it is scaled by the root of their length.
     """
-    src = df.select(F.col(id_col).alias("id"), text.alias("text")).where("id is not null")
-    return src.mapInArrow(_spam_ids, f"id {src.schema['id'].dataType.simpleString()}")
+    scratch = Scratch(df.sparkSession, "spam")
+    curves = scratch.cut(page_curves(df, id_col, text, lang, scratch), "curves")
+    means = typical(curves)
+    size = F.sqrt(F.least(F.col("n_words"), F.lit(PASSAGE)) / F.lit(float(PASSAGE)))
+    z = {}
+    for name, _, sign in SIDES:
+        each = F.lit(0.0)
+        for p in [*(x for x in means if x != "*"), *(["*"] if "*" in means else [])][::-1]:
+            m, s = means[p][name]
+            here = F.lit(float(sign)) * (F.col(name) - F.lit(m)) / F.lit(s) * size
+            each = here if p == "*" else F.when(F.col("prose") == p, here).otherwise(each)
+        z[name] = F.greatest(F.lit(0.0), each)
+    judged = curves.select("*", *(c.alias(f"z_{n}") for n, c in z.items()))
+    extreme = (F.col("z_divergence") > DIVERGENT) & (F.col("z_slope") + F.col("z_residual") + F.col("z_divergence") > EXTREME)
+    return judged.withColumn("extreme", extreme)
+
+
+def judged_pages(df: DataFrame, id_col: str, text: Column, lang: Column) -> DataFrame:
+    """id, n_words, n_passages, n_extreme, share, found: one row for each page with a word.
+
+    * ``share`` is the share of the characters of the page's words in extreme passages; ``found`` means
+      more than ``MOST``. Whole texts are read.
+    * ``lang`` is trimmed, in lower case, without region. A page without one, or whose words are rather those
+      of another language, is compared with the prose it is closest to. Languages with little text share
+      their prose; texts without a label are prose only where there is no other.
+    * Null and empty texts, and texts without letters and digits, give no row; nor does any page of a
+      table without a single full passage, as there is no prose to compare with. Ids must be unique; a null
+      id is left out.
+    """
+    judged = judged_passages(df, id_col, text, lang)
+    bad = F.sum(F.when(F.col("extreme"), F.col("chars")).otherwise(0))
+    pages = judged.groupBy("id").agg(F.sum("n_words").alias("n_words"), F.count("*").alias("n_passages"), F.sum(F.col("extreme").cast("int")).alias("n_extreme"), (bad / F.sum("chars")).alias("share"))
+    return pages.withColumn("found", F.col("share") > MOST)
+
+
+def spam_pages(df: DataFrame, id_col: str, text: Column, lang: Column) -> DataFrame:
+    """Ids of the pages of which more than half lies in extreme passages, as by ``judged_pages``."""
+    return judged_pages(df, id_col, text, lang).where("found").select("id")

@@ -59,16 +59,70 @@ def _residue() -> str:
     return "WITH cur AS (SELECT chunk_id, arg_max(content, loaded_at) AS content, arg_max(content_embed, loaded_at) AS content_embed FROM chunk GROUP BY chunk_id)\n" + "\nUNION ALL ".join(parts)
 
 
-P9_FITS = r"""
-WITH w AS (SELECT doc_id, coalesce(nullif(lower(trim(lang)), ''), '') AS lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-c AS (SELECT doc_id, lang, n, x, count(*) AS f FROM (SELECT doc_id, lang, len(ws) AS n, unnest(ws) AS x FROM w) GROUP BY ALL),
-s AS (SELECT doc_id, lang, n, f, count(*) AS v FROM c GROUP BY ALL),
-r AS (SELECT *, sum(v) OVER (PARTITION BY doc_id ORDER BY f DESC) AS hi FROM s),
-p AS (SELECT *, ln(sqrt((hi - v + 1) * hi)) AS x, ln(f / n) AS y FROM r),
-m AS (SELECT doc_id, lang, n, sum(v) AS k, sum(v * x) / sum(v) AS mx, sum(v * y) / sum(v) AS my FROM p GROUP BY ALL),
-q AS (SELECT m.doc_id, m.lang, m.n, k, sum(v * (x - mx) ** 2) AS sxx, sum(v * (x - mx) * (y - my)) AS sxy, sum(v * (y - my) ** 2) AS syy FROM p JOIN m ON p.doc_id = m.doc_id GROUP BY ALL),
-l AS (SELECT *, CASE WHEN sxx > 1e-9 THEN sxy / sxx ELSE 0.0 END AS b FROM q)
-SELECT doc_id, lang, n::INT AS n_words, round(b, 4) AS slope, round(sqrt(greatest(0.0, (syy - b * sxy) / k)), 4) AS residual FROM l
+_P9 = r"""
+WITH src AS (SELECT doc_id, regexp_extract(coalesce(lower(trim(lang)), ''), '^[a-z]+') AS l, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+lab AS (SELECT doc_id, CASE WHEN l IN ('und', 'mul', 'zxx') THEN '' ELSE l END AS lang, text FROM src),
+-- prose: the half of each language's passages with the most distinct words, each text once
+dt AS (SELECT lang, row_number() OVER () AS t, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM (SELECT DISTINCT lang, text FROM lab)),
+dp AS (SELECT lang, t, i * greatest(1, (n + 24) // 48) // n AS part, CASE WHEN regexp_matches(w, '\p{Nd}') THEN '#' ELSE w END AS w FROM (SELECT lang, t, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM dt)),
+ds AS (SELECT *, 1 / count(*) OVER (PARTITION BY t) AS weight FROM (SELECT lang, t, part, count(DISTINCT w) * 64 // count(*) AS bin FROM dp GROUP BY ALL HAVING count(*) >= 36)),
+own AS (SELECT lang FROM ds WHERE lang <> '' GROUP BY lang HAVING count(DISTINCT t) >= 16 ORDER BY count(DISTINCT t) DESC, lang LIMIT 63),
+dg AS (SELECT ds.t, ds.part, ds.bin, ds.weight, coalesce(own.lang, '') AS prose FROM ds LEFT JOIN own ON own.lang = ds.lang WHERE ds.lang <> '' OR NOT EXISTS (FROM own)),
+mid AS (SELECT prose, min(bin) AS least FROM (SELECT prose, bin, sum(sum(weight)) OVER (PARTITION BY prose ORDER BY bin) AS upto, sum(sum(weight)) OVER (PARTITION BY prose) AS tot FROM dg GROUP BY prose, bin) WHERE 2 * upto >= tot - 1e-6 GROUP BY prose),
+ref AS (SELECT dg.* FROM dg JOIN mid ON mid.prose = dg.prose WHERE bin >= least),
+total AS (SELECT prose, sum(weight) AS c, -log2(0.5 / sum(weight)) AS rare FROM ref GROUP BY prose),
+voc AS (SELECT ref.prose, w, sum(weight) AS n FROM ref JOIN (SELECT DISTINCT t, part, w FROM dp) d ON d.t = ref.t AND d.part = ref.part GROUP BY ref.prose, w QUALIFY row_number() OVER (PARTITION BY ref.prose ORDER BY round(sum(weight), 6) DESC, w) <= 20000),
+prob AS (SELECT voc.prose, w, (n + 0.5) / c AS p, rare + log2((n + 0.5) / c) AS gain FROM voc JOIN total ON total.prose = voc.prose),
+-- pages
+pw AS (SELECT doc_id, lang, i * greatest(1, (n + 24) // 48) // n AS part, length(w) AS chars, CASE WHEN regexp_matches(w, '\p{Nd}') THEN '#' ELSE w END AS w
+  FROM (SELECT doc_id, lang, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM lab))),
+docs AS (SELECT doc_id, lang, count(*) FILTER (WHERE w <> '#') AS k FROM pw GROUP BY ALL),
+fits AS (SELECT pw.doc_id, prose, sum(p) AS fit FROM pw JOIN prob ON prob.w = pw.w WHERE pw.w <> '#' GROUP BY ALL),
+fit AS (SELECT docs.*, total.prose, coalesce(fit, 0.0) AS fit FROM docs CROSS JOIN total LEFT JOIN fits ON fits.doc_id = docs.doc_id AND fits.prose = total.prose),
+best AS (SELECT * FROM fit WHERE prose <> '' OR NOT EXISTS (FROM own) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY fit DESC, prose) = 1),
+page AS (SELECT b.doc_id, CASE WHEN f.prose IS NULL OR (b.fit > 2 * f.fit AND b.fit > 0.05 * b.k) THEN b.prose ELSE f.prose END AS prose
+  FROM best b LEFT JOIN fit f ON b.lang <> '' AND f.doc_id = b.doc_id AND f.prose = CASE WHEN b.lang IN (FROM own) THEN b.lang ELSE '' END),
+c AS (SELECT pw.doc_id, part, w, count(*) AS f, sum(chars) AS chars FROM pw GROUP BY ALL),
+div AS (SELECT c.doc_id, part, page.prose, sum(f) AS n, sum(chars) AS chars, any_value(rare) - sum(f * coalesce(gain, 0)) / sum(f) AS divergence
+  FROM c JOIN page ON page.doc_id = c.doc_id JOIN total ON total.prose = page.prose LEFT JOIN prob ON prob.prose = page.prose AND prob.w = c.w GROUP BY ALL),
+s AS (SELECT doc_id, part, f, count(*) AS v FROM c GROUP BY ALL),
+r AS (SELECT s.*, div.n, sum(v) OVER (PARTITION BY s.doc_id, s.part ORDER BY f DESC) AS hi FROM s JOIN div ON div.doc_id = s.doc_id AND div.part = s.part),
+p AS (SELECT doc_id, part, v, ln(sqrt((hi - v + 1) * hi)) AS x, ln(f / n) AS y FROM r UNION ALL SELECT doc_id, part, 3, ln(max(hi) + 1), ln(0.5 / max(n)) FROM r GROUP BY doc_id, part),
+m AS (SELECT doc_id, part, sum(v) AS k, sum(v * x) / sum(v) AS mx, sum(v * y) / sum(v) AS my FROM p GROUP BY ALL),
+q AS (SELECT m.doc_id, m.part, k, sum(v * (x - mx) ** 2) AS sxx, sum(v * (x - mx) * (y - my)) AS sxy, sum(v * (y - my) ** 2) AS syy FROM p JOIN m ON p.doc_id = m.doc_id AND p.part = m.part GROUP BY ALL),
+l AS (SELECT *, sxy / sxx AS b FROM q),
+curve AS (SELECT div.*, 1 / greatest(1, count(*) FILTER (WHERE n >= 36) OVER (PARTITION BY div.doc_id)) AS weight, b AS slope, sqrt(greatest(0.0, (syy - b * sxy) / k)) AS residual FROM l JOIN div ON div.doc_id = l.doc_id AND div.part = l.part)
 """
 
-SQL = {"p1_found": P1, "p1_groups": P1_GROUPS, "p4_found": _residue(), "p5_found": P5, "p9_fits": P9_FITS}
+P9_FITS = _P9 + """
+SELECT doc_id, part::INT AS part, n::INT AS n_words, prose, round(slope, 4) AS slope, round(residual, 4) AS residual, round(divergence, 4) AS divergence FROM curve
+"""
+
+
+def _p9_quantile(name: str, source: str, value: str, q: float) -> str:
+    """A quantile of a value by prose, and of all, in steps of 1/200."""
+    return f""",
+{name} AS (SELECT prose, min(s) / 200 AS q, any_value(tot) AS n FROM (
+  SELECT prose, s, sum(sum(n)) OVER (PARTITION BY prose ORDER BY s) AS upto, sum(sum(n)) OVER (PARTITION BY prose) AS tot
+  FROM (SELECT unnest([prose, '*']) AS prose, s, n FROM (SELECT prose, round(({value}) * 200)::INT AS s, sum(weight) AS n FROM {source} GROUP BY ALL)) GROUP BY prose, s)
+  WHERE upto >= {q} * tot - 1e-6 GROUP BY prose)"""
+
+
+P9_CURVES = (
+    _P9
+    + ", whole AS (SELECT * FROM curve WHERE n >= 36)"
+    + _p9_quantile("ms", "whole", "slope", 0.5) + _p9_quantile("ss", "whole", "slope", 0.75)
+    + _p9_quantile("mr", "whole", "residual", 0.5) + ", off AS (SELECT whole.prose, weight, abs(residual - q) AS residual FROM whole JOIN mr ON mr.prose = whole.prose)" + _p9_quantile("sr", "off", "residual", 0.5)
+    + _p9_quantile("md", "whole", "divergence", 0.5) + _p9_quantile("sd", "whole", "divergence", 0.25)
+    + """,
+typ AS (SELECT ms.prose, ms.n, ms.q AS ms, greatest(abs(ss.q - ms.q) / 0.6745, 0.005) AS ss, mr.q AS mr, greatest(1.4826 * sr.q, 0.005) AS sr, md.q AS md, greatest(abs(sd.q - md.q) / 0.6745, 0.005) AS sd
+  FROM ms JOIN ss ON ss.prose = ms.prose JOIN mr ON mr.prose = ms.prose JOIN sr ON sr.prose = ms.prose JOIN md ON md.prose = ms.prose JOIN sd ON sd.prose = ms.prose WHERE round(ms.n, 3) >= 16 OR ms.prose = '*'),
+z AS (SELECT doc_id, part, curve.n, chars, greatest(0, (ms - slope) / ss) * size AS zs, greatest(0, (residual - mr) / sr) * size AS zr, greatest(0, (divergence - md) / sd) * size AS zd
+  FROM (SELECT *, sqrt(least(n, 48) / 48) AS size FROM curve) curve JOIN typ ON typ.prose = CASE WHEN curve.prose IN (SELECT prose FROM typ) THEN curve.prose ELSE '*' END),
+pages AS (SELECT doc_id, sum(n)::BIGINT AS n_words, count(*) AS n_passages, count(*) FILTER (WHERE zd > 2 AND zs + zr + zd > 9) AS n_extreme, coalesce(sum(chars) FILTER (WHERE zd > 2 AND zs + zr + zd > 9), 0) / sum(chars) AS share FROM z GROUP BY doc_id)
+"""
+)
+P9 = P9_CURVES + "SELECT doc_id FROM pages WHERE share > 0.5"
+P9_CURVES += "SELECT doc_id, n_words, n_passages, n_extreme, round(share, 4) AS share, share > 0.5 AS found FROM pages"
+
+SQL = {"p1_found": P1, "p1_groups": P1_GROUPS, "p4_found": _residue(), "p5_found": P5, "p9_found": P9, "p9_curves": P9_CURVES, "p9_fits": P9_FITS}
