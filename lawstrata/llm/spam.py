@@ -21,6 +21,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -44,8 +45,9 @@ OWN_PROSE, LANGUAGES, VOCABULARY = 16, 63, 20_000
 #: Shares of distinct words are told apart in so many steps, values of curves in steps of a 1/STEP.
 SHARES, STEP = 64, 200
 REST = ""
-#: A page is in another language than its label says only if each of its words is, on average, held by so large a share of that prose.
-LIKE = 0.05
+#: A word is common that so large a share of a language's prose holds; a page is in another language than its label says
+#: only if each of its words is, on average, held by so large a share of that prose.
+COMMON, LIKE = 0.01, 0.05
 
 WORD = re.compile(r"[^\W_]+")
 DIGIT = re.compile(r"\d")
@@ -53,7 +55,11 @@ DIGIT = re.compile(r"\d")
 
 def words_of(text: str) -> list[str]:
     """Runs of letters and digits in lower case; any with a digit counts as the one word ``#``."""
-    return ["#" if DIGIT.search(w) else w for w in WORD.findall(text.lower())]
+    return _plain(WORD.findall(text.lower()))
+
+
+def _plain(found: list[str]) -> list[str]:
+    return [w if w.isalpha() or not DIGIT.search(w) else "#" for w in found]
 
 
 def passages(n: int) -> list[int]:
@@ -65,25 +71,26 @@ def passages(n: int) -> list[int]:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The weight of the full passages of each language and share of distinct words that hold each word, and '' of all of
     them. A text's passages weigh one together, so that a long one does not outweigh the others."""
-    seen: defaultdict[tuple[str, int, str], float] = defaultdict(float)
+    seen: defaultdict[tuple[str, int], dict[str, float]] = defaultdict(dict)
 
     def rows() -> pa.RecordBatch:
-        keys = list(seen)
-        cols = [pa.array([k[c] for k in keys], t) for c, t in enumerate((pa.string(), pa.int32(), pa.string()))]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(seen.values(), pa.float64())], names=["lang", "bin", "word", "n"])
+        keys = [(*k, w, n) for k, own in seen.items() for w, n in own.items()]
+        cols = zip(*keys, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.float64()), strict=True)], names=["lang", "bin", "word", "n"])
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = words_of(text)
             cuts = passages(len(words))
-            full = sum(e - s >= FULL for s, e in zip(cuts, cuts[1:], strict=False))
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if e - s >= FULL:
-                    own = set(words[s:e])
-                    share = len(own) * SHARES // (e - s)
-                    for w in (*own, ""):
-                        seen[lang, share, w] += 1 / full
-        if len(seen) > 500_000:
+            spans = [(s, e) for s, e in zip(cuts, cuts[1:], strict=False) if e - s >= FULL]
+            for s, e in spans:
+                own = set(words[s:e])
+                cell = seen[lang, len(own) * SHARES // (e - s)]
+                own.add("")
+                weight = 1 / len(spans)
+                for w in own:
+                    cell[w] = cell.get(w, 0.0) + weight
+        if sum(map(len, seen.values())) > 500_000:
             yield rows()
             seen.clear()
     if seen:
@@ -91,37 +98,36 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Prose:
-    """For each word in each language's prose the share of passages that hold it, and its surprise in bits; of any other word, ``rare``."""
+    """For each word the share of each language's prose that holds it, and so its surprise in bits; of any other word, ``rare``."""
 
     def __init__(self, langs: list[str], rare: list[float], words: dict[str, list[tuple[int, float]]]):
         self.langs, self.rare, self.place = langs, rare, {x: k for k, x in enumerate(langs)}
-        self.words = {w: [(k, p, rare[k] + math.log2(p)) for k, p in own] for w, own in words.items()}
+        self.gain: list[dict[str, float]] = [{} for _ in langs]
+        self.common: dict[str, list[tuple[int, float]]] = {}
+        for w, own in words.items():
+            for k, p in own:
+                self.gain[k][w] = rare[k] + math.log2(p)
+                if p >= COMMON and w != "#":
+                    self.common.setdefault(w, []).append((k, p))
 
     def language(self, label: str, words: list[str]) -> int:
-        """The prose a page is compared with: of the language it is labelled with, unless the frequent words of another fit
+        """The prose a page is compared with: of the language it is labelled with, unless the common words of another fit
         twice as well; without a label, of the language that fits best; of a language without prose of its own, the shared one."""
         fit = [0.0] * len(self.langs)
-        n = 0
-        for w in words:
-            if w != "#":
-                n += 1
-                for k, p, _ in self.words.get(w, ()):
-                    fit[k] += p
+        distinct = set(words)
+        for w in distinct & self.common.keys():
+            for k, p in self.common[w]:
+                fit[k] += p
         named = [k for k, x in enumerate(self.langs) if x != REST] or [0]
         best = max(named, key=fit.__getitem__)
         own = self.place.get(label, self.place.get(REST)) if label != REST else None
         if own is None:
             return best
-        return best if fit[best] > 2 * fit[own] and fit[best] > LIKE * n else own
+        return best if fit[best] > 2 * fit[own] and fit[best] > LIKE * len(distinct) else own
 
-    def divergence(self, k: int, counts: Counter[str], n: int) -> float:
+    def divergence(self, k: int, words: list[str]) -> float:
         """The mean surprise of words by the prose of a language."""
-        total = self.rare[k] * n
-        for w, f in counts.items():
-            for at, _, gain in self.words.get(w, ()):
-                if at == k:
-                    total -= f * gain
-        return total / n
+        return self.rare[k] - sum(map(self.gain[k].get, words, repeat(0.0))) / len(words)
 
 
 def learn_prose(pages: DataFrame, scratch: Scratch) -> Prose:
@@ -155,25 +161,34 @@ def learn_prose(pages: DataFrame, scratch: Scratch) -> Prose:
 def _spectrum(prose: Prose):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each passage and word frequency: how many words have it."""
-        names = ("part", "n_words", "weight", "chars", "prose", "divergence", "f", "v")
-        types = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())
+        names = ("part", "n_words", "weight", "chars", "prose", "divergence")
+        types = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.string(), pa.float64())
         for batch in batches:
-            at: list[int] = []
-            rows: list[tuple] = []
+            at: list[int] = []  # a passage's page, a spectrum row's passage
+            of: list[int] = []
+            heads: list[tuple] = []
+            f: list[int] = []
+            v: list[int] = []
             for k, (label, text) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 found = WORD.findall(text.lower())
-                words = ["#" if DIGIT.search(w) else w for w in found]
-                cuts = passages(len(words)) if words and prose.langs else []
-                lang = prose.language(label, words) if cuts else 0
+                if not found or not prose.langs:
+                    continue
+                words = _plain(found)
+                cuts = passages(len(words))
+                lang = prose.language(label, words)
                 weight = 1 / max(1, sum(e - s >= FULL for s, e in zip(cuts, cuts[1:], strict=False)))
                 for part, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    counts = Counter(words[s:e])
-                    head = (part, e - s, weight, sum(map(len, found[s:e])), prose.langs[lang], prose.divergence(lang, counts, e - s))
-                    for f, v in Counter(counts.values()).items():
-                        at.append(k)
-                        rows.append((*head, f, v))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["id", *names])
+                    own = words[s:e]
+                    spectrum = Counter(Counter(own).values())
+                    of += [len(heads)] * len(spectrum)
+                    f += spectrum.keys()
+                    v += spectrum.values()
+                    at.append(k)
+                    heads.append((part, e - s, weight, sum(map(len, found[s:e])), prose.langs[lang], prose.divergence(lang, own)))
+            cols = list(zip(*heads, strict=True)) if heads else [()] * len(names)
+            head = [batch.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))]
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in head), pa.array(f, pa.int32()), pa.array(v, pa.int32())], names=["id", *names, "f", "v"])
 
     return run
 

@@ -76,8 +76,8 @@ prob AS (SELECT voc.prose, w, (n + 0.5) / c AS p, rare + log2((n + 0.5) / c) AS
 -- pages
 pw AS (SELECT doc_id, lang, i * greatest(1, (n + 24) // 48) // n AS part, length(w) AS chars, CASE WHEN regexp_matches(w, '\p{Nd}') THEN '#' ELSE w END AS w
   FROM (SELECT doc_id, lang, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM lab))),
-docs AS (SELECT doc_id, lang, count(*) FILTER (WHERE w <> '#') AS k FROM pw GROUP BY ALL),
-fits AS (SELECT pw.doc_id, prose, sum(p) AS fit FROM pw JOIN prob ON prob.w = pw.w WHERE pw.w <> '#' GROUP BY ALL),
+docs AS (SELECT doc_id, lang, count(DISTINCT w) AS k FROM pw GROUP BY ALL),
+fits AS (SELECT d.doc_id, prose, sum(p) AS fit FROM (SELECT DISTINCT doc_id, w FROM pw WHERE w <> '#') d JOIN prob ON prob.w = d.w WHERE p >= 0.01 GROUP BY ALL),
 fit AS (SELECT docs.*, total.prose, coalesce(fit, 0.0) AS fit FROM docs CROSS JOIN total LEFT JOIN fits ON fits.doc_id = docs.doc_id AND fits.prose = total.prose),
 best AS (SELECT * FROM fit WHERE prose <> '' OR NOT EXISTS (FROM own) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY fit DESC, prose) = 1),
 page AS (SELECT b.doc_id, CASE WHEN f.prose IS NULL OR (b.fit > 2 * f.fit AND b.fit > 0.05 * b.k) THEN b.prose ELSE f.prose END AS prose

@@ -140,4 +140,4 @@ def test_the_curve_decides(spark, law):
 def test_prose_is_bounded(spark, law, monkeypatch):
     monkeypatch.setattr(spam, "VOCABULARY", 50)
     learned = spam.learn_prose(table(spark, law).select(F.lit("vi").alias("lang"), F.col("t").alias("text")), Scratch(spark, "t"))
-    assert learned.langs == ["vi"] and len(learned.words) == 50
+    assert learned.langs == ["vi"] and len(learned.gain[0]) == 50
