@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lawstrata.functions.links import compared_link
 from lawstrata.functions.text import norm_id, strip
 from lawstrata.operators.hierarchy import current_rows, resolve_hierarchy
-from lawstrata.operators.nested import flatten_records
+from lawstrata.operators.nested import flatten_records, routed_tables
 from lawstrata.operators.orphans import count_orphans, find_orphans
 from lawstrata.session import Scratch
 from lawstrata.sources.tables import table
@@ -89,15 +89,38 @@ def p6_by_month(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """All flat rows of the nested records: typed by variant, with supertype keys and parent links."""
+    """All flat rows of the nested records with supertype keys, parent links and subtype; bodies that cannot be read too."""
     return flatten_records(table(spark, folder, "raw_record"), "record_id", "body")
 
 
+def _subtypes(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return routed_tables(table(spark, folder, "raw_record"), "record_id", "body")
+
+
+def p2_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata entries, and fields of entries that are objects."""
+    t = _subtypes(spark, folder)
+    none = F.lit(None).cast("string")
+    return t["metadata_entry"].select("record_id", F.col("name").alias("entry"), none.alias("field")).union(t["metadata_field"].select("record_id", "entry", "name")).distinct()
+
+
+def p2_amendments(spark: SparkSession, folder: str) -> DataFrame:
+    """Amendments with a tip, and the tip they lie within."""
+    return _subtypes(spark, folder)["amendment"].where("tip_id is not null").select("record_id", "tip_id", "within_tip").distinct()
+
+
+def p2_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles of amendments."""
+    return _subtypes(spark, folder)["title"].select("record_id", "tip_id", "bm_title").distinct()
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Metadata entries, amendments and titles, each tied to its parent."""
-    rows = p2_rows(spark, folder).where(F.col("child").isin("metadata", "amendment", "bm_title"))
-    return rows.select("record_id", "child", "parent_key", "child_key").distinct()
+    """Metadata entries, amendments and titles, each tied to its parent, from the subtype tables."""
+    t = _subtypes(spark, folder)
+    rows = lambda name, child, parent, key: t[name].select("record_id", F.lit(child).alias("child"), F.coalesce(parent, F.lit("")).alias("parent_key"), F.col(key).alias("child_key"))
+    out = rows("metadata_entry", "metadata", F.lit(""), "name").union(rows("metadata_field", "metadata", F.col("entry"), "name"))
+    return out.union(rows("amendment", "amendment", F.col("within_tip"), "tip_id").where("child_key is not null")).union(rows("title", "bm_title", F.col("tip_id"), "bm_title")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rows, p3_found, p3_paths, p6_found, p6_by_month)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rows, p2_metadata, p2_amendments, p2_titles, p3_found, p3_paths, p6_found, p6_by_month)}
 __all__ = ["QUERIES", "law_references", "strip"]

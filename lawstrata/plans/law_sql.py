@@ -129,6 +129,9 @@ UNION SELECT DISTINCT record_id, 'bm_title', own, title FROM titles WHERE title
 
 SQL = {
     "p2_found": P2,
+    "p2_metadata": f"SELECT record_id, CASE WHEN parent_key = '' THEN child_key ELSE parent_key END AS entry, CASE WHEN parent_key <> '' THEN child_key END AS field FROM ({P2}) WHERE child = 'metadata'",
+    "p2_amendments": f"SELECT record_id, child_key AS tip_id, nullif(parent_key, '') AS within_tip FROM ({P2}) WHERE child = 'amendment'",
+    "p2_titles": f"SELECT record_id, nullif(parent_key, '') AS tip_id, child_key AS bm_title FROM ({P2}) WHERE child = 'bm_title'",
     "p3_found": P3,
     "p3_paths": P3_PATHS,
     "p6_found": P6,

@@ -50,9 +50,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one that is noted in the session where none is set."""
+    """The cluster's shared folder; on one machine, where none is set, a temporary one that is noted in the session."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lawstrata-")
         spark.conf.set(CHECKPOINT_KEY, folder)
         atexit.register(_remove, spark, folder)
@@ -76,11 +78,12 @@ class Scratch:
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, self.path)
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and give it back as a table without lineage."""
+    def cut(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write ``df`` once, in a folder for each value of ``by`` if given, and give it back as a table without lineage."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     def drop(self, name: str | None = None) -> None:
         _remove(self.spark, self.path if name is None else f"{self.path}/{name}")

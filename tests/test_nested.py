@@ -1,10 +1,14 @@
 import json
 
-from lawstrata.operators.nested import flatten, flatten_records, state_of, subtype_tables
+from lawstrata.operators.nested import flatten, flatten_records, read_json, routed_tables, state_of, subtype_tables
+
+
+CHILD = {"metadata_entry": "metadata", "metadata_field": "metadata", "amendment": "amendment", "title": "bm_title"}
 
 
 def cases(doc):
-    return {(r[3], r[5], r[6]) for r in flatten(1, json.dumps(doc)) if r[3] in ("metadata", "amendment", "bm_title")}
+    rows = flatten(1, doc if isinstance(doc, str) else json.dumps(doc))
+    return {(CHILD[r[3]], r[5], r[6]) for r in rows if r[3] in CHILD and (r[3] != "amendment" or r[6])}
 
 
 def test_metadata_shapes():
@@ -41,7 +45,8 @@ def test_states():
 
 
 def test_broken_deep_and_long():
-    assert flatten(1, '{"metadata": {"a": ') == [] == flatten(1, None) == flatten(1, "")
+    for body, why in (('{"metadata": {"a": ', "not whole JSON"), (None, "null"), ("", "not whole JSON"), ("[1] x", "not whole JSON")):
+        assert [r[3:5] for r in flatten(1, body)] == [("unreadable", why)]
     deep = {"tip_id": "0"}
     for k in range(1, 400):
         deep = {"tip_id": str(k), "amendments": [deep]}
@@ -60,14 +65,37 @@ def test_links_and_subtypes(spark):
     for r in one.values():
         assert r.parent_node_id is None or one[r.parent_node_id].node_id < r.node_id
     parts = {k: v.count() for k, v in subtype_tables(rows.where("record_id is null")).items()}
-    assert parts == {"record": 1, "metadata_entry": 1, "metadata_field": 1, "amendment": 2, "title": 2}
+    assert parts == {"record": 1, "metadata_entry": 1, "metadata_field": 1, "amendment": 2, "title": 2, "unreadable": 0}
+    routed = routed_tables(df, "rid", "b")
+    assert {k: v.count() for k, v in routed.items()} == {"record": 3, "metadata_entry": 3, "metadata_field": 3, "amendment": 6, "title": 6, "unreadable": 2}
+    assert [r.variant for r in routed["unreadable"].orderBy("record_id").collect()] == ["not whole JSON", "null"]
     assert flatten_records(df.limit(0), "rid", "b").count() == 0
 
 
 def test_deep_values():
-    deep = '{"a": ' * 3000 + "1" + "}" * 3000
-    lists = "[" * 3000 + '"t"' + "]" * 3000
-    body = f'{{"metadata": {{"x": {deep}, "y": "z"}}, "amendments": [{{"tip_id": "1", "bm_title": {lists}}}]}}'
-    got = [(r[3], r[5], r[6]) for r in flatten(1, body)]
-    assert ("metadata", "", "x") in got and ("metadata", "", "y") in got and ("bm_title", "1", "t") in got
-    assert len(flatten(2, deep)) == 1 and flatten(3, f'{{"metadata": {lists}}}')
+    for n in (3_000, 60_000):
+        deep = '{"a": ' * n + "1" + "}" * n
+        lists = "[" * n + '"t"' + "]" * n
+        body = f'{{"metadata": {{"x": {deep}, "y": "z"}}, "amendments": [{{"tip_id": "1", "bm_title": {lists}}}]}}'
+        assert cases(body) >= {("metadata", "", "x"), ("metadata", "", "y"), ("bm_title", "1", "t"), ("amendment", "", "1")}
+        assert len(flatten(2, deep)) == 1 and flatten(3, f'{{"metadata": {lists}}}')
+        chain = '{"tip_id": "k", "amendments": [' * n + "]}" * n
+        assert sum(r[3] == "amendment" for r in flatten(4, f'{{"amendments": {chain}}}')) == n
+        assert [r[3] for r in flatten(5, "[" * n)] == ["unreadable"]
+
+
+def test_reader_of_deep_json():
+    n = 60_000
+    for text in ('"a\\u0041\\n"', "-1.5e3", "0", "12", "true", "false", "null", "{}", "[]", '{"a": [1, {"b": null}], "c": ""}', '[[], {}, "x"]', " [1 , 2 ] "):
+        value = read_json("[" * n + text + "]" * n)
+        for _ in range(n):
+            (value,) = value
+        assert value == json.loads(text)
+    for bad in ("", "x", "1 2", "[1,]", '{"a"}', '{"a": }', "{1: 2}", '{"a": 1,}', '"a', "01", "[1 2]", "{,}"):
+        for text in (bad, "[" * n + bad + "]" * n):
+            if bad or text:
+                try:
+                    value = read_json(text)
+                except ValueError:
+                    continue
+                assert bad == "" and text, text[:20] + "..." + bad
