@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawstrata.functions.text import norm_id
@@ -24,6 +24,7 @@ from lawstrata.session import Scratch, enough_partitions
 BOUND = 250_000
 
 TREE, CYCLE, BELOW = "tree", "cycle", "below_cycle"
+PAIRS = "ancestor string, id string, distance int"
 SCHEMA = "id string, root_id string, node_depth int, node_state string, path string, n_descendants bigint, pre bigint, last bigint"
 
 
@@ -36,8 +37,12 @@ def current_rows(df: DataFrame, keys: list[str], order: str, fields: dict[str, C
     return rows.groupBy(*keys).agg(F.max("__r").alias("__r")).select(*keys, *(F.col(f"__r.{n}").alias(n) for n in fields))
 
 
-def _walk(ids: list[str], parents: list[str | None], with_paths: bool) -> Iterator[tuple]:
-    """Rows of SCHEMA for one component."""
+def _walk(ids: list[str], parents: list[str | None], emit: str) -> Iterator[tuple]:
+    """Rows of one component: of SCHEMA, with paths if ``emit`` is ``paths``; of PAIRS if it is ``pairs``.
+
+    A path is put together from the nodes on the stack when its row is given out, so no more than the
+    current one is held.
+    """
     known = {x: k for k, x in enumerate(ids)}
     up = [known.get(p, -1) if p is not None else -1 for p in parents]
     children: list[list[int]] = [[] for _ in ids]
@@ -45,8 +50,7 @@ def _walk(ids: list[str], parents: list[str | None], with_paths: bool) -> Iterat
         if p >= 0:
             children[p].append(k)
     n = len(ids)
-    color, state, root, depth, path = bytearray(n), [TREE] * n, [""] * n, [0] * n, [""] * n
-    ring = bytearray(n)
+    color, root, ring = bytearray(n), [""] * n, bytearray(n)
     # rings: climb with colours; grey met again closes one
     for start in range(n):
         trail, x = [], start
@@ -58,25 +62,29 @@ def _walk(ids: list[str], parents: list[str | None], with_paths: bool) -> Iterat
             on = trail[trail.index(x) :]
             least = min(ids[k] for k in on)
             for k in on:
-                ring[k], state[k], root[k] = 1, CYCLE, least
-                path[k] = ids[k]
+                ring[k], root[k] = 1, least
         for k in trail:
             color[k] = 2
-    color = bytearray(n)
-    pre, last, clock = [0] * n, [0] * n, 0
+    color, pre, clock = bytearray(n), [0] * n, 0
     for start in range(n):
         if not (ring[start] or up[start] < 0):
             continue
+        above, p = [], parents[start]  # a parent that is no node of its own
         if not ring[start]:
-            p = parents[start]
-            root[start], depth[start] = (ids[start], 0) if p is None else (p, 1)
-            path[start] = ids[start] if p is None else f"{p}/{ids[start]}"
+            root[start] = ids[start] if p is None else p
+            above = [] if p is None else [p]
         color[start], pre[start], stack = 1, clock, [(start, 0)]
         clock += 1
         while stack:
             x, k = stack[-1]
             if k == len(children[x]):
-                color[x], last[x] = 2, clock - 1
+                color[x] = 2
+                if emit == "pairs":
+                    yield from ((ids[y], ids[x], len(stack) - 1 - d) for d, (y, _) in enumerate(stack[:-1]))
+                else:
+                    state = CYCLE if ring[x] else BELOW if ring[start] else TREE
+                    path = "/".join([*above, *(ids[y] for y, _ in stack)]) if emit == "paths" else None
+                    yield ids[x], root[start], len(above) + len(stack) - 1, state, path, clock - 1 - pre[x], pre[x], clock - 1
                 stack.pop()
                 continue
             stack[-1] = (x, k + 1)
@@ -85,39 +93,79 @@ def _walk(ids: list[str], parents: list[str | None], with_paths: bool) -> Iterat
                 continue
             color[y], pre[y] = 1, clock
             clock += 1
-            root[y], depth[y], state[y] = root[x], depth[x] + 1, BELOW if state[x] != TREE else TREE
-            if with_paths:
-                path[y] = f"{path[x]}/{ids[y]}"
             stack.append((y, 0))
-    for k in range(n):
-        yield ids[k], root[k], depth[k], state[k], path[k] if with_paths else None, last[k] - pre[k], pre[k], last[k]
 
 
-def _traverse(with_paths: bool):
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+def _traverse(emit: str):
+    names = [c.split()[0] for c in (PAIRS if emit == "pairs" else SCHEMA).split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
+    def components(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], list[str | None]]]:
         comp, ids, parents = None, [], []
         for pdf in batches:
             for c, x, p in zip(pdf["comp"].tolist(), pdf["id"].tolist(), pdf["parent"].tolist(), strict=True):
                 if c != comp:
-                    out.extend(_walk(ids, parents, with_paths))
+                    yield ids, parents
                     comp, ids, parents = c, [], []
-                    if len(out) >= 20_000:
-                        yield pd.DataFrame(out, columns=names)
-                        out = []
                 ids.append(x)
                 parents.append(p)
-        out.extend(_walk(ids, parents, with_paths))
-        for s in range(0, len(out), 20_000):
-            yield pd.DataFrame(out[s : s + 20_000], columns=names)
+        yield ids, parents
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        chars = 0
+        for ids, parents in components(batches):
+            for row in _walk(ids, parents, emit):
+                out.append(row)
+                chars += len(row[4] or "") if emit == "paths" else 0
+                if len(out) >= 20_000 or chars > 8_000_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out, chars = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     return run
 
 
+def _doubled(cur: DataFrame, scratch: Scratch, name: str, step) -> DataFrame:
+    """Repeats ``step`` (cur -> cur, whose ``at`` is twice as far up each time) until no node has an ``at``."""
+    cur, k = scratch.cut(cur, f"{name}0"), 0
+    while cur.where("at is not null").limit(1).count():
+        k += 1
+        cur = scratch.cut(step(cur), f"{name}{k}")
+    return cur
+
+
+def intervals(nodes: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
+    """(id, n_descendants, pre, last) of nodes (id, up, top), for components that no task may hold.
+
+    ``up`` is null for roots and nodes of rings; ``top`` names what roots are numbered together. Sizes of
+    subtrees, and then places, are summed along pointers that double; siblings are ordered by ranges, so
+    that a parent of a third of all nodes is no group of one task.
+    """
+    jump = lambda cur: cur.select(F.col("id").alias("at"), F.col("at").alias("at2"))
+
+    def sizes(cur: DataFrame) -> DataFrame:
+        add = cur.where("at is not null").groupBy("at").agg(F.sum("v").alias("add")).withColumnRenamed("at", "id")
+        return cur.join(jump(cur), "at", "left").join(add, "id", "left").select("id", F.col("at2").alias("at"), (F.col("v") + F.coalesce("add", F.lit(0))).alias("v"))
+
+    def places(cur: DataFrame) -> DataFrame:
+        above = cur.select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("v").alias("add"))
+        return cur.join(above, "at", "left").select("id", F.col("at2").alias("at"), (F.col("v") + F.coalesce("add", F.lit(0))).alias("v"))
+
+    size = _doubled(nodes.select("id", F.col("up").alias("at"), F.lit(1).cast("bigint").alias("v")), scratch, "size", sizes).select("id", F.col("v").alias("size"))
+    rows = nodes.join(size, "id").withColumn("grp", F.coalesce(F.concat(F.lit("below "), "up"), F.concat(F.lit("top "), "top")))
+    rows = scratch.cut(rows.repartitionByRange(parts, "grp", "id").withColumn("range", F.spark_partition_id()), "siblings")
+    earlier = lambda by, order: F.coalesce(F.sum("size").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = rows.groupBy("range", "grp").agg(F.sum("size").alias("size"))  # a group has no more rows here than there are ranges
+    whole = whole.select("range", "grp", earlier(["grp"], "range").alias("base"))
+    rows = rows.withColumn("before", earlier(["range", "grp"], "id")).join(whole, ["range", "grp"])
+    start = rows.select("id", F.col("up").alias("at"), (F.col("before") + F.col("base") + F.when(F.col("up").isNull(), 0).otherwise(1)).alias("v"))
+    pre = _doubled(start, scratch, "pre", places).select("id", F.col("v").alias("pre"))
+    return pre.join(size, "id").select("id", (F.col("size") - 1).alias("n_descendants"), "pre", (F.col("pre") + F.col("size") - 1).alias("last"))
+
+
 def resolve_by_doubling(nodes: DataFrame, scratch: Scratch, with_paths: bool = False, rounds: int = 64) -> DataFrame:
-    """SCHEMA without ``pre`` and ``last``, for components that no task may hold; ``n_descendants`` with paths only.
+    """id, root_id, node_depth, node_state, path of SCHEMA, for components that no task may hold.
 
     ``nodes``: id, parent, inner (whether the parent is one of the ids). Every round doubles the
     distance that each open node has climbed. When a round settles no node, those left end in rings;
@@ -126,11 +174,7 @@ def resolve_by_doubling(nodes: DataFrame, scratch: Scratch, with_paths: bool = F
     """
 
     def finished(out: DataFrame) -> DataFrame:
-        if not with_paths:
-            return out.select("id", "root_id", "node_depth", "node_state", F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("n_descendants"))
-        out = scratch.cut(out, "paths")
-        above = out.select(F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("id")).groupBy("id").agg(F.count("*").alias("n_descendants"))
-        return out.join(above, "id", "left").select("id", "root_id", "node_depth", "node_state", F.array_join("path", "/").alias("path"), F.coalesce("n_descendants", F.lit(0)).cast("bigint").alias("n_descendants"))
+        return out.select("id", "root_id", F.col("node_depth").cast("int").alias("node_depth"), "node_state", F.array_join("path", "/").alias("path"))
 
     def climb(start: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
         """start: id, at (the node reached or null), root, depth, path. Settled rows, and open ones if rings are left."""
@@ -190,22 +234,8 @@ def _union_all(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
-def resolve_hierarchy(df: DataFrame, id_col: str, parent_col: str, order_col: str | None = None, fragment_col: str | None = None, with_paths: bool = False, bound: int = BOUND, per_task: int = 50_000) -> DataFrame:
-    """SCHEMA, one row for each id: root, depth, state, path, number of descendants.
-
-    * Ids and parents are compared trimmed and in lower case; rows with a null or blank id are left out.
-    * Repeated ids: the row with the greatest ``order_col`` counts, ties go to the greatest parent.
-    * A null or blank parent: the node is its own root, depth 0. A parent that is no id: that value is
-      the root, and depth counts the step to it.
-    * A node that is its own parent is a ring of one. ``cycle`` nodes have the least id of their ring
-      as root and depth 0; ``below_cycle`` nodes count the steps to the first node of the ring.
-    * All descendants of a node in the same component are the nodes with ``pre`` in (pre, last]; a ring
-      node's interval holds what hangs below it, not the rest of the ring. Components above ``bound``
-      have null intervals, and ``n_descendants`` only with paths.
-    * Other columns of ``df`` are ignored, whatever their names. An empty table gives no rows.
-    """
-    spark = df.sparkSession
-    scratch = Scratch(spark, "hierarchy")
+def _located(df: DataFrame, id_col: str, parent_col: str, order_col: str | None, fragment_col: str | None, bound: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None, int]:
+    """(nodes of components that a task may walk, nodes of others if there are any, number of all)."""
     raw = df.select(
         norm_id(F.col(id_col)).alias("id"), norm_id(F.col(parent_col)).alias("parent"), (F.lit(0) if order_col is None else F.col(order_col)).alias("ord"),
         F.xxhash64(F.col(fragment_col if fragment_col else id_col)).alias("frag"),
@@ -219,11 +249,69 @@ def resolve_hierarchy(df: DataFrame, id_col: str, parent_col: str, order_col: st
     placed = nodes.withColumn("x", F.xxhash64("id")).join(comp.withColumnRenamed("node", "x"), "x", "left").select("id", "parent", "inner", F.coalesce("comp", "x").alias("comp"))
     placed = scratch.cut(placed, "placed")
     giant = placed.groupBy("comp").count().where(F.col("count") > bound).select("comp")
-    giants = giant.count()  # no more than total / bound rows
-    small = placed.join(giant, "comp", "left_anti") if giants else placed
+    if not giant.limit(1).count():
+        return placed, None, total
+    return placed.join(giant, "comp", "left_anti"), scratch.cut(placed.join(giant, "comp", "left_semi"), "giants"), total
+
+
+def _upward(giants: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, up, top) as ``intervals`` needs them."""
+    ring = F.col("node_state") == CYCLE
+    return giants.join(found.select("id", "root_id", "node_state"), "id").select("id", F.when(F.col("inner") & ~ring, F.col("parent")).alias("up"), F.when(ring, F.col("root_id")).otherwise(F.col("id")).alias("top"))
+
+
+def resolve_hierarchy(
+    df: DataFrame, id_col: str, parent_col: str, order_col: str | None = None, fragment_col: str | None = None, with_paths: bool = False, with_intervals: bool = True,
+    bound: int = BOUND, per_task: int = 50_000,
+) -> DataFrame:
+    """SCHEMA, one row for each id: root, depth, state, path, number of descendants, interval.
+
+    * Ids and parents are compared trimmed and in lower case; rows with a null or blank id are left out.
+    * Repeated ids: the row with the greatest ``order_col`` counts, ties go to the greatest parent.
+    * A null or blank parent: the node is its own root, depth 0. A parent that is no id: that value is
+      the root, and depth counts the step to it.
+    * A node that is its own parent is a ring of one. ``cycle`` nodes have the least id of their ring
+      as root and depth 0; ``below_cycle`` nodes count the steps to the first node of the ring.
+    * All descendants of a node in the same component are the nodes with ``pre`` in (pre, last]; a ring
+      node's interval holds what hangs below it, not the rest of the ring. Children, and nodes of a ring,
+      are numbered in the order of their ids. Components above ``bound`` have the same columns, by pointer
+      doubling; ``with_intervals=False`` spares them ``n_descendants``, ``pre`` and ``last``.
+    * Other columns of ``df`` are ignored, whatever their names. An empty table gives no rows.
+    """
+    spark = df.sparkSession
+    scratch = Scratch(spark, "hierarchy")
+    small, giants, total = _located(df, id_col, parent_col, order_col, fragment_col, bound, scratch)
     n = enough_partitions(spark, total, per_task)
-    walked = small.select("comp", "id", "parent").repartition(n, "comp").sortWithinPartitions("comp", "id").mapInPandas(_traverse(with_paths), SCHEMA)
-    if not giants:
+    walked = small.select("comp", "id", "parent").repartition(n, "comp").sortWithinPartitions("comp", "id").mapInPandas(_traverse("paths" if with_paths else "rows"), SCHEMA)
+    if giants is None:
         return walked
-    rest = resolve_by_doubling(placed.join(giant, "comp", "left_semi"), scratch, with_paths)
-    return walked.unionByName(rest.select("id", "root_id", F.col("node_depth").cast("int"), "node_state", "path", "n_descendants", F.lit(None).cast("bigint").alias("pre"), F.lit(None).cast("bigint").alias("last")))
+    rest = scratch.cut(resolve_by_doubling(giants, scratch, with_paths), "resolved")
+    if with_intervals:
+        rest = rest.join(intervals(_upward(giants, rest), scratch, n), "id")
+    else:
+        rest = rest.withColumns({c: F.lit(None).cast("bigint") for c in ("n_descendants", "pre", "last")})
+    return walked.unionByName(rest)
+
+
+def descendants(df: DataFrame, id_col: str, parent_col: str, order_col: str | None = None, fragment_col: str | None = None, bound: int = BOUND, per_task: int = 50_000) -> DataFrame:
+    """PAIRS: every node with each of its descendants and the steps between them, as by ``resolve_hierarchy``.
+
+    As many rows as there are steps to the roots in all. Nodes of a ring have no ancestors; what hangs
+    below a ring has the ring's node it hangs from as its topmost one.
+    """
+    spark = df.sparkSession
+    scratch = Scratch(spark, "descendants")
+    small, giants, total = _located(df, id_col, parent_col, order_col, fragment_col, bound, scratch)
+    n = enough_partitions(spark, total, per_task)
+    walked = small.select("comp", "id", "parent").repartition(n, "comp").sortWithinPartitions("comp", "id").mapInPandas(_traverse("pairs"), PAIRS)
+    if giants is None:
+        return walked
+    up = _upward(giants, resolve_by_doubling(giants, scratch)).where("up is not null")
+    jump, k = scratch.cut(up.select("id", F.col("up").alias("at")), "up0"), 0
+    pairs = scratch.cut(jump.select(F.col("at").alias("ancestor"), "id", F.lit(1).alias("distance")), "pairs0")
+    while jump.limit(1).count():  # pairs up to 2^k steps apart, and where 2^k steps lead
+        more = jump.join(pairs.select(F.col("id").alias("at"), "ancestor", "distance"), "at").select("ancestor", "id", (F.col("distance") + 2**k).alias("distance"))
+        nxt = jump.join(jump.select(F.col("id").alias("at"), F.col("at").alias("at2")), "at").select("id", F.col("at2").alias("at"))
+        k += 1
+        pairs, jump = scratch.cut(pairs.union(more), f"pairs{k}"), scratch.cut(nxt, f"up{k}")
+    return walked.unionByName(pairs)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lawstrata.functions.links import compared_link
 from lawstrata.functions.text import norm_id, strip
-from lawstrata.operators.hierarchy import current_rows, resolve_hierarchy
+from lawstrata.operators.hierarchy import current_rows, descendants, resolve_hierarchy
 from lawstrata.operators.nested import flatten_records, routed_tables
 from lawstrata.operators.orphans import count_orphans, find_orphans
 from lawstrata.session import Scratch
@@ -27,14 +27,30 @@ def _pair(doc: Column, tip: Column) -> Column:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Root, depth and state of every chunk."""
-    found = resolve_hierarchy(table(spark, folder, "chunk"), "chunk_id", "parent_chunk_id", "loaded_at", "doc_id")
+    found = resolve_hierarchy(table(spark, folder, "chunk"), "chunk_id", "parent_chunk_id", "loaded_at", "doc_id", with_intervals=False)
     return found.select(F.col("id").alias("chunk_id"), "root_id", "node_depth", "node_state")
 
 
 def p3_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Full path, depth, root and number of descendants of every chunk."""
+    """Full path, depth, root, number of descendants and the interval that holds them, of every chunk."""
     found = resolve_hierarchy(table(spark, folder, "chunk"), "chunk_id", "parent_chunk_id", "loaded_at", "doc_id", with_paths=True)
-    return found.select(F.col("id").alias("chunk_id"), "root_id", "node_depth", "node_state", "path", "n_descendants")
+    return found.select(F.col("id").alias("chunk_id"), "root_id", "node_depth", "node_state", "path", "n_descendants", "pre", "last")
+
+
+def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk with each of its descendants."""
+    return descendants(table(spark, folder, "chunk"), "chunk_id", "parent_chunk_id", "loaded_at", "doc_id").select(F.col("ancestor").alias("chunk_id"), F.col("id").alias("descendant_id"), "distance")
+
+
+def p3_rings(spark: SparkSession, folder: str) -> DataFrame:
+    """The links of every ring; the back edge is the one that leads from the ring's last chunk to its root again."""
+    chunk = table(spark, folder, "chunk")
+    found = resolve_hierarchy(chunk, "chunk_id", "parent_chunk_id", "loaded_at", "doc_id", with_intervals=False)
+    on = Scratch(spark, "rings").cut(found.where("node_state = 'cycle'").select("id", "root_id"), "on")
+    parents = chunk.select(norm_id(F.col("chunk_id")).alias("id"), norm_id(F.col("parent_chunk_id")).alias("parent"), "loaded_at").join(on, "id")
+    parents = current_rows(parents, ["id", "root_id"], "loaded_at", {"parent": F.col("parent")})
+    size = on.groupBy("root_id").agg(F.count("*").alias("ring_size"))
+    return parents.join(size, "root_id").select(F.col("id").alias("chunk_id"), F.col("parent").alias("parent_id"), "root_id", "ring_size", (F.col("id") == F.col("root_id")).alias("back_edge"))
 
 
 def law_references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -122,5 +138,5 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return out.union(rows("amendment", "amendment", F.col("within_tip"), "tip_id").where("child_key is not null")).union(rows("title", "bm_title", F.col("tip_id"), "bm_title")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rows, p2_metadata, p2_amendments, p2_titles, p3_found, p3_paths, p6_found, p6_by_month)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rows, p2_metadata, p2_amendments, p2_titles, p3_found, p3_paths, p3_descendants, p3_rings, p6_found, p6_by_month)}
 __all__ = ["QUERIES", "law_references", "strip"]

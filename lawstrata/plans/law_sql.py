@@ -38,8 +38,21 @@ _CLIMB, _STATES = P3.split("SELECT k AS chunk_id")
 P3_PATHS = f"""{_CLIMB.rstrip()},
 chain AS (SELECT k, CASE WHEN NOT ringed THEN seen WHEN first = 0 THEN [k] ELSE seen[1:first + 1] END AS c FROM judged),
 below AS (SELECT x, count(*) AS n FROM (SELECT unnest(c[2:]) AS x FROM chain) GROUP BY x),
-found AS (SELECT k AS chunk_id{_STATES})
-SELECT found.*, array_to_string(list_reverse(c), '/') AS path, coalesce(n, 0) AS n_descendants FROM found JOIN chain ON chain.k = chunk_id LEFT JOIN below ON below.x = chunk_id
+found AS (SELECT k AS chunk_id{_STATES}),
+down AS (SELECT k, list_reverse(CASE WHEN node.k IS NULL THEN c[:len(c) - 1] ELSE c END) AS d FROM chain c0 LEFT JOIN (SELECT k AS top FROM node) t ON t.top = c0.c[len(c0.c)] LEFT JOIN node ON node.k = t.top),
+placed AS (SELECT chunk_id, row_number() OVER (PARTITION BY CASE WHEN node_state = 'tree' THEN 'tree ' || d[1] ELSE 'ring ' || root_id END ORDER BY d) - 1 AS pre FROM found JOIN down ON down.k = chunk_id)
+SELECT found.*, array_to_string(list_reverse(c), '/') AS path, coalesce(n, 0) AS n_descendants, pre, pre + coalesce(n, 0) AS last FROM found JOIN chain ON chain.k = chunk_id JOIN placed ON placed.chunk_id = found.chunk_id LEFT JOIN below ON below.x = found.chunk_id
+""".replace("SELECT k, list_reverse(CASE", "SELECT c0.k, list_reverse(CASE")
+
+P3_DESCENDANTS = f"""{_CLIMB.rstrip()},
+chain AS (SELECT k, CASE WHEN NOT ringed THEN seen WHEN first = 0 THEN [k] ELSE seen[1:first + 1] END AS c FROM judged),
+pairs AS (SELECT unnest(c[2:]) AS chunk_id, k AS descendant_id, unnest(range(1, len(c))) AS distance FROM chain)
+SELECT chunk_id, descendant_id, distance::INTEGER AS distance FROM pairs WHERE chunk_id IN (SELECT k FROM node)
+"""
+
+P3_RINGS = f"""{_CLIMB.rstrip()},
+rings AS (SELECT judged.k, list_min(seen) AS root_id, len(seen) - 1 AS n, node.p FROM judged JOIN node ON node.k = judged.k WHERE ringed AND first = 0)
+SELECT k AS chunk_id, p AS parent_id, root_id, n AS ring_size, k = root_id AS back_edge FROM rings
 """
 
 P6 = f"""
@@ -134,6 +147,8 @@ SQL = {
     "p2_titles": f"SELECT record_id, nullif(parent_key, '') AS tip_id, child_key AS bm_title FROM ({P2}) WHERE child = 'bm_title'",
     "p3_found": P3,
     "p3_paths": P3_PATHS,
+    "p3_descendants": P3_DESCENDANTS,
+    "p3_rings": P3_RINGS,
     "p6_found": P6,
     "p6_by_month": f"SELECT ref_field, ref_status, ref_month, count(*) AS n_refs, count(DISTINCT row_key) AS n_rows FROM ({P6}) GROUP BY ALL",
 }

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lawstrata.operators.components import connected_components
-from lawstrata.operators.hierarchy import resolve_hierarchy
+from lawstrata.operators.hierarchy import _walk, descendants, resolve_hierarchy
 from lawstrata.session import Scratch
 
 
@@ -52,7 +52,13 @@ def test_random_forests(spark, bound):
             steps = r.path.split("/")
             assert steps[-1] == k and steps[0] == (r.root_id if r.node_state == "tree" else steps[0])
             assert all(parent[b] == a for a, b in zip(steps, steps[1:]))
-            assert r.n_descendants == sum(k in other.path.split("/")[:-1] for other in got.values())
+            assert r.n_descendants == sum(k in other.path.split("/")[:-1] for other in got.values()) == r.last - r.pre
+        if seed == 0:
+            numbers = {k: (r.n_descendants, r.pre, r.last, r.path) for k, r in got.items()}
+            assert numbers == {k: (r.n_descendants, r.pre, r.last, r.path) for k, r in solve(spark, parent, with_paths=True).items()}
+        df = spark.createDataFrame([(k, v) for k, v in parent.items()], "k string, p string")
+        pairs = {(r.ancestor, r.id): r.distance for r in descendants(df, "k", "p", bound=bound).collect()}
+        assert pairs == {(x, k): len(steps) - 1 - i for k, r in got.items() for steps in [r.path.split("/")] for i, x in enumerate(steps[:-1]) if x in parent}
 
 
 def test_long_chain_and_descendants(spark):
@@ -65,6 +71,23 @@ def test_long_chain_and_descendants(spark):
     assert below == {"t"} and got["r"].n_descendants == 501
 
 
+def test_giant_star_and_ring(spark):
+    """Intervals of components that no task may hold are those of a walk."""
+    rng = random.Random(8)
+    star = {"r": None} | {f"s{i}": "r" for i in range(300)} | {f"t{i}": f"s{rng.randint(0, 299)}" for i in range(200)}
+    ring = {f"q{i}": f"q{(i + 1) % 90}" for i in range(90)} | {f"u{i}": f"q{rng.randint(0, 89)}" for i in range(60)} | {f"v{i}": f"u{rng.randint(0, 59)}" for i in range(60)}
+    parent = star | ring
+    a, b = solve(spark, parent), solve(spark, parent, bound=10)
+    assert {k: tuple(r) for k, r in a.items()} == {k: tuple(r) for k, r in b.items()}
+
+
+def test_paths_of_a_deep_chain_are_streamed(spark):
+    """The walk holds one path at a time."""
+    ids = [f"{i:06d}" for i in range(20_000)]
+    rows = _walk(ids, [None, *ids[:-1]], "paths")
+    assert max(len(r[4]) for r in rows) == 7 * 20_000 - 1
+
+
 def test_rings(spark):
     got = solve(spark, {"a": "b", "b": "c", "c": "a", "d": "a", "e": "d", "me": "me", "u": "me"}, bound=2)
     assert (got["c"].root_id, got["c"].node_depth, got["c"].node_state) == ("a", 0, "cycle")
