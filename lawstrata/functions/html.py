@@ -16,11 +16,12 @@ STATE_HEAD, STATE_MOTTO, RECEIVERS = "CỘNG HÒA", "ĐỘC LẬP", "NƠI NHẬN
 JUNK_SPANS = ("VABW", "LdAB")
 DIAGRAM_SELF, DIAGRAM_OTHER = "Văn bản đang xem", "Khác"
 TIP_PREFIX, TIP_BODY = ".lqhlTootip-", "lqhlTip-"
-#: The classes and ids by which the pages mark their parts.
-MAIN_TAB, VALIDITY_TAB, CONTENT_TAB, TAB_CLASS = "tab-1", "tab5", "tab6", "contentDoc"
+#: The classes, ids and styles by which the pages mark their parts.
+MAIN_TAB, DIAGRAM_TAB, VALIDITY_TAB, CONTENT_TAB, TAB_CLASS = "tab-1", "tab4", "tab5", "tab6", "contentDoc"
 TOC_LIST, TOC_LINK, BODY, SUMMARY, TIP_ATTRIBUTE, TIPS = "muclucVB", "amuclucvb", "content1", "Tomtatvanban", "atmm", "divltrLienQuanHieuLucTungPhan"
-TIP_TITLE, TIP_ORIGINAL, TIP_TEXT = "bmTitle", "bmOriginal", "bmContent"
-RELATED_CLASS, RELATED_NUMBER, DIAGRAM_SECTION, DIAGRAM_HEADING = "content-", "number", "ct", "ghd"
+TIP_TITLE, TIP_ORIGINAL, TIP_TEXT = "bmTitle", "bmContentOld", "bmContent"
+RELATED_CLASS, RELATED_NUMBER, RELATED_TITLE, RELATED_SIDE = "content-", "number", "nqTitle", "right-col"
+DIAGRAM_SECTION, DIAGRAM_HEADING, DIAGRAM_ENTRY, DIAGRAM_TIP, DIAGRAM_TITLE_STYLE, DIAGRAM_ROW_STYLE = "ct", "ghd", "dgc", "clsTooltip-", "background-color: #FFFBF4", "float:left"
 
 
 class Node:
@@ -55,8 +56,14 @@ class Node:
     def first(self, name: str | None = None, **attrs: str) -> Node | None:
         return next(self.find(name, **attrs), None)
 
-    def all_text(self) -> str:
-        return "".join(x.text for x in self.walk() if not x.name) if self.name else self.text
+    def strings(self) -> Iterator[str]:
+        """The texts below, trimmed, without empty ones and without scripts."""
+        for x in self.walk():
+            if not x.name and x.parent.name not in ("script", "style") and (text := x.text.strip()):
+                yield text
+
+    def text_of(self, between: str = "") -> str:
+        return between.join(self.strings())
 
 
 class _Builder(HTMLParser):
@@ -102,53 +109,55 @@ _BLOCKS = frozenset("p div section article table tr ul ol blockquote pre header
 
 
 def to_markdown(node: Node) -> str:
-    """Headings with hashes, bold with two stars, italics with one; other elements keep their text."""
-    out: list[str] = []
-    _markdown(node, out, False)
-    return "".join(out)
+    """Headings with hashes, bold with two stars, italics with one; other elements keep their text. Of any depth."""
+    frames: list[tuple[Node, int, bool, list[str]]] = [(node, 0, False, [])]
+    while True:
+        x, k, pre, out = frames.pop()
+        if k < len(x.children):
+            frames.append((x, k + 1, pre, out))
+            child = x.children[k]
+            if not child.name:
+                out.append(child.text if pre else re.sub(r"\s+", " ", child.text))
+            else:
+                frames.append((child, 0, pre or child.name in ("pre", "code"), []))
+        elif frames:
+            frames[-1][3].append(_as_markdown(x.name, "".join(out), pre))
+        else:
+            return "".join(out)
 
 
-def _markdown(node: Node, out: list[str], pre: bool) -> None:
-    for x in node.children:
-        if not x.name:
-            out.append(x.text if pre else re.sub(r"\s+", " ", x.text))
-            continue
-        inner: list[str] = []
-        _markdown(x, inner, pre or x.name in ("pre", "code"))
-        text = "".join(inner)
-        if x.name in ("script", "style"):
-            continue
-        if x.name == "br":
-            out.append("\n")
-        elif x.name in ("b", "strong", "i", "em"):
-            mark = "**" if x.name in ("b", "strong") else "*"
-            bare = text.strip()
-            out.append(f"{' ' if text[:1].isspace() else ''}{mark}{bare}{mark}{' ' if text[-1:].isspace() else ''}" if bare else text)
-        elif re.fullmatch(r"h[1-6]", x.name):
-            out.append(f"\n\n{'#' * int(x.name[1])} {text.strip()}\n\n")
-        elif x.name == "li":
-            out.append(f"\n* {text.strip()}")
-        elif x.name in ("td", "th"):
-            out.append(f" {text.strip()} |")
-        elif x.name in _BLOCKS:
-            out.append(f"\n\n{text.strip() if not pre else text}\n\n")
-        else:
-            out.append(text)
+def _as_markdown(name: str, text: str, pre: bool) -> str:
+    if name in ("script", "style"):
+        return ""
+    if name == "br":
+        return "\n"
+    if name in ("b", "strong", "i", "em"):
+        mark = "**" if name in ("b", "strong") else "*"
+        bare = text.strip()
+        return f"{' ' if text[:1].isspace() else ''}{mark}{bare}{mark}{' ' if text[-1:].isspace() else ''}" if bare else text
+    if re.fullmatch(r"h[1-6]", name):
+        return f"\n\n{'#' * int(name[1])} {text.strip()}\n\n"
+    if name == "li":
+        return f"\n* {text.strip()}"
+    if name in ("td", "th"):
+        return f" {text.strip()} |"
+    return f"\n\n{text if pre else text.strip()}\n\n" if name in _BLOCKS else text
 
 
-#: The words of headings that are joined with their titles.
-JOINED = "Chương|Phần|Mục|Phụ lục"
-JUNK_TOKENS = (re.compile(r"\bVABW[A-Za-z0-9+/=]{8,}"), re.compile(r"\bLdAB[A-Za-z0-9+/=]{8,}"))
+#: A heading or an article in bold that its title follows in bold, and beginnings of encoded junk.
+JOINED_HEADING = re.compile(r"(\*\*(?:Chương|Phần|Mục|Phụ lục)\s+[A-Za-z0-9IVX]+)\*\*\s+\*\*", re.I)
+JOINED_ARTICLE = re.compile(r"(\*\*Điều\s+\d+\.?)\*\*\s+\*\*", re.I)
+JUNK_TOKENS = re.compile(r"(?:VABWAFAATABf|LdABoAHUAdgBp)[A-Za-z0-9+/=]+")
+
+
+def squeeze(markdown: str) -> str:
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", markdown)).strip()
 
 
 def finish(markdown: str) -> str:
     """Joins headings with their titles, drops junk, squeezes empty lines."""
-    x = markdown.replace("\\_", "_")
-    x = re.sub(rf"\*\*\s*((?:{JOINED})\s+[\w.]+)\s*\*\*\s*\*\*\s*([^*]+?)\s*\*\*", r"**\1 - \2**", x, flags=re.I)
-    x = re.sub(r"\*\*\s*(Điều\s+\d+\.)\s*\*\*\s*\*\*\s*([^*]+?)\s*\*\*", r"**\1 \2**", x, flags=re.I)
-    for junk in JUNK_TOKENS:
-        x = junk.sub("", x)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", x)).strip()
+    x = JOINED_HEADING.sub(r"\1 - ", markdown.replace("\\_", "_"))
+    return squeeze(JUNK_TOKENS.sub("", JOINED_ARTICLE.sub(r"\1 ", x)))
 
 
 # ---- the parts of a page ----------------------------------------------------------------------
@@ -157,7 +166,7 @@ def finish(markdown: str) -> str:
 def table_of_contents(root: Node) -> list[dict]:
     ul = root.first("ul", cls=TOC_LIST)
     links = [li.first("a", cls=TOC_LINK) for li in ul.find("li")] if ul else []
-    return [{"title": a.all_text().strip(), "href": a.attrs.get("href", "")} for a in links if a]
+    return [{"title": a.text_of(), "href": a.attrs.get("href")} for a in links if a]
 
 
 def main_text(root: Node, toc: list[dict]) -> str:
@@ -165,100 +174,138 @@ def main_text(root: Node, toc: list[dict]) -> str:
     body = root.first("div", cls=BODY)
     if body is None:
         return ""
-    for x in list(body.find("span")):
-        if x.all_text().strip().startswith(JUNK_SPANS):
-            x.parent.children.remove(x)
-    for x in list(body.find("table")):
-        upper = x.all_text().upper()
+    junk = [x for x in body.find("span") if x.text_of().startswith(JUNK_SPANS)]
+    for x in body.find("table"):
+        upper = x.text_of(" ").upper()
         if (STATE_HEAD in upper and STATE_MOTTO in upper) or RECEIVERS in upper:
-            if x in x.parent.children:
-                x.parent.children.remove(x)
+            junk.append(x)
+    for x in junk:
+        _remove(x)
+    by_name: dict[str, Node] = {}
+    by_id: dict[str, Node] = {}
+    links = []
+    for x in body.walk():
+        if x.name:
+            by_name.setdefault(x.attrs.get("name", ""), x)
+            by_id.setdefault(x.attrs.get("id", ""), x)
+            if x.name == "a":
+                links.append(x)
+    before: dict[int, tuple[Node, list[str]]] = {}  # by element, what stands before it
     for entry in toc:
-        if not entry["href"].startswith("#"):
-            continue
-        key = entry["href"].replace("#", "")
-        target = next((x for x in body.walk() if x.name and x.attrs.get("name") == key), None) or body.first(None, id=key)
-        if target is not None:
-            _before(target, f"\n\n[[ANCHOR:{key}]]\n\n")
+        if entry["href"] and entry["href"].startswith("#") and (key := entry["href"].replace("#", "")):
+            target = by_name.get(key) or by_id.get(key)
+            if target is not None:
+                before.setdefault(id(target), (target, []))[1].append(f"[[ANCHOR:{key}]]")
     seen: set[str] = set()
-    for a in list(body.find("a")):
+    for a in links:
         tip = a.attrs.get(TIP_ATTRIBUTE, "")
-        if tip.startswith(TIP_PREFIX) and (tip := tip[len(TIP_PREFIX) :]) not in seen:
+        if tip.startswith(TIP_PREFIX) and (tip := tip.replace(TIP_PREFIX, "")) not in seen:
             seen.add(tip)
-            _before(a, f" [[AMENDMENT:{tip}]] ")
+            before.setdefault(id(a), (a, []))[1].append(f"[[AMENDMENT:{tip}]]")
+    parents: dict[int, Node] = {id(x.parent): x.parent for x, _ in before.values()}
+    for parent in parents.values():
+        children = []
+        for x in parent.children:
+            children += [Node("", {}, parent, f" {mark} ") for mark in before.get(id(x), (x, ()))[1]]
+            children.append(x)
+        parent.children = children
     return finish(to_markdown(body))
 
 
-def _before(node: Node, text: str) -> None:
-    at = next(k for k, x in enumerate(node.parent.children) if x is node)
-    node.parent.children.insert(at, Node("", {}, node.parent, text))
+def _remove(node: Node) -> None:
+    node.parent.children = [x for x in node.parent.children if x is not node]
 
 
-def metadata_pairs(root: Node) -> list[dict]:
-    """Key in bold, value in the next cell; pairs with an empty side are left out."""
+def metadata_pairs(tab: Node | None) -> list[dict]:
+    """Of the first table of the main tab: key in bold, value in the next cell; pairs with an empty side are left out."""
+    table = tab.first("table") if tab else None
     out = []
-    for td in root.find("td"):
-        bold = td.first("b")
-        if bold is None:
-            continue
-        cells = [x for x in td.parent.children if x.name == "td"]
-        at = next(k for k, x in enumerate(cells) if x is td)
-        key = bold.all_text().replace(":", "").strip()
-        value = cells[at + 1].all_text().strip() if at + 1 < len(cells) else ""
-        if key and value:
-            out.append({"key": key, "value": value})
+    for row in table.find("tr") if table else ():
+        cells = list(row.find("td"))
+        for cell, value in zip(cells, cells[1:], strict=False):
+            bold = cell.first("b")
+            if bold is not None and (key := bold.text_of().replace(":", "")) and (text := value.text_of()):
+                out.append({"key": key, "value": text})
     return out
 
 
 def amendments(root: Node, base: str) -> list[dict]:
-    """Tooltip bodies left-joined with the text of the last link of each tip."""
+    """Tooltip bodies left-joined with the text of the last link of each tip; the first link of a body is cut out of its text."""
     texts = {}
-    for a in root.find("a"):
+    body = root.first("div", cls=BODY)
+    for a in body.find("a") if body else ():
         tip = a.attrs.get(TIP_ATTRIBUTE, "")
         if tip.startswith(TIP_PREFIX):
-            texts[tip[len(TIP_PREFIX) :]] = a.all_text().strip()
+            texts[tip.replace(TIP_PREFIX, "")] = a.text_of()
     holder = root.first("div", id=TIPS)
     out = []
     for tip in holder.find("div", cls_prefix=TIP_BODY) if holder else ():
-        key = next(c for c in tip.attrs["class"].split() if c.startswith(TIP_BODY))[len(TIP_BODY) :]
-        part = lambda cls, tip=tip: (tip.first(None, cls=cls).all_text().strip() if tip.first(None, cls=cls) else "")
-        link = tip.first("a")
-        href = link.attrs.get("href", "") if link else ""
-        out.append({"tip_id": key, "anchor_text": texts.get(key, ""), "bm_title": part(TIP_TITLE), "original_content": part(TIP_ORIGINAL), "amended_content": part(TIP_TEXT), "amended_link": base + href if href.startswith("/") else href})
+        key = tip.attrs["class"].split()[0].replace(TIP_BODY, "")
+        title, original, new = (tip.first("div", id=x) for x in (TIP_TITLE, TIP_ORIGINAL, TIP_TEXT))
+        link = next((a for a in new.find("a") if "href" in a.attrs), None) if new else None
+        href = ""
+        if link is not None:
+            href = link.attrs["href"]
+            _remove(link)
+        out.append({
+            "tip_id": key, "anchor_text": texts.get(key, ""), "bm_title": title.text_of() if title else "", "original_content": original.text_of("\n") if original else "",
+            "amended_content": new.text_of("\n") if new else "", "amended_link": base + href if href.startswith("/") else href,
+        })
     return out
 
 
+def _pairs(found: dict[str, str]) -> list[dict]:
+    return [{"key": k, "value": v} for k, v in found.items()]
+
+
 def related(root: Node, tab: str) -> list[dict]:
     """Related documents of a tab; the first span of a paragraph is its key, every occurrence of which is cut from the value."""
     holder = root.first("div", id=tab, cls=TAB_CLASS)
     out = []
     for div in holder.find("div", cls_prefix=RELATED_CLASS) if holder else ():
-        number, link = div.first(None, cls=RELATED_NUMBER), div.first("a")
-        attributes = []
-        for p in div.find("p"):
+        number, title, side = div.first("div", cls=RELATED_NUMBER), div.first("p", cls=RELATED_TITLE), div.first("div", cls=RELATED_SIDE)
+        link = title.first("a") if title else None
+        attributes: dict[str, str] = {}
+        for p in side.find("p") if side else ():
             span = p.first("span")
-            if span and (key := span.all_text().strip()):
-                attributes.append({"key": key.rstrip(":").strip(), "value": p.all_text().replace(span.all_text(), "").strip()})
-        out.append({"number": number.all_text().strip() if number else None, "lawid": div.attrs.get("lawid"), "title": link.all_text().strip() if link else None, "href": link.attrs.get("href") if link else None, "attributes": attributes})
+            if span is not None:
+                name = span.text_of()
+                key, value = name.replace(":", ""), (p.text_of().replace(name, "") if name else p.text_of()).strip()
+                if key and value:
+                    attributes[key] = value
+        out.append({
+            "number": number.text_of() if number else None, "lawid": title.attrs.get("lawid") if title else None, "title": link.text_of() if link else None,
+            "href": link.attrs.get("href") if link else None, "attributes": _pairs(attributes),
+        })
     return out
 
 
 def diagram(root: Node) -> list[dict]:
     """Relation diagram: entries by the nearest heading before them; a repeated category is replaced by its later section."""
     sections: dict[str, list[dict]] = {}
-    for ct in root.find("div", cls=DIAGRAM_SECTION):
-        category = DIAGRAM_OTHER
-        for x in ct.parent.children:
-            if x is ct:
-                break
-            if x.name == "div" and DIAGRAM_HEADING in x.attrs.get("class", "").split():
-                category = x.all_text().strip()
+    tab = root.first("div", id=DIAGRAM_TAB, cls=TAB_CLASS)
+    headings: dict[int, dict[int, str]] = {}  # by parent, the heading in force at each section
+    for section in tab.find("div", cls=DIAGRAM_SECTION) if tab else ():
+        parent = section.parent
+        if id(parent) not in headings:
+            now, own = DIAGRAM_OTHER, headings.setdefault(id(parent), {})
+            for x in parent.children:
+                own[id(x)] = now
+                if x.name == "div" and DIAGRAM_HEADING in x.attrs.get("class", "").split():
+                    now = x.text_of()
+        category = headings[id(parent)][id(section)]
         if category == DIAGRAM_SELF:
             continue
         entries = []
-        for a in ct.find("a"):
-            rows = [y.all_text().strip() for y in (a.parent.find("td") if a.parent else ())]
-            entries.append({"title": a.all_text().strip(), "href": a.attrs.get("href", ""), "metadata": [{"key": k, "value": v} for k, v in zip(rows[::2], rows[1::2], strict=False)]})
+        for entry in section.find("div", cls=DIAGRAM_ENTRY):
+            link, tip = entry.first("a"), entry.first("div", cls_prefix=DIAGRAM_TIP)
+            styled = lambda style, tip=tip: [x for x in tip.find("div") if style in x.attrs.get("style", "")] if tip else []
+            title, rows = styled(DIAGRAM_TITLE_STYLE), styled(DIAGRAM_ROW_STYLE)
+            found: dict[str, str] = {}
+            for k, v in zip(rows[::2], rows[1::2], strict=False):
+                if (key := k.text_of().replace(":", "")) and (value := v.text_of()):
+                    found[key] = value
+            entries.append({"title": title[0].text_of() if title else None, "href": link.attrs.get("href") if link else None, "metadata": _pairs(found)})
         sections[category] = entries
     return [{"category": k, "documents": v} for k, v in sections.items()]
 
@@ -268,10 +315,11 @@ def page_fields(main: str | None, diagram_page: str | None, validity_page: str |
     root = parse_html(main)
     tab = root.first("div", id=MAIN_TAB, cls=TAB_CLASS)
     h1 = tab.first("h1") if tab else None
-    toc = table_of_contents(root)
-    amended, pairs = amendments(root, base), metadata_pairs(root)
-    summary = root.first("div", cls=SUMMARY)
+    summary = tab.first("div", cls=SUMMARY) if tab else None
+    toc, pairs = table_of_contents(root), metadata_pairs(tab)
+    body = main_text(root, toc)
     return {
-        "title": h1.all_text().strip() if h1 else "", "metadata": pairs, "summary_content": finish(to_markdown(summary)) if summary else "", "mucluc": toc, "main_content": main_text(root, toc),
-        "amendments": amended, "lienquan_hieuluc_list": related(parse_html(validity_page), VALIDITY_TAB), "related_noidung_list": related(parse_html(content_page), CONTENT_TAB), "luoc_do_list": diagram(parse_html(diagram_page)),
+        "title": h1.text_of() if h1 else "", "metadata": pairs, "summary_content": squeeze(to_markdown(summary)) if summary else "", "mucluc": toc, "main_content": body,
+        "amendments": amendments(root, base), "lienquan_hieuluc_list": related(parse_html(validity_page), VALIDITY_TAB), "related_noidung_list": related(parse_html(content_page), CONTENT_TAB),
+        "luoc_do_list": diagram(parse_html(diagram_page)),
     }

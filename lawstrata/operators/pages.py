@@ -23,7 +23,7 @@ ENDED_KEY, ENDED_VALUE, NO_DOCUMENTS, LEAST_LENGTH = "Tình trạng", "Đã bi
 
 
 def accepted_page(html: Column) -> Column:
-    """A tab counts if it is long enough or says that it has no documents."""
+    """A tab's page counts if it is long enough or says that it has no documents."""
     return (F.length(html) > LEAST_LENGTH) | F.contains(html, F.lit(NO_DOCUMENTS))
 
 
@@ -47,11 +47,12 @@ def to_map(pairs: Column) -> Column:
 def parse_pages(pages: DataFrame, base: str) -> DataFrame:
     """One document record for each page: source_url, doc_id and FIELDS, metadata as a map.
 
-    ``pages``: source_url, main_html, and luocdo_html, hl_html, nd_html where known. Null or empty pages
-    give empty fields. Broken markup is read as far as it goes.
+    ``pages``: source_url, main_html, and luocdo_html, hl_html, nd_html where known. Null or empty pages,
+    and tabs that ``accepted_page`` rejects, give empty fields. Broken markup is read as far as it goes.
     """
-    missing = [c for c in ("luocdo_html", "hl_html", "nd_html") if c not in pages.columns]
-    src = pages.select("source_url", "main_html", *(c for c in ("luocdo_html", "hl_html", "nd_html") if c not in missing), *(F.lit(None).cast("string").alias(c) for c in missing))
+    none = F.lit(None).cast("string")
+    tab = lambda c: (F.when(accepted_page(F.col(c)), F.col(c)) if c in pages.columns else none).alias(c)
+    src = pages.select("source_url", "main_html", tab("luocdo_html"), tab("hl_html"), tab("nd_html"))
     out = src.mapInPandas(_parse(base), f"source_url string, {FIELDS}")
     return out.withColumn("metadata", to_map(F.col("metadata"))).withColumn("doc_id", doc_key(F.col("source_url")))
 

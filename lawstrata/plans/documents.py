@@ -98,20 +98,36 @@ def related_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def html_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages written from the documents' fields, parsed again: what the parser reads back."""
-    d = current_documents(spark, folder, "title", "metadata", "mucluc", "amendments")
-    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    meta = F.array_join(F.transform(F.map_entries("metadata"), lambda e: F.concat(F.lit("<tr><td><b>"), esc(e["key"]), F.lit(":</b></td><td>"), esc(e["value"]), F.lit("</td></tr>"))), "")
-    toc = F.array_join(F.transform("mucluc", lambda e: F.concat(F.lit('<li><a class="amuclucvb" href="'), esc(e["href"]), F.lit('">'), esc(e["title"]), F.lit("</a></li>"))), "")
-    links = F.array_join(F.transform("amendments", lambda a: F.concat(F.lit('<a atmm=".lqhlTootip-'), esc(a["tip_id"]), F.lit('">'), esc(a["anchor_text"]), F.lit("</a>"))), " ")
-    tips = F.array_join(F.transform("amendments", lambda a: F.concat(F.lit('<div class="lqhlTip-'), esc(a["tip_id"]), F.lit('"><p class="bmTitle">'), esc(a["bm_title"]), F.lit('</p><p class="bmContent">'), esc(a["amended_content"]), F.lit('</p><a href="'), esc(a["amended_link"]), F.lit('">x</a></div>'))), "")
+    """Pages written from the documents' fields in the form of the site, parsed again: what the parser reads back."""
+    d = current_documents(spark, folder, "title", "metadata", "mucluc", "amendments", "lienquan_hieuluc_list")
+    lit = F.lit
+    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, lit("")), lit("&"), lit("&amp;")), lit("<"), lit("&lt;")), lit(">"), lit("&gt;"))
+    each = lambda c, f, sep="": F.coalesce(F.array_join(F.transform(c, f), sep), lit(""))
+    meta = each(F.map_entries("metadata"), lambda e: F.concat(lit("<tr><td><b>"), esc(e["key"]), lit(":</b></td><td> "), esc(e["value"]), lit("</td></tr>")))
+    toc = each("mucluc", lambda e: F.concat(lit('<li><a class="amuclucvb" href="'), esc(e["href"]), lit('">'), esc(e["title"]), lit("</a></li>")))
+    heads = each("mucluc", lambda e: F.concat(lit('<p><a name="'), F.replace(esc(e["href"]), lit("#"), lit("")), lit('"></a><b>'), esc(e["title"]), lit("</b></p>")))
+    links = each("amendments", lambda a: F.concat(lit('<a atmm=".lqhlTootip-'), esc(a["tip_id"]), lit('">'), esc(a["anchor_text"]), lit("</a>")), " ")
+    tips = each("amendments", lambda a: F.concat(
+        lit('<div class="lqhlTip-'), esc(a["tip_id"]), lit(' hidden"><div id="bmTitle">'), esc(a["bm_title"]), lit('</div><div id="bmContentOld"> '), esc(a["original_content"]),
+        lit('</div><div id="bmContent"><a href="'), esc(a["amended_link"]), lit('">xem</a>'), esc(a["amended_content"]), lit("</div></div>")))
     page = F.concat(
-        F.lit('<html><div id="tab-1" class="contentDoc"><h1>'), esc(F.col("title")), F.lit("</h1><table>"), F.coalesce(meta, F.lit("")), F.lit('</table></div><ul class="muclucVB">'), F.coalesce(toc, F.lit("")),
-        F.lit('</ul><div class="content1"><!-- x --><p>'), F.coalesce(links, F.lit("")), F.lit('</p></div><div id="divltrLienQuanHieuLucTungPhan">'), F.coalesce(tips, F.lit("")), F.lit("</div></html>"),
+        lit('<html><table><tr><td><b>Ngoài:</b></td><td>x</td></tr></table><div id="tab-1" class="contentDoc x"><h1> '), esc(F.col("title")), lit("</h1><table>"), meta,
+        lit('</table><table><tr><td><b>Sau:</b></td><td>x</td></tr></table></div><ul class="muclucVB">'), toc, lit('</ul><div class="content1"><!-- x --><table><tr><td>CỘNG<br>HÒA</td><td>Độc lập</td></tr></table>'), heads,
+        lit("<p>"), links, lit('</p></div><div id="divltrLienQuanHieuLucTungPhan">'), tips, lit("</div></html>"),
+    )
+    near = each("lienquan_hieuluc_list", lambda r: F.concat(
+        lit('<div class="content-1"><div class="number">'), esc(r["number"]), lit('</div><p class="nqTitle" lawid="'), esc(r["lawid"]), lit('"><a href="'), esc(r["href"]), lit('">'), esc(r["title"]), lit('</a></p><div class="right-col">'),
+        F.coalesce(F.array_join(F.transform(F.map_entries(r["attributes"]), lambda e: F.concat(lit("<p><span>"), esc(e["key"]), lit(":</span> "), esc(e["value"]), lit("</p>"))), ""), lit("")), lit("</div></div>")))
+    tab = F.concat(lit('<div id="tab5" class="contentDoc">'), near, lit("</div><!-- Không có văn bản -->"))
+    good, _ = pages.split_ended(pages.parse_pages(d.select("source_url", page.alias("main_html"), tab.alias("hl_html")), SITE))
+    md5 = lambda c: F.md5(F.coalesce(F.array_join(c, "\n"), lit("")).cast("binary"))
+    return good.select(
+        "doc_id", "title", F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], lit("="), e["value"]))), "|").alias("metadata"),
+        md5(F.transform("mucluc", lambda e: F.concat_ws("|", e["href"], e["title"]))).alias("toc_md5"),
+        md5(F.transform("amendments", lambda a: F.concat_ws("|", a["tip_id"], a["bm_title"], a["original_content"], a["amended_content"], a["amended_link"]))).alias("amendments_md5"),
+        md5(F.transform("lienquan_hieuluc_list", lambda r: F.concat_ws("|", r["number"], r["lawid"], r["title"], r["href"]))).alias("related_md5"),
+        F.size(F.filter("mucluc", lambda e: F.contains("main_content", F.concat(lit("[[ANCHOR:"), F.replace(e["href"], lit("#"), lit("")), lit("]]"))))).alias("n_anchors"), F.contains("main_content", lit("Độc lập")).alias("has_head"),
     )
-    parsed = pages.parse_pages(d.select("source_url", page.alias("main_html")), SITE)
-    good, _ = pages.split_ended(parsed)
-    return good.select("doc_id", "title", F.size("metadata").alias("n_metadata"), F.size("mucluc").alias("n_toc"), F.size("amendments").alias("n_amendments"), F.array_join(F.array_sort(F.transform("amendments", lambda a: a["amended_link"])), " ").alias("links"))
 
 
 def pending_pages(spark: SparkSession, folder: str) -> DataFrame:

@@ -168,6 +168,12 @@ UNION ALL SELECT 'summary_' || doc_id || '_part' || (bin + 1), 'Summary_Split',
 SQL["entity_mentions"] = f"WITH {ENTITIES} SELECT 'Chunk' AS src_label, chunk_id AS src, 'MENTIONS' AS rel, label AS dst_label, name AS dst FROM e"
 SQL["mention_counts"] = f"WITH {ENTITIES} SELECT label, count(*) AS n_mentions, count(DISTINCT name) AS n_entities, count(DISTINCT chunk_id) AS n_chunks FROM e GROUP BY label"
 SQL["hit_report"] = f"WITH r AS ({RERANK}), {CHUNKS} SELECT question_id, place, '[' || place || '] ' || printf('%.4f', rerank_score) || ' | ' || coalesce(title, 'Tài liệu không tên') || ' | ' || substr(replace(coalesce(content, ''), chr(10), ' '), 1, 120) || '...' AS line FROM r JOIN cur ON cur.chunk_id = r.point_id"
-SQL["html_round_trip"] = f"""WITH {DOCS} SELECT doc_id, {strip("title")} AS title, len(list_filter(map_entries(metadata), lambda e: {strip("replace(e.key, ':', '')")} <> '' AND {strip("coalesce(e.value, '')")} <> ''))::INT AS n_metadata, len(mucluc)::INT AS n_toc, len(amendments)::INT AS n_amendments,
-  array_to_string(list_sort(list_transform(amendments, lambda a: CASE WHEN a.amended_link LIKE '/%' THEN 'https://vanban.example' || a.amended_link ELSE coalesce(a.amended_link, '') END)), ' ') AS links
+_TEXT = lambda x: strip(f"coalesce({x}, '')")
+_LINK = "CASE WHEN a.amended_link LIKE '/%' THEN 'https://vanban.example' || a.amended_link ELSE coalesce(a.amended_link, '') END"
+SQL["html_round_trip"] = f"""WITH {DOCS} SELECT doc_id, {_TEXT("title")} AS title,
+  array_to_string(list_sort(list_transform(list_filter(map_entries(metadata), lambda e: replace({_TEXT("e.key")}, ':', '') <> '' AND {_TEXT("e.value")} <> ''), lambda e: replace({_TEXT("e.key")}, ':', '') || '=' || {_TEXT("e.value")})), '|') AS metadata,
+  md5(coalesce(array_to_string(list_transform(mucluc, lambda e: coalesce(e.href, '') || '|' || {_TEXT("e.title")}), chr(10)), '')) AS toc_md5,
+  md5(coalesce(array_to_string(list_transform(amendments, lambda a: a.tip_id || '|' || {_TEXT("a.bm_title")} || '|' || {_TEXT("a.original_content")} || '|' || {_TEXT("a.amended_content")} || '|' || {_LINK}), chr(10)), '')) AS amendments_md5,
+  md5(coalesce(array_to_string(list_transform(lienquan_hieuluc_list, lambda r: {_TEXT("r.number")} || '|' || coalesce(r.lawid, '') || '|' || {_TEXT("r.title")} || '|' || coalesce(r.href, '')), chr(10)), '')) AS related_md5,
+  coalesce(len(list_filter(mucluc, lambda e: e.href LIKE '#_%')), 0)::INT AS n_anchors, false AS has_head
 FROM docs WHERE coalesce(metadata['Tình trạng'], '') <> 'Đã biết'"""
