@@ -6,10 +6,13 @@ the parts of a vector's neighbourhood. Every vector is indexed in its most proba
 is routed to the parts that are probable enough, whose vectors are reranked by cosine. How probable
 is enough is set so that the wanted recall is reached on random steps from vectors not trained on.
 
-Vectors travel as unit vectors in 16-bit fixed point, which leaves cosines right to about 0.00005.
+Vectors travel in 12-bit fixed point, which leaves cosines right to about 0.0001 (0.0003 with 16 numbers), turned so that the
+directions in which they vary most come first: where only cosines above a floor count, half of the numbers
+and the length of the rest bound a cosine from above, and few pairs need the other half.
 
 Equal vectors (up to length) are indexed once. A part too large for a task is cut into blocks of
-index and query rows; each pair of blocks is its own piece of work.
+index and query rows; each pair of blocks is its own piece of work. A piece with many index rows learns
+partitions of its own, in its task, in the same way: a second level that grows with the table.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ from lawstrata.session import Scratch, parallelism
 #: Vectors of the training sample: this many, or one of 64 of a large table, but never more than the second.
 SAMPLE, SAMPLE_MOST = 16_384, 65_536
 #: Vectors that a part should hold, and the least number of sample vectors for each part.
-PART, PER_PART = 2_500, 24
-#: Rows of an index block and of a query block.
-INDEX_BLOCK, QUERY_BLOCK = 16_384, 32_768
+PART, PER_PART = 8_000, 24
+#: Rows of an index block and of a query block, and rows that a task should read.
+INDEX_BLOCK, QUERY_BLOCK, PER_TASK = 131_072, 262_144, 100_000
+#: Index rows of a piece of work above which it is partitioned again, the sample it learns from, and the recall it asks for.
+AGAIN, AGAIN_SAMPLE, AGAIN_RECALL = 32_768, 8_192, 0.998
 GRAPH_K = 10
 
 
@@ -45,6 +50,7 @@ class Router:
     least: float
     index_share: np.ndarray
     query_share: np.ndarray
+    turn: np.ndarray | None = None
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.weights + self.bias
@@ -163,22 +169,34 @@ def train_router(x: np.ndarray, expected: int, k: int, recall: float, floor: flo
         pa_, pb_ = router.probabilities(a[s : s + 2048]), router.probabilities(b[s : s + 2048])
         own, ta, tb = np.arange(len(pa_)), pa_.argmax(1), pb_.argmax(1)
         at[s : s + 2048] = np.where(ta == tb, 1.0, np.maximum(pa_[own, tb], pb_[own, ta]))
-    # capped below so that no query is sent everywhere for a few odd ones
-    router.least = float(max(np.sort(at)[min(len(at) - 1, int((1 - recall) * len(at)))], 1e-4))
+    router.least = 0.0 if recall >= 1 else float(np.sort(at)[min(len(at) - 1, int((1 - recall) * len(at)))])
     best, _, part = (np.concatenate(z) for z in zip(*(router.parts(x[k : k + 2048]) for k in range(0, len(x), 2048)), strict=True))
     router.index_share, router.query_share = np.bincount(best, minlength=parts) / len(x), np.bincount(part, minlength=parts) / len(x)
     return router
 
 
+def turned(x: np.ndarray) -> np.ndarray:
+    """An orthogonal matrix that brings the directions in which unit vectors vary most to the front."""
+    return np.ascontiguousarray(np.linalg.eigh(x.T.astype(np.float64) @ x)[1][:, ::-1]).astype(np.float32)
+
+
 def packed(x: np.ndarray) -> pa.Array:
-    """Unit vectors in 16-bit fixed point."""
-    data = np.ascontiguousarray(np.rint(x * 32767.0).astype("<i2"))
-    offsets = np.arange(len(x) + 1, dtype=np.int32) * (2 * x.shape[1])
+    """Vectors in 12-bit fixed point, each by its greatest number; two numbers in three bytes."""
+    q = np.rint(x * (2047.0 / np.maximum(np.abs(x).max(1, keepdims=True), 1e-30))).astype(np.int32) + 2048
+    if q.shape[1] % 2:
+        q = np.concatenate([q, np.full((len(q), 1), 2048, np.int32)], 1)
+    a, b = q[:, ::2], q[:, 1::2]
+    data = np.stack([a & 255, (a >> 8) | ((b & 15) << 4), b >> 4], 2).astype(np.uint8)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (3 * a.shape[1])
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def unpacked(column: pa.Array, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(column.to_pylist()), "<i2").reshape(-1, dim).astype(np.float32)
+    """Unit vectors of ``packed``."""
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), (dim + 1) // 2, 3).astype(np.int32)
+    x = np.empty((len(column), 2 * data.shape[1]), np.float32)
+    x[:, ::2], x[:, 1::2] = data[:, :, 0] | ((data[:, :, 1] & 15) << 8), (data[:, :, 1] >> 4) | (data[:, :, 2] << 4)
+    x = x[:, :dim] - 2048
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -229,37 +247,82 @@ def _route(dim: int, router: Router | None):
             best, row, part = (np.zeros(len(x), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)) if router is None else router.parts(x)
             keep = ask[row]
             row, part = row[keep], part[keep]
+            y = x if router is None or router.turn is None else x @ router.turn
             side = np.concatenate([np.where(ask, 1, 0), np.full(len(row), 2)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([best, part]), pa.int32()), pa.array(side, pa.int32()), pa.array(np.concatenate([v, v[row]]), pa.int64()), packed(np.concatenate([x, x[row]]))], names=["part", "side", "v", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([best, part]), pa.int32()), pa.array(side, pa.int32()), pa.array(np.concatenate([v, v[row]]), pa.int64()), packed(np.concatenate([y, y[row]]))], names=["part", "side", "v", "vec"])
 
     return run
 
 
-def _rerank(dim: int, k: int, floor: float):
+def above(q: np.ndarray, x: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, cosine) of all pairs with at least ``floor``, which is above 0."""
+    d = q.shape[1] // 2
+    if d < 16:
+        c = q @ x.T
+        r, j = np.nonzero(c >= np.float32(floor))
+        return r, j, c[r, j]
+    # a cosine is at most that of the first numbers plus the product of the others' lengths
+    bound = lambda y: np.concatenate([y[:, :d], np.sqrt((y[:, d:] ** 2).sum(1, keepdims=True))], 1)
+    qb, xb = bound(q), np.ascontiguousarray(bound(x).T)
+    step = max(64, (1 << 20) // max(1, len(x)))
+    at = [(s, *np.divmod(np.flatnonzero(qb[s : s + step] @ xb >= np.float32(floor - 1e-5)), len(x))) for s in range(0, len(q), step)]
+    r, j = np.concatenate([s + r for s, r, _ in at]), np.concatenate([j for _, _, j in at])
+    c = np.empty(len(r), np.float32)
+    for s in range(0, len(r), 1 << 18):
+        c[s : s + (1 << 18)] = np.einsum("ij,ij->i", q[r[s : s + (1 << 18)]], x[j[s : s + (1 << 18)]])
+    keep = c >= np.float32(floor)
+    return r[keep], j[keep], c[keep]
+
+
+def _rerank(dim: int, k: int, floor: float, recall: float):
     """Rows come by place, which is cell * 4 + side: index rows (0), index rows that also ask (1), query rows (2)."""
 
-    def top(q: np.ndarray, qv: np.ndarray, x: np.ndarray, xv: np.ndarray) -> pa.RecordBatch | None:
+    def best_of(q: np.ndarray, qv: np.ndarray, x: np.ndarray, xv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, neighbour, cosine): the k best of each query among x, itself left out."""
+        if floor > 0:  # few reach it; sort those only
+            r, j, val = above(q, x, floor)
+            other = qv[r] != xv[j]
+            r, j, val = r[other], j[other], val[other]
+            o = np.lexsort((-val, r))
+            r, j, val = r[o], j[o], val[o]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+            return qv[r[keep]], xv[j[keep]], val[keep]
         out = []
         for s in range(0, len(q), 512):
             c = q[s : s + 512] @ x.T
             if len(own := np.flatnonzero(np.isin(qv[s : s + 512], xv))):
                 c[own, np.searchsorted(xv, qv[s + own])] = -2  # xv ascends
-            if floor > 0:  # few reach it; sort those only
-                r, j = np.nonzero(c >= np.float32(floor))
-                val = c[r, j]
-                o = np.lexsort((-val, r))
-                r, j, val = r[o], j[o], val[o]
-                place = np.arange(len(r)) - np.searchsorted(r, r)
-                r, j, val = r[place < k], j[place < k], val[place < k]
-                out.append((qv[s + r], xv[j], val))
-                continue
             m = min(k, c.shape[1])
             best = np.argpartition(-c, m - 1, axis=1)[:, :m]
             val = np.take_along_axis(c, best, 1)
             r, j = np.nonzero(val >= max(floor, -1.5))
             out.append((qv[s + r], xv[best[r, j]], val[r, j]))
-        a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c.astype(np.float64))], names=["q", "n", "cosine"])
+        return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+    class Index:
+        """The index rows of a piece of work; many of them in parts of their own, which a router learns from a sample of them."""
+
+        def __init__(self, x: np.ndarray, v: np.ndarray):
+            self.router, self.parts = None, [(x, v)]
+            if len(x) > AGAIN and recall < 1:
+                sample = x[np.argsort(v, kind="stable")[:AGAIN_SAMPLE]]  # by hash
+                self.router = train_router(sample, len(x), k, max(recall, AGAIN_RECALL), floor)
+                own = np.concatenate([self.router.probabilities(x[s : s + 4096]).argmax(1) for s in range(0, len(x), 4096)])
+                self.parts = [(x[own == p], v[own == p]) for p in range(len(self.router.bias))]
+
+        def ask(self, q: np.ndarray, qv: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for s in range(0, len(q), 8192):
+                part, pv = q[s : s + 8192], qv[s : s + 8192]
+                near = None
+                if self.router is not None:
+                    p = self.router.probabilities(part)
+                    near = p >= self.router.least
+                    near[np.arange(len(p)), p.argmax(1)] = True
+                for n, (x, v) in enumerate(self.parts):
+                    at = slice(None) if near is None else np.flatnonzero(near[:, n])
+                    if len(x) and len(part[at]):
+                        a, b, c = best_of(part[at], pv[at], x, v)
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c.astype(np.float64))], names=["q", "n", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, xs, vs, asks, index = None, [], [], [], None
@@ -271,14 +334,14 @@ def _rerank(dim: int, k: int, floor: float):
             if index is None and xs:
                 x, v, ask = np.concatenate(xs), np.concatenate(vs), np.concatenate(asks)
                 _, first = np.unique(v, return_index=True)
-                index = x[first], v[first]
+                index = Index(x[first], v[first])
                 own = first[ask[first]]
                 if len(own):
-                    yield top(x[own], v[own], *index)
+                    yield from index.ask(x[own], v[own])
             if index is not None and qs:
                 q, qv = np.concatenate(qs), np.concatenate(qvs)
                 _, first = np.unique(qv, return_index=True)
-                yield top(q[first], qv[first], *index)
+                yield from index.ask(q[first], qv[first])
             qs, qvs = [], []
 
         for batch in batches:
@@ -344,6 +407,8 @@ def most_similar(df: DataFrame, id_col: str, vector_col: str, k: int, order_col:
     x = unit_rows(rows, dim)[1]
     x = x[np.unique(_hashes(x), return_index=True)[1]]
     router = train_router(x, total, k, recall, min_cosine) if len(x) >= 2 * PER_PART else None
+    if router is not None:
+        router.turn = turned(x)
     routed = src.select("id", "vec", "ask").mapInArrow(_route(dim, router), "part int, side int, v bigint, vec binary")
     if has_stale:
         routed = routed.join(stale, "v", "left_anti")
@@ -354,10 +419,12 @@ def most_similar(df: DataFrame, id_col: str, vector_col: str, k: int, order_col:
         cells = _blocks(routed, spark.createDataFrame(blocks, "part int, bi int, bq int"))
     else:
         cells = routed.select(F.col("part").cast("bigint").alias("cell"), "side", "v", "vec")
-    n = max(parallelism(spark), min(parts, -(-total // 20_000)))
+    copies = 1.0 if router is None else 1.0 + float(router.query_share.sum())
+    pieces = parts + sum(i * q - 1 for _, i, q in blocks)
+    n = max(parallelism(spark), min(pieces, int(np.ceil(total * copies / PER_TASK))))
     # cell and side in one number: of what is shuffled, all but the vector should be little
     cells = cells.select((F.col("cell") * 4 + F.col("side")).alias("place"), "v", "vec")
-    found = cells.repartition(n, F.shiftright("place", 2)).sortWithinPartitions("place").mapInArrow(_rerank(dim, k if queries is not None else 2 * k, min_cosine), "q bigint, n bigint, cosine double")
+    found = cells.repartition(n, F.shiftright("place", 2)).sortWithinPartitions("place").mapInArrow(_rerank(dim, k if queries is not None else 2 * k, min_cosine, recall), "q bigint, n bigint, cosine double")
     if queries is None:  # a pair found from one side counts for both; twice k, as one side may have nearer ones
         both = F.array(F.struct("q", "n", "cosine"), F.struct(F.col("n").alias("q"), F.col("q").alias("n"), "cosine"))
         found = found.select(F.explode(both).alias("x")).select("x.*")  # not a union, which would rerank twice

@@ -37,9 +37,9 @@ def test_small_tables_are_exact(spark):
     _, sim = truth(x, 5)
     got = knn.most_similar(frame(spark, x), "id", "v", 5).collect()
     assert len({(r.id, r.neighbour) for r in got}) == 1500
-    for r in got:  # cosines are right to the fixed point's 0.00005
+    for r in got:  # cosines of 16 numbers are right to the fixed point's 0.0003
         i, j = int(r.id[1:]), int(r.neighbour[1:])
-        assert abs(r.cosine - u[i] @ u[j]) < 1e-4 and r.cosine > sim[i, r["rank"] - 1] - 1e-4
+        assert abs(r.cosine - u[i] @ u[j]) < 3e-4 and r.cosine > sim[i, r["rank"] - 1] - 6e-4
 
 
 def test_blocks_lose_nothing(spark, monkeypatch):
@@ -52,7 +52,49 @@ def test_blocks_lose_nothing(spark, monkeypatch):
     at, _ = truth(x, 5)
     want = {(f"p{i:05}", f"p{j:05}") for i in range(len(x)) for j in at[i]}
     hits = [len(want & {(a, b) for a, b, *_ in got}) for got in (one, two)]
-    assert len(two) == len(one) and hits[1] >= hits[0] >= 0.99 * len(want)
+    assert len(two) == len(one) and min(hits) >= 0.999 * len(want)  # but for what 12 bits leave open
+
+
+@pytest.mark.parametrize("floor,recall", [(-1.0, 0.97), (0.8, 0.985), (0.8, 1.0)])
+def test_second_level(spark, monkeypatch, floor, recall):
+    """Parts that are large are partitioned again where they lie."""
+    monkeypatch.setattr(knn, "PART", 1500)
+    monkeypatch.setattr(knn, "AGAIN", 300)
+    made = []
+    real = knn.train_router
+    monkeypatch.setattr(knn, "train_router", lambda *a: made.append(a[1]) or real(*a))
+    x = clustered(4000, 48)
+    at, sim = truth(x, 5)
+    got = {(r.id, r.neighbour) for r in knn.most_similar(frame(spark, x), "id", "v", 5, min_cosine=floor, recall=recall).collect()}
+    want = {(f"p{i:05}", f"p{j:05}") for i in range(len(x)) for j, s in zip(at[i], sim[i], strict=True) if s >= floor}
+    assert len(want & got) >= (0.999 if recall == 1 else 0.94) * len(want) and made == [4000]
+
+
+def test_bound_loses_no_pair():
+    rng = np.random.default_rng(2)
+    for dim in (7, 31, 33, 96):
+        x = rng.standard_normal((60, dim))[rng.integers(0, 60, 700)] + 0.3 * rng.standard_normal((700, dim))
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        c = x[:300] @ x.T
+        r, j, val = knn.above(x[:300], x, 0.8)
+        sure = set(zip(*np.nonzero(c >= 0.80001)))
+        assert sure <= set(zip(r, j)) <= set(zip(*np.nonzero(c >= 0.79999))) and np.abs(c[r, j] - val).max() < 1e-5
+        back = knn.unpacked(knn.packed(x), dim)
+        assert back.shape == x.shape and np.abs((back * x).sum(1) - 1).max() < 1e-6
+        y = x @ knn.turned(x)
+        assert np.abs(y @ y.T - x @ x.T).max() < 1e-4 and (y[:, : dim // 2] ** 2).sum() >= (x[:, : dim // 2] ** 2).sum()
+
+
+def test_neighbours_as_registered(spark, tmp_path):
+    """Every vector whose id is divisible by 20 against all."""
+    from lawstrata.llm.queries import QUERIES
+
+    x = clustered(600, 96)
+    at, _ = truth(x, 5)
+    ids = [f"{i:08x}-0000-5000-8000-000000000000" for i in range(len(x))]
+    spark.createDataFrame([(k, v.tolist(), 1) for k, v in zip(ids, x)], "point_id string, vector array<float>, loaded_at int").write.parquet(str(tmp_path / "vector_point.parquet"))
+    got = {(r.point_id, r.neighbour, r.neighbour_rank) for r in QUERIES["p5_neighbours"](spark, str(tmp_path)).collect()}
+    assert got == {(ids[i], ids[j], r) for i in range(0, 600, 20) for r, j in enumerate(at[i], 1)}
 
 
 def test_copies_and_unusable_vectors(spark):
