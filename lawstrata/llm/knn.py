@@ -32,7 +32,7 @@ SAMPLE, SAMPLE_MOST = 16_384, 65_536
 #: Vectors that a part should hold, and the least number of sample vectors for each part.
 PART, PER_PART = 8_000, 24
 #: Rows of an index block and of a query block, and rows that a task should read.
-INDEX_BLOCK, QUERY_BLOCK, PER_TASK = 131_072, 262_144, 100_000
+INDEX_BLOCK, QUERY_BLOCK, PER_TASK = 131_072, 262_144, 30_000
 #: Index rows of a piece of work above which it is partitioned again, the sample it learns from, and the recall it asks for.
 AGAIN, AGAIN_SAMPLE, AGAIN_RECALL = 32_768, 8_192, 0.998
 GRAPH_K = 10

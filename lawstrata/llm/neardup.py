@@ -12,8 +12,9 @@ the exact similarity of the shingle sets.
 At similarity s a pair meets in a segment with probability s^5 + 5 s^4 (1 - s), so it is found with
 0.984 at s = 0.6, 0.9995 at 0.7 and more above.
 
-Texts with equal shingle sets form a class that enters the tables once. A pattern that a third of
-all texts share is cut into blocks whose pairs are spread over tasks.
+Texts with equal shingle sets form a class that enters the tables once. A pattern that many classes share
+is cut into blocks; each pair of blocks is a piece of work of its own, which compares whole fingerprints
+where they lie and gives out only pairs that are close, and those only at the first pattern they share.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ from pyspark.sql import types as T
 
 from lawstrata.llm.words import jaccard, mix, shingles, words
 from lawstrata.operators.components import connected_components
-from lawstrata.session import Scratch, parallelism
+from lawstrata.session import Scratch, enough_partitions, parallelism
 
 SEGMENTS, WIDTH = 10, 5
 SYMBOLS = SEGMENTS * WIDTH
-#: Texts of a block of a pattern's matches.
-BLOCK = 64
+#: Classes that may share a pattern before it is hot, and classes of a block of a hot pattern.
+COMMON, BLOCK = 64, 2048
 #: Copies up to which a class is written out as all pairs of keys; above, as links to its least key.
 SPELL_OUT = 64
 #: Keys of a block of a class that is written out.
@@ -128,28 +129,98 @@ def _patterns() -> Column:
             first = 2 * WIDTH * s + 1
             rest = F.concat(F.substring("sig", first, 2 * m), F.substring("sig", first + 2 * m + 2, 2 * (WIDTH - 1 - m)))
             keys.append(F.xxhash64(F.lit(s * WIDTH + m), "g", rest))
-    return F.explode(F.array(*keys))
+    return F.array(*keys)
 
 
-def _matches(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of classes that share a pattern."""
-    table = prints.select("cid", _patterns().alias("key"))
+def _first_shared(x: np.ndarray, y: np.ndarray, least_equal: int, pattern: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (of x, of y) that agree in at least ``least_equal`` symbols and share no pattern before this one; of one block, each pair once."""
+    segment, mask = divmod(pattern, WIDTH)
+    total = np.zeros((len(x), len(y)), np.uint8)
+    before = np.zeros((len(x), len(y)), bool)
+    for s in range(SEGMENTS):
+        own = np.zeros_like(total)
+        for k in range(s * WIDTH, (s + 1) * WIDTH):
+            own += x[:, k : k + 1] == y[:, k]
+        if s < segment:
+            before |= own >= WIDTH - 1
+        elif s == segment and mask:
+            before |= own == WIDTH  # shares this segment's first pattern
+        total += own
+    found = (total >= least_equal) & ~before
+    return np.nonzero(np.triu(found, 1) if same else found)
+
+
+def _hot(least_equal: int):
+    """Pairs of close fingerprints within cells (key, i, j) of hot patterns; rows come by cell and block."""
+
+    def pairs(cell: tuple, cids: list[np.ndarray], sigs: list[np.ndarray], blks: list[np.ndarray]) -> pa.RecordBatch:
+        _, i, j, pattern = cell
+        cid, blk = np.concatenate(cids), np.concatenate(blks)
+        sig = np.concatenate(sigs)
+        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s in range(0, len(left), 512):
+            at = left[s : s + 512]
+            onward = right[s:] if i == j else right  # of one block, what comes later
+            r, c = _first_shared(sig[at], sig[onward], least_equal, pattern, i == j)
+            a.append(cid[at[r]])
+            b.append(cid[onward[c]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [])
+        for batch in batches:
+            key, i, j, p = (np.asarray(batch.column(c)) for c in ("key", "i", "j", "p"))
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            cid, blk = np.asarray(batch.column("cid")), np.asarray(batch.column("blk"))
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(key)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if s == e:
+                    continue
+                cell = int(key[s]), int(i[s]), int(j[s]), int(p[s])
+                if cell != now:
+                    if now:
+                        yield pairs(now, *held)
+                    now, held = cell, ([], [], [])
+                for x, y in zip(held, (cid, sig, blk), strict=True):
+                    x.append(y[s:e])
+        if now:
+            yield pairs(now, *held)
+
+    return run
+
+
+def _matches(prints: DataFrame, scratch: Scratch, least_equal: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of classes that share a pattern and agree in at least ``least_equal`` symbols."""
+    table = prints.select("cid", F.posexplode(_patterns()).alias("p", "key"))
     # numbers only, so that the aggregate hashes and does not sort
     shared = table.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("a"), F.max("cid").alias("b"))
     shared = scratch.cut(shared.where("n > 1"), "shared")
     two = shared.where("n = 2").select("a", "b")
     many = shared.where("n > 2").select("key", "n")
     cell = F.pmod("key", F.lit(CELLS))
-    bitmap = many.withColumn("c", cell).groupBy(F.shiftright("c", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("bits"))
-    rows = table.withColumn("c", cell).withColumn("word", F.shiftright("c", 6)).join(F.broadcast(bitmap), "word").where("shiftrightunsigned(bits, cast(c % 64 as int)) & 1 = 1")
-    rows = rows.select("key", "cid").join(many, "key")
+
+    def members(keys: DataFrame) -> DataFrame:
+        bitmap = keys.withColumn("c", cell).groupBy(F.shiftright("c", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("bits"))
+        rows = table.withColumn("c", cell).withColumn("word", F.shiftright("c", 6)).join(F.broadcast(bitmap), "word").where("shiftrightunsigned(bits, cast(c % 64 as int)) & 1 = 1")
+        return rows.select("key", "p", "cid").join(keys, "key")
+
+    lists = members(many.where(F.col("n") <= COMMON)).groupBy("key").agg(F.array_sort(F.collect_list("cid")).alias("m"))
+    each = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = two.union(lists.select(F.explode(each).alias("p")).select("p.a", "p.b")).distinct()
+    side = lambda x: prints.select(F.col("cid").alias(x), F.col("sig").alias(f"s{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_close(least_equal), _schema(pairs, "a", "b"))
+    hot = many.where(F.col("n") > COMMON)
+    if not hot.limit(1).count():
+        return near
+    rows = members(hot).join(prints.select("cid", "sig"), "cid")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.groupBy("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).agg(F.collect_list(F.struct("blk", "cid")).alias("m"))
-    left = F.filter("m", lambda x: x["blk"] == F.col("i"))
-    right = F.filter("m", lambda x: x["blk"] == F.col("j"))
-    pairs = F.flatten(F.transform(left, lambda x: F.transform(F.filter(right, lambda y: (F.col("i") != F.col("j")) | (x["cid"] < y["cid"])), lambda y: F.struct(F.least(x["cid"], y["cid"]).alias("a"), F.greatest(x["cid"], y["cid"]).alias("b")))))
-    return two.union(rows.select(F.explode(pairs).alias("p")).select("p.a", "p.b")).distinct()
+    work = hot.select(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)).alias("rows")).first()["rows"]
+    rows = rows.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "p", "blk", "cid", "sig")
+    line = rows.repartition(enough_partitions(prints.sparkSession, work, 20_000), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return near.union(line.mapInArrow(_hot(least_equal), _schema(pairs, "a", "b"))).distinct()
 
 
 def near_duplicate_classes(df: DataFrame, key: Column | str, text: Column | str, order: Column | str | None = None, group: Column | str | None = None, threshold: float = 0.8, shingle: int = 5, least_words: int = 1) -> tuple[DataFrame, DataFrame, Scratch]:
@@ -172,12 +243,10 @@ def near_duplicate_classes(df: DataFrame, key: Column | str, text: Column | str,
     docs = scratch.cut(now.where("r.cid is not null").select("grp", "key", F.xxhash64("grp", "r.cid").alias("cid"), F.xxhash64("grp").alias("g"), "r.sig", "r.text"), "docs")
     classes = docs.groupBy("cid").agg(F.first("g").alias("g"), F.first("sig").alias("sig"))
     classes = scratch.cut(classes, "classes")
-    pairs = _matches(classes, scratch)
     side = lambda df, x, c: df.select(F.col("cid").alias(x), F.col(c).alias(f"{c[0]}{x}"))
-    near = pairs.join(side(classes, "a", "sig"), "a").join(side(classes, "b", "sig"), "b").select("a", "b", "sa", "sb")
     # 4.4 standard deviations below the expected number of equal symbols
     floor = int(SYMBOLS * threshold - 4.4 * (SYMBOLS * threshold * (1 - threshold)) ** 0.5) if threshold < 0.9 else int(SYMBOLS * threshold * 0.75)
-    near = scratch.cut(near.mapInArrow(_close(floor), _schema(pairs, "a", "b")), "near")
+    near = scratch.cut(_matches(classes, scratch, floor), "near")
     held = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
     texts = docs.select("cid", "text").join(held, "cid", "left_semi").groupBy("cid").agg(F.min("text").alias("text"))
     texts = scratch.cut(texts, "texts")

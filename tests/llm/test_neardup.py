@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,39 @@ def test_hot_class_and_hot_pattern(spark):
     assert len(want & got) >= 0.999 * len(want)
 
 
+def test_hot_patterns_lose_nothing(spark, monkeypatch):
+    """A family that shares its patterns, cut into blocks, gives the pairs that lists of whole patterns give."""
+    rng = random.Random(11)
+    text = " ".join(f"w{rng.randint(0, 300)}" for _ in range(120))
+    rows = [(f"n{i:03}", edited(random.Random(i), text, 1 + i % 7), "gh"[i % 5 == 0]) for i in range(160)] + corpus(40)
+    whole = found(spark, rows, threshold=0.6, shingle=3)
+    monkeypatch.setattr(neardup, "COMMON", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 24)
+    assert found(spark, rows, threshold=0.6, shingle=3) == whole and len(whole) > 5_000
+
+
+def test_pairs_are_given_out_at_their_first_pattern():
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 3, (40, neardup.SYMBOLS)).astype(np.uint16)
+    seen = {}
+    for p in range(neardup.SYMBOLS):
+        s, m = divmod(p, neardup.WIDTH)
+        own = [k for k in range(s * neardup.WIDTH, (s + 1) * neardup.WIDTH) if k != s * neardup.WIDTH + m]
+        for i, j in combinations(range(40), 2):
+            if (sig[i, own] == sig[j, own]).all():
+                seen.setdefault((i, j), p)
+    for p in range(neardup.SYMBOLS):
+        s, m = divmod(p, neardup.WIDTH)
+        own = [k for k in range(s * neardup.WIDTH, (s + 1) * neardup.WIDTH) if k != s * neardup.WIDTH + m]
+        members = {}
+        for i in range(40):
+            members.setdefault(tuple(sig[i, own]), []).append(i)
+        for at in members.values():
+            r, c = neardup._first_shared(sig[at], sig[at], 10, p, True)
+            got = {(at[a], at[b]) for a, b in zip(r, c)}
+            assert got == {(i, j) for i, j in combinations(at, 2) if seen[i, j] == p and (sig[i] == sig[j]).sum() >= 10}
+
+
 def test_groups(spark):
     rows = corpus(60, 3) + [("z1", "a b c d e f", "x"), ("z2", "a b c d e f", "x")]
     df = spark.createDataFrame(rows, "k string, t string, g string")
