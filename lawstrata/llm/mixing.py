@@ -76,16 +76,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         j, n, seed = (np.asarray(batch.column(c), np.int64) for c in ("slot", "n_blocks", "seed"))
         lap, pos = j // n, j % n
         block = permuted(pos, n, scramble(seed.view(np.uint64) + lap.astype(np.uint64)) >> np.uint64(8)) if len(j) else j
-        yield pa.RecordBatch.from_arrays([batch.column("mix_name"), batch.column("source"), batch.column("shard"), pa.array(block, pa.int64())], names=["mix_name", "source", "shard", "block"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("mix_name", "source", "shard", "slot")), pa.array(block, pa.int64())], names=["mix_name", "source", "shard", "slot", "block"])
 
 
-def mix_sources(df: DataFrame, id_col: str, text: Column, source: Column, targets: DataFrame, path: str = VOCABULARY, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(chosen, shares).
+def mix_sources(df: DataFrame, id_col: str, text: Column, source: Column, targets: DataFrame, path: str = VOCABULARY, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chosen, shares, blocks).
 
     chosen: mix_name, source, id, tokens, repeats, tokens_used - each document that some block of the
     mix takes tokens from; ``repeats`` is how often the most used of its tokens is taken, never more
     than the source's cap. shares: mix_name, source, target_share, actual_share, tokens_used,
-    tokens_available, max_repeats - one row for each source that a mix names.
+    tokens_available, max_repeats - one row for each source that a mix names. blocks: mix_name, shard,
+    place, source, block - the blocks in the order of the output, shard by shard, sources mixed within it.
 
     * A mix is as large as its capped sources allow; if none is capped, as large as its sources together.
       Weights are taken relative to the sources that have tokens, a positive weight and a cap of at
@@ -147,7 +148,10 @@ def mix_sources(df: DataFrame, id_col: str, text: Column, source: Column, target
     slots = drawn.union(short.where("cnt > 0")).withColumn("end", ends).join(F.broadcast(laws), ["mix_name", "source"])
     slots = slots.select("mix_name", "source", "shard", "n_blocks", "seed", "goal", F.explode(F.sequence(F.col("end") - F.col("cnt"), F.col("end") - 1)).alias("slot"))
     slots = slots.where("slot < goal").drop("goal").select("mix_name", "source", "shard", "slot", "n_blocks", "seed")
-    used = slots.mapInArrow(_blocks, "mix_name string, source string, shard bigint, block bigint").groupBy("mix_name", "source", "block").agg(F.count("*").alias("uses"))
+    slots = slots.mapInArrow(_blocks, "mix_name string, source string, shard bigint, slot bigint, block bigint")
+    used = slots.groupBy("mix_name", "source", "block").agg(F.count("*").alias("uses"))
+    mixed = F.row_number().over(Window.partitionBy("mix_name", "shard").orderBy(F.xxhash64("source", "slot", F.lit(seed)), "source", "slot"))  # a shard has no more than SLOTS, the last one what settles the shares
+    blocks = slots.select("mix_name", "shard", (mixed - 1).alias("place"), "source", "block")
     hits = used.join(spans, ["source", "block"])
     chosen = hits.groupBy("mix_name", "source", "id", "start").agg(F.max("tokens").alias("tokens"), F.max("uses").alias("repeats"), F.sum(F.col("uses") * F.col("part")).alias("tokens_used")).drop("start")
     chosen = scratch.cut(chosen, "chosen")
@@ -159,4 +163,4 @@ def mix_sources(df: DataFrame, id_col: str, text: Column, source: Column, target
         F.round(F.coalesce(F.try_divide(F.coalesce("tokens_used", F.lit(0)), F.sum("tokens_used").over(by)), F.lit(0.0)), 6).alias("actual_share"),
         F.coalesce("tokens_used", F.lit(0)).cast("bigint").alias("tokens_used"), F.coalesce("tokens_available", F.lit(0)).cast("bigint").alias("tokens_available"), "max_repeats",
     )
-    return chosen, shares
+    return chosen, shares, blocks

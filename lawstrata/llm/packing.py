@@ -2,9 +2,9 @@
 
 Texts are measured in tokens and placed in three dimensions by a random projection of their hashed
 token vectors. A Hilbert curve through that space gives each text a key; texts are range-sorted by
-key, and every range is packed in windows of neighbours along the curve. In a window, the largest
-item goes first, each into the container with the least space that still holds it; containers with
-much space left pass their items on to the next window.
+key, and every range is packed in windows of neighbours along the curve, small ones, so that a container
+holds texts that are alike. In a window, the largest item goes first, each into the container with the
+least space that still holds it; containers with much space left pass their items on to the next window.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from lawstrata.llm.tokens import DIMS, VOCABULARY, measured
 from lawstrata.session import Scratch
 
 BITS = 10
-WINDOW, CARRY = 4096, 2048
+#: Items that are packed together, and items that wait for the next window, at most.
+WINDOW, CARRY = 512, 256
 PER_RANGE = 16_000
 FULL = 0.97
 
@@ -122,12 +123,14 @@ def _packed(capacities: list[tuple[str, int]], id_type: pa.DataType):
 
         def batch_of(kind: str, rows: list[tuple]) -> pa.RecordBatch:
             item, piece, pieces, size, at = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), pa.array(item, id_type), pa.array(piece, pa.int32()), pa.array(pieces, pa.int32()), pa.array(size, pa.int64()), pa.array(at, pa.int64())], names=["bin_kind", "id", "piece", "n_pieces", "tokens", "bin_id"])
+            ids, curve = zip(*item, strict=True)
+            cols = [pa.array(c, t) for c, t in ((ids, id_type), (piece, pa.int32()), (pieces, pa.int32()), (size, pa.int64()), (at, pa.int64()), (curve, pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.string()), *cols], names=["bin_kind", "id", "piece", "n_pieces", "tokens", "bin_id", "curve"])
 
         for batch in batches:
-            ids, sizes = batch.column("id").to_pylist(), batch.column("tokens").to_pylist()
+            ids, sizes, curve = (batch.column(c).to_pylist() for c in ("id", "tokens", "curve"))
             for kind, packer in packers:
-                rows = [r for i, n in zip(ids, sizes, strict=True) for r in packer.put(i, n)]
+                rows = [r for i, n, c in zip(ids, sizes, curve, strict=True) for r in packer.put((i, c), n)]
                 if rows:
                     yield batch_of(kind, rows)
         for kind, packer in packers:
@@ -139,14 +142,14 @@ def _packed(capacities: list[tuple[str, int]], id_type: pa.DataType):
 
 
 def pack_texts(df: DataFrame, id_col: str, text: Column, capacities: DataFrame, path: str = VOCABULARY, per_range: int = PER_RANGE) -> DataFrame:
-    """(bin_kind, id, piece, n_pieces, tokens, bin_id): the container of every text, for each capacity.
+    """(bin_kind, id, piece, n_pieces, tokens, bin_id, curve): the container of every text, for each capacity.
 
     * Sizes are tokens of the whole text. A text larger than the capacity is cut into pieces: all but
       the last fill a container each, the last is an item like any other; no other text is cut.
     * Null and empty texts have size 0 and share a container with others. Repeated rows are items of
       their own. Null ids are kept.
     * ``capacities``: bin_kind, capacity_tokens, at most 1,000 rows; null ones and those below 1 are left out.
-    * Containers are numbered within a kind; an empty table gives no rows.
+    * Containers are numbered within a kind; ``curve`` is a text's place along the curve. An empty table gives no rows.
     """
     spark = df.sparkSession
     kinds = [(r[0], r[1]) for r in capacities.select("bin_kind", "capacity_tokens").where("capacity_tokens >= 1").distinct().orderBy("bin_kind", "capacity_tokens").limit(1001).collect()]
@@ -162,12 +165,25 @@ def pack_texts(df: DataFrame, id_col: str, text: Column, capacities: DataFrame,
     line = keyed.repartitionByRange(ranges, "curve", "id").sortWithinPartitions("curve", "id")
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return line.mapInArrow(_packed(kinds, to_arrow_type(sized.schema["id"].dataType)), f"bin_kind string, id {kind}, piece int, n_pieces int, tokens bigint, bin_id bigint")
+    return line.mapInArrow(_packed(kinds, to_arrow_type(sized.schema["id"].dataType)), f"bin_kind string, id {kind}, piece int, n_pieces int, tokens bigint, bin_id bigint, curve bigint")
 
 
 def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
-    """Per kind: containers, tokens, pieces, share of the containers' space that is filled."""
-    bins = packed.groupBy("bin_kind", "bin_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("k"))
-    per = bins.groupBy("bin_kind").agg(F.count("*").alias("n_bins"), F.sum("t").alias("n_tokens"), F.sum("k").alias("n_pieces"), F.max("t").alias("fullest"))
+    """Per kind: containers, tokens, pieces, share of the containers' space that is filled, and how far apart the texts
+    of a container lie: the mean stretch of the curve, of all of it, that a container of several texts spans."""
+    bins = packed.groupBy("bin_kind", "bin_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("k"), (F.max("curve") - F.min("curve")).alias("span"))
+    span = F.avg(F.when(F.col("k") > 1, F.col("span"))) / F.lit(float(1 << (BITS * DIMS)))
+    per = bins.groupBy("bin_kind").agg(F.count("*").alias("n_bins"), F.sum("t").alias("n_tokens"), F.sum("k").alias("n_pieces"), F.max("t").alias("fullest"), F.round(span, 6).alias("span"))
     caps = capacities.groupBy("bin_kind").agg(F.max("capacity_tokens").alias("capacity_tokens"))
     return per.join(caps, "bin_kind").withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens")), 6))
+
+
+def validity_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
+    """Per kind: texts, containers beyond the capacity, texts that were cut though they fit, texts whose pieces are not all there, once each."""
+    caps = capacities.groupBy("bin_kind").agg(F.max("capacity_tokens").alias("capacity_tokens"))
+    over = packed.groupBy("bin_kind", "bin_id").agg(F.sum("tokens").alias("t")).join(F.broadcast(caps), "bin_kind")
+    over = over.groupBy("bin_kind").agg(F.sum((F.col("t") > F.col("capacity_tokens")).cast("int")).alias("n_overfull"))
+    texts = packed.groupBy("bin_kind", "id").agg(F.sum("tokens").alias("t"), F.max("n_pieces").alias("n"), F.count("*").alias("k"), F.countDistinct("piece").alias("d")).join(F.broadcast(caps), "bin_kind")
+    cut, gap = (F.col("n") > 1) & (F.col("t") <= F.col("capacity_tokens")), (F.col("k") != F.col("n")) | (F.col("d") != F.col("n"))
+    texts = texts.groupBy("bin_kind", "capacity_tokens").agg(F.count("*").alias("n_texts"), F.sum(cut.cast("int")).alias("n_cut"), F.sum(gap.cast("int")).alias("n_gaps"))
+    return texts.join(over, "bin_kind").select("bin_kind", "capacity_tokens", "n_texts", "n_overfull", "n_cut", "n_gaps")

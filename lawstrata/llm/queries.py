@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lawstrata.llm import sql
 from lawstrata.llm.knn import most_similar
 from lawstrata.llm.markup import clean_texts, find_notations
-from lawstrata.llm.mixing import mix_sources
+from lawstrata.llm.mixing import BLOCK, mix_sources
 from lawstrata.llm.neardup import near_duplicate_groups, near_duplicate_pairs
-from lawstrata.llm.packing import fill_report, pack_texts
+from lawstrata.llm.packing import fill_report, pack_texts, validity_report
 from lawstrata.llm.spam import judged_pages, page_curves, spam_pages
+from lawstrata.session import Scratch
 from lawstrata.sources.tables import table
 
 
@@ -75,18 +76,27 @@ def p7_bins(spark: SparkSession, folder: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return Scratch(spark, "packed").cut(p7_bins(spark, folder).withColumnRenamed("doc_id", "id"), "bins")
+
+
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """How full the containers are."""
-    return fill_report(p7_bins(spark, folder), table(spark, folder, "pack_capacity"))
+    """How full the containers are, and how alike the texts in them."""
+    return fill_report(_packed(spark, folder), table(spark, folder, "pack_capacity"))
+
 
+def p7_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether every text is packed whole, once, and no container is overfull."""
+    return validity_report(_packed(spark, folder), table(spark, folder, "pack_capacity"))
 
-def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return mix_sources(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("source"), table(spark, folder, "mix_target"))
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of each mix, their repeats, and their source's actual share."""
-    chosen, shares = _mixed(spark, folder)
+    chosen, shares, _ = _mixed(spark, folder)
     return chosen.withColumnRenamed("id", "doc_id").join(shares.select("mix_name", "source", "target_share", "actual_share"), ["mix_name", "source"])
 
 
@@ -95,6 +105,26 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+def p8_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each mix as a sequence of blocks."""
+    return _mixed(spark, folder)[2]
+
+
+def p8_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each source of a mix that has tokens takes its share and no document is repeated beyond the cap.
+
+    A share may be off by two blocks and, as a source's last block may be short, by one for each pass through the source.
+    """
+    chosen, shares, _ = _mixed(spark, folder)
+    most = chosen.groupBy("mix_name", "source").agg(F.max("repeats").alias("most"))
+    usable = (F.col("tokens_available") > 0) & (F.col("target_share") > 0) & (F.coalesce("max_repeats", F.lit(1)) >= 1)
+    of = lambda c: F.sum(F.when(F.col("usable"), F.col(c))).over(Window.partitionBy("mix_name"))
+    s = shares.withColumn("usable", usable).withColumn("goal", F.col("target_share") / of("target_share")).withColumn("total", of("tokens_used")).join(most, ["mix_name", "source"], "left")
+    near = F.abs(F.col("tokens_used") - F.col("goal") * F.col("total")) <= (2 + F.ceil(F.col("tokens_used") / F.col("tokens_available"))) * BLOCK + 2e-6 * F.col("total")
+    right = F.when(F.col("usable"), near).otherwise(F.col("tokens_used") == 0)
+    return s.select("mix_name", "source", "usable", right.alias("share_right"), (F.coalesce("most", F.lit(0)) <= F.coalesce("max_repeats", F.lit(2**31 - 1))).alias("cap_kept"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that are mostly stuffed keywords, link lists, or product and tag lists."""
     return spam_pages(table(spark, folder, "documents"), "doc_id", F.col("text"), F.col("lang")).withColumnRenamed("id", "doc_id")
@@ -113,5 +143,5 @@ def p9_fits(spark: SparkSession, folder: str) -> DataFrame:
     return fits.select(F.col("id").alias("doc_id"), "part", "n_words", "prose", *values)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_clean, p5_found, p5_neighbours, p7_bins, p7_fill, p8_mix, p8_shares, p9_found, p9_curves, p9_fits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_clean, p5_found, p5_neighbours, p7_bins, p7_fill, p7_valid, p8_mix, p8_shares, p8_blocks, p8_valid, p9_found, p9_curves, p9_fits)}
 SQL = sql.SQL

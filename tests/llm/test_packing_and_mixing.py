@@ -82,7 +82,11 @@ def test_mixes(spark, hot):
     goal = [("m", "a", 3.0, 1), ("m", "b", 1.0, 2), ("m", "gone", 1.0, 1), ("m", "c", 0.0, 1), ("n", "c", 1.0, 4), ("n", "a", 2.0, 2), ("free", "a", 1.0, None), ("free", "b", 1.0, None), ("nothing", "gone", 1.0, 1), (None, "a", 1.0, 1)]
     df = spark.createDataFrame(rows, "i bigint, text string, src string").withColumn("block", F.lit(1)).withColumn("start", F.lit("x"))
     targets = spark.createDataFrame(goal, "mix_name string, source string, weight double, max_repeats int")
-    chosen, shares = mixing.mix_sources(df, "i", F.col("text"), F.col("src"), targets, block=64)
+    chosen, shares, blocks = mixing.mix_sources(df, "i", F.col("text"), F.col("src"), targets, block=64)
+    laid = {}
+    for r in blocks.collect():
+        laid.setdefault((r.mix_name, r.shard), []).append(r.place)
+    assert all(sorted(v) == list(range(len(v))) for v in laid.values()) and {m for m, _ in laid} == {r.mix_name for r in chosen.collect()}
     s = {(r.mix_name, r.source): r for r in shares.collect()}
     assert abs(s["m", "a"].actual_share - 0.75) < 0.02 and abs(s["m", "b"].actual_share - 0.25) < 0.02 and s["m", "gone"].tokens_used == s["m", "c"].tokens_used == 0
     assert abs(s["n", "a"].actual_share - 2 / 3) < 0.02 and abs(s["free", "a"].actual_share - 0.5) < 0.02
@@ -103,7 +107,24 @@ def test_mixes(spark, hot):
 def test_empty_mixes(spark):
     df = spark.createDataFrame([], "i bigint, text string, src string")
     targets = spark.createDataFrame([("m", "a", 1.0, 1)], "mix_name string, source string, weight double, max_repeats int")
-    chosen, shares = mixing.mix_sources(df, "i", F.col("text"), F.col("src"), targets)
+    chosen, shares, _ = mixing.mix_sources(df, "i", F.col("text"), F.col("src"), targets)
     assert chosen.count() == 0 and [r.tokens_used for r in shares.collect()] == [0]
-    chosen, shares = mixing.mix_sources(df, "i", F.col("text"), F.col("src"), targets.limit(0))
+    chosen, shares, _ = mixing.mix_sources(df, "i", F.col("text"), F.col("src"), targets.limit(0))
     assert chosen.count() == 0 == shares.count()
+
+
+def test_containers_hold_neighbours_of_the_curve(spark):
+    df = spark.createDataFrame(texts(3000, 4), "i bigint, text string")
+    caps = spark.createDataFrame([("a", 512)], CAPS)
+    packed = packing.pack_texts(df, "i", F.col("text"), caps)
+    place = {i: k for k, i in enumerate(r.id for r in packed.select("id", "curve").distinct().orderBy("curve", "id").collect())}
+    bins = defaultdict(list)
+    for r in packed.collect():
+        bins[r.bin_id].append(place[r.id])
+    spans = [max(v) - min(v) for v in bins.values() if len(v) > 1]
+    assert max(spans) <= 20 * packing.WINDOW and np.median(spans) <= 2 * packing.WINDOW
+    assert {tuple(r)[2:] for r in packing.validity_report(packed, caps).collect()} == {(3000, 0, 0, 0)}
+    one = packed.where("bin_id = 0").limit(1)
+    broken = packed.union(one.withColumn("tokens", F.lit(600).cast("bigint")).withColumn("piece", F.lit(0)))
+    (r,) = packing.validity_report(broken, caps).collect()
+    assert r.n_overfull == 1 and r.n_gaps == 1
