@@ -1,7 +1,9 @@
-"""Scalar text functions: Column in, Column out; all stay on the JVM."""
+"""Scalar text functions: Column in, Column out; all stay on the JVM, but for ``tidy_text`` which Arrow batches use."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,12 @@ def tidy(col: Column) -> Column:
     return F.regexp_replace(x, "\n{2,}", "\n")
 
 
+def tidy_text(text: str) -> str:
+    """``tidy`` of a string."""
+    x = re.sub(r"\[\[ANCHOR:[^\]]+\]\]\s*", "", text).strip()
+    return re.sub(r"\n{2,}", "\n", re.sub("[ \t\xa0]+", " ", x).strip())
+
+
 def embed_text(col: Column) -> Column:
     return drop_markers(col, "AMENDMENT")
 

@@ -184,10 +184,15 @@ def summary_parts(spark: SparkSession, folder: str) -> DataFrame:
     return chunker.summary_chunks(current_documents(spark, folder, "doc_id", "title", "summary_content"), 60).select("chunk_id", "chunk_type", "content", "content_embed")
 
 
+def _chunked(spark: SparkSession, folder: str) -> DataFrame:
+    docs = current_documents(spark, folder, "doc_id", "title", "metadata", "summary_content", "main_content", "amendments")
+    return chunker.chunk_documents(docs, LIMIT, 80, LEAST, starred=False)
+
+
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """All chunks of the documents, cut at small limits so that every path is taken."""
-    c = chunker.chunk_documents(current_documents(spark, folder, "doc_id", "title", "metadata", "summary_content", "main_content", "amendments"), LIMIT, 80, LEAST, starred=False)
-    return c.withColumn("anchors", F.array_join("anchors", ",")).withColumn("amends", F.array_join("amends", ","))
+    c = _chunked(spark, folder)
+    return c.withColumns({"anchors": F.array_join("anchors", ","), "amends": F.array_join("amends", ","), "metadata": F.size("metadata")}).drop("ord")
 
 
 def chunk_types(spark: SparkSession, folder: str) -> DataFrame:

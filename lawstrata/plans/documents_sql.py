@@ -177,3 +177,76 @@ SQL["html_round_trip"] = f"""WITH {DOCS} SELECT doc_id, {_TEXT("title")} AS titl
   md5(coalesce(array_to_string(list_transform(lienquan_hieuluc_list, lambda r: {_TEXT("r.number")} || '|' || coalesce(r.lawid, '') || '|' || {_TEXT("r.title")} || '|' || coalesce(r.href, '')), chr(10)), '')) AS related_md5,
   coalesce(len(list_filter(mucluc, lambda e: e.href LIKE '#_%')), 0)::INT AS n_anchors, false AS has_head
 FROM docs WHERE coalesce(metadata['Tình trạng'], '') <> 'Đã biết'"""
+
+# ---- all chunks, cut at 96 tokens (amendments at 80) -------------------------------------------
+
+_SEGMENTS_RAW = SEGMENTS.replace(f'{tidy("seg")} AS clean', f'{drop("seg", "ANCHOR")} AS raw, {tidy("seg")} AS clean').replace("AS seg_id, clean,", "AS seg_id, raw, clean,")
+POINT = "[a-zđ][)]"
+_NONE, _QUOTE = "[]::VARCHAR[]", '^[“"”]'
+_HEAD = "'Văn bản: ' || title || chr(10) || chr(10) || 'Thuộc: '"
+
+
+def _bins(name: str, source: str, keys: str, order: str, limit: str = "96") -> str:
+    """``source`` with its bin among the rows of its keys; the rows need ``n``."""
+    return f"""
+{name}_g AS (SELECT {keys}, list(r ORDER BY {order}) AS rs, {items(order)} AS ns FROM {source} r GROUP BY {keys}),
+{name}_b AS (SELECT rs, {packed("ns", limit)} AS bins FROM {name}_g),
+{name} AS (SELECT unnest(rs) AS r, unnest(bins) AS bin FROM {name}_b)"""
+
+
+def _merge(source: str, kind: str, keys: str, order: str, item: str, parent: str, text: str, sep: str, head: str) -> str:
+    content = f"string_agg(r.{text}, {sep} ORDER BY r.{order})"
+    return f"""SELECT arg_min(r.{item}, r.{order}) || CASE WHEN count(*) > 1 THEN '_gop' ELSE '' END AS chunk_id, '{kind}' AS chunk_type, r.doc_id AS doc_id, arg_min(r.{parent}, r.{order}) AS parent_chunk_id, {content} AS content,
+  {drop(f"any_value(r.{head}) || {content}", "AMENDMENT")} AS content_embed, list_sort(list_distinct(flatten(list(r.anchors)))) AS anchors, list_sort(list_distinct(flatten(list(r.amends)))) AS amends FROM {source} GROUP BY r.doc_id, {keys}, bin"""
+
+
+_CHUNKED = f"""WITH {_SEGMENTS_RAW},
+h AS (SELECT s4.*, {plain("title")} AS title, {fill("Phần")} AS part, {fill("Phần", "Chương")} AS chapter, {fill("Phần", "Chương", "Mục")} AS section FROM (SELECT s4.*, docs.title FROM s4 JOIN docs ON docs.doc_id = s4.doc_id) s4),
+w AS (SELECT *, n_tokens AS n, {_HEAD} AS head, sum(CASE WHEN kind IN ('Phần', 'Chương', 'Mục') OR (kind = 'Điều' AND n_tokens > 96) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS barrier FROM h),
+small AS (SELECT * FROM w WHERE kind = 'Điều' AND n <= 96),{_bins("a", "small", "doc_id, barrier", "pos")},
+large AS (SELECT *, {pieces("raw", CLAUSE)} AS ps FROM w WHERE kind = 'Điều' AND n > 96),
+c0 AS (SELECT doc_id, seg_id, anchors, head || {tidy("ps[1]")} || chr(10) || chr(10) AS head, i - 1 AS j, ps[i] AS raw FROM (SELECT *, unnest(range(2, len(ps) + 1)) AS i FROM large WHERE len(ps) > 1)),
+c1 AS (SELECT *, seg_id || '_k' || j AS item, {tidy("raw")} AS text, {ids("raw", "AMENDMENT")} AS amends FROM c0),
+c2 AS (SELECT *, {n_tokens("text")} AS n FROM c1),
+c3 AS (SELECT *, sum(CASE WHEN n > 96 THEN 1 ELSE 0 END) OVER (PARTITION BY seg_id ORDER BY j ROWS UNBOUNDED PRECEDING) AS fence FROM c2),
+clause AS (SELECT * FROM c3 WHERE n <= 96),{_bins("k", "clause", "doc_id, seg_id, fence", "j")},
+big AS (SELECT *, {pieces("raw", POINT)} AS ps FROM c3 WHERE n > 96),
+p0 AS (SELECT doc_id, seg_id, item AS own, anchors, head || CASE WHEN len(ps) > 1 THEN {tidy("ps[1]")} ELSE '' END || chr(10) || chr(10) AS head, i AS k, CASE WHEN len(ps) > 1 THEN ps[i + 2] ELSE ps[i + 1] END AS raw FROM (SELECT *, unnest(range(0, CASE WHEN len(ps) > 1 THEN len(ps) - 1 ELSE 1 END)) AS i FROM big)),
+p1 AS (SELECT *, own || '_d' || k AS item, {tidy("raw")} AS text, {ids("raw", "AMENDMENT")} AS amends FROM p0),
+p2 AS (SELECT *, {n_tokens("text")} AS n FROM p1),
+p3 AS (SELECT *, 2 * sum(CASE WHEN n > 96 THEN 1 ELSE 0 END) OVER (PARTITION BY own ORDER BY k ROWS UNBOUNDED PRECEDING) + CASE WHEN n > 96 THEN 0 ELSE 1 END AS fence FROM p2),{_bins("d", "p3", "doc_id, own, fence", "k")},
+q0 AS (SELECT doc_id, seg_id, section, anchors, 'Điều_Split' AS kind, '_part' AS suffix, raw FROM large WHERE len(ps) = 1 UNION ALL SELECT doc_id, seg_id, section, anchors, 'Preamble', '_p', raw FROM w WHERE kind = 'other'),
+q1 AS (SELECT * EXCLUDE (raw, ps), ps[i] AS part FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT *, string_split_regex(raw, '\\n\\n+') AS ps FROM q0))),
+q2 AS (SELECT *, {n_tokens(tidy("part"))} AS n FROM q1 WHERE {strip("part")} <> ''),{_bins("q", "q2", "doc_id, seg_id", "i")},
+q3 AS (SELECT r.doc_id AS doc_id, r.seg_id AS seg_id, bin, any_value(r.section) AS section, any_value(r.anchors) AS anchors, any_value(r.kind) AS kind, any_value(r.suffix) AS suffix, string_agg(r.part, chr(10) || chr(10) ORDER BY r.i) AS body FROM q GROUP BY r.doc_id, r.seg_id, bin),
+m0 AS (SELECT doc_id, i, a FROM (SELECT doc_id, amendments, unnest(range(1, len(amendments) + 1)) AS i, unnest(amendments) AS a FROM docs) WHERE a IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, a ORDER BY i) = 1),
+m1 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS nth, a.tip_id AS tip, {strip("coalesce(a.bm_title, '')")} AS bm_title, coalesce(a.amended_link, '') AS link,
+  {strip(f"regexp_replace({strip(f"regexp_replace({strip("coalesce(a.amended_content, '')")}, '{LEAD}', '')")}, '{_QUOTE}', '')")} AS body FROM m0),
+m2 AS (SELECT *, coalesce(tip, 'unknown_' || nth) AS tip_id, '**SỬA ĐỔI, BỔ SUNG**' || chr(10) || bm_title || chr(10) || chr(10) || '**Nội dung mới:**' || chr(10) AS first, '**SỬA ĐỔI, BỔ SUNG**' || chr(10) || bm_title || chr(10) || chr(10) || '**Nội dung mới (tiếp theo):**' || chr(10) AS later FROM m1),
+m3 AS (SELECT *, {n_tokens("first || body")} AS size, {n_tokens("first")} AS h1, {n_tokens("later")} AS h2 FROM m2),
+n0 AS (SELECT * EXCLUDE (ps), {strip("ps[i]")} AS part FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT *, {pieces("body", "(?:Chương|Điều|Mục|Khoản)" + chr(92) + "s")} AS ps FROM m3 WHERE size > 80)) ),
+n1 AS (SELECT *, {n_tokens("part")} AS n FROM n0 WHERE part <> ''),
+n_g AS (SELECT doc_id, nth, greatest(80 - h1, 0) AS r1, greatest(80 - h2, 0) AS r2, list(r ORDER BY i) AS rs, {items("i")} AS ns FROM n1 r GROUP BY doc_id, nth, h1, h2),
+n_b AS (SELECT rs, {packed("ns", "(CASE WHEN a.bin = 0 THEN r1 ELSE r2 END)")} AS bins FROM n_g),
+nn AS (SELECT unnest(rs) AS r, unnest(bins) AS bin FROM n_b),
+n2 AS (SELECT r.doc_id AS doc_id, r.nth AS nth, bin, any_value(r.tip_id) AS tip_id, any_value(r.bm_title) AS bm_title, any_value(r.link) AS link, any_value(CASE WHEN bin = 0 THEN r.first ELSE r.later END) || string_agg(r.part, chr(10) ORDER BY r.i) AS content FROM nn GROUP BY r.doc_id, r.nth, bin),
+sm AS ({SQL["summary_parts"].replace(f"WITH {DOCS},", "WITH").replace("> 60", "> 96").replace("<= 60", "<= 96").replace("60 - h", "96 - h").replace("'summary_' || doc_id AS chunk_id", "doc_id, 'summary_' || doc_id AS chunk_id").replace("SELECT 'summary_' || doc_id || '_part'", "SELECT doc_id, 'summary_' || doc_id || '_part'")}),
+body AS (
+SELECT seg_id AS chunk_id, kind AS chunk_type, doc_id, CASE kind WHEN 'Phần' THEN doc_id WHEN 'Chương' THEN part ELSE chapter END AS parent_chunk_id, clean AS content, NULL::VARCHAR AS content_embed, anchors, amends FROM w WHERE kind IN ('Phần', 'Chương', 'Mục')
+UNION ALL {_merge("a", "Điều", "r.barrier", "pos", "seg_id", "section", "clean", "chr(10) || chr(10)", "head")}
+UNION ALL SELECT seg_id, 'Điều', doc_id, section, {tidy("ps[1]")}, NULL, anchors, {ids("ps[1]", "AMENDMENT")} FROM large WHERE len(ps) > 1
+UNION ALL {_merge("k", "Khoản", "r.seg_id, r.fence", "j", "item", "seg_id", "text", "chr(10) || chr(10)", "head")}
+UNION ALL SELECT item, 'Khoản', doc_id, seg_id, CASE WHEN len(ps) > 1 THEN {tidy("ps[1]")} ELSE '' END, NULL, anchors, CASE WHEN len(ps) > 1 THEN {ids("ps[1]", "AMENDMENT")} ELSE {_NONE} END FROM big
+UNION ALL {_merge("d", "Điểm", "r.own, r.fence", "k", "item", "own", "text", "chr(10)", "head")}
+UNION ALL SELECT seg_id || suffix || (bin + 1), kind, doc_id, section, {tidy("body")}, NULL, anchors, {ids("body", "AMENDMENT")} FROM q3),
+amend AS (
+SELECT 'amend_' || doc_id || '_' || tip_id AS chunk_id, 'Amendment' AS chunk_type, doc_id, {strip("first || body")} AS content, tip_id, bm_title, link AS amended_link FROM m3 WHERE size <= 80
+UNION ALL SELECT 'amend_' || doc_id || '_' || tip_id || '_part_' || (bin + 1), 'Amendment_Split', doc_id, {strip("content")}, tip_id, bm_title, link FROM n2),
+chunked AS (
+SELECT 'meta_' || doc_id AS chunk_id, 'Document_Meta' AS chunk_type, doc_id, doc_id AS parent_chunk_id, {_CARD} || chr(10) AS content, {_CARD} || chr(10) AS content_embed, NULL::VARCHAR AS anchors, NULL::VARCHAR AS amends, NULL::VARCHAR AS tip_id, NULL::VARCHAR AS bm_title, NULL::VARCHAR AS amended_link FROM docs
+UNION ALL SELECT chunk_id, chunk_type, doc_id, doc_id, content, content_embed, NULL, NULL, NULL, NULL, NULL FROM sm
+UNION ALL SELECT chunk_id, chunk_type, doc_id, parent_chunk_id, content, content_embed, array_to_string(anchors, ','), array_to_string(amends, ','), NULL, NULL, NULL FROM body
+UNION ALL SELECT chunk_id, chunk_type, doc_id, NULL, content, NULL, NULL, NULL, tip_id, bm_title, amended_link FROM amend)
+"""
+SQL["chunks"] = f"{_CHUNKED} SELECT chunked.*, docs.source_url, {plain('docs.title')} AS title, cardinality(docs.metadata)::INT AS metadata FROM chunked JOIN docs ON docs.doc_id = chunked.doc_id"
+SQL["chunk_types"] = f"{_CHUNKED} SELECT chunk_type, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs FROM chunked GROUP BY chunk_type"
