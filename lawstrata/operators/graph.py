@@ -117,4 +117,5 @@ def entity_nodes(entities: DataFrame) -> DataFrame:
 
 def dispatch(targets: DataFrame, endpoints: int) -> DataFrame:
     """Each target's endpoint, spread evenly and the same on every run."""
-    return targets.withColumn("endpoint", F.pmod(F.xxhash64("chunk_id"), F.lit(endpoints)).cast("int")).repartition(endpoints, "endpoint")
+    number = F.conv(F.substring(F.md5("chunk_id"), 1, 8), 16, 10).cast("bigint")
+    return targets.withColumn("endpoint", F.pmod(number, F.lit(endpoints)).cast("int")).repartition(endpoints, "endpoint")

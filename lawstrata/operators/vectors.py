@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def latest(df: DataFrame, key: str, order: Column) -> DataFrame:
     return rows.select(key, *(F.col(f"r.`{n}`").alias(n) for n in names))
 
 
-def nearest(base: DataFrame, queries: DataFrame, id_col: str, vector_col: str, query_id: str, query_vector: str, k: int, block: int = 4096) -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, id_col: str, vector_col: str, query_id: str, query_vector: str, k: int, block_mb: int = 64) -> DataFrame:
     """(query id, id, cosine, rank): the k nearest of ``base`` for every query, exact.
 
     Queries go in blocks against all rows, block by block in a matrix product; each task keeps k per
@@ -76,8 +77,9 @@ def nearest(base: DataFrame, queries: DataFrame, id_col: str, vector_col: str, q
     """
     spark = base.sparkSession
     q = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("q is not null and size(v) > 0")
-    n = q.count()
-    parts = max(1, -(-n // block))
+    # a block of queries is as large as a task may hold, so that the base travels as seldom as can be
+    size = q.agg(F.sum(F.size("v") * 8).alias("b")).first()["b"] or 0
+    parts = max(1, -(-size // (block_mb << 20)))
     src = base.select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("x")).where("i is not null and size(x) > 0")
     q = q.withColumn("blk", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int"))
     # a block of queries meets each slice of the base in one task
@@ -92,40 +94,45 @@ def nearest(base: DataFrame, queries: DataFrame, id_col: str, vector_col: str, q
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("__i", id_col)
 
 
-def _nearest(k: int):
-    def matrix(rows: list) -> np.ndarray:
-        x = np.array(rows, np.float64)
-        norm = np.sqrt((x * x).sum(1, keepdims=True))
-        return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
+def _rows_of(column: pa.Array, dim: int, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, unit vectors) of the rows s to e with ``dim`` numbers; a vector that is all zero or holds a null becomes NaN."""
+    part = column.slice(s, e - s)
+    lens = np.asarray(pc.fill_null(pc.list_value_length(part), -1))
+    at = np.flatnonzero(lens == dim)
+    own = part if len(at) == len(part) else part.take(pa.array(at))
+    x = own.flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return at + s, np.divide(x, norm, out=np.full_like(x, np.nan, dtype=np.float64), where=norm > 0)
+
 
+def _nearest(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, keys, vecs, unit = None, [], [], None
+        cell, held, keys, unit = None, [], None, None
         for b in batches:
-            cells, sides = b.column("cell").to_pylist(), b.column("side").to_pylist()
-            names, rows = b.column("key").to_pylist(), b.column("vec").to_pylist()
-            s = 0
-            while s < len(cells):
-                e = s
-                while e < len(cells) and (cells[e], sides[e]) == (cells[s], sides[s]):
-                    e += 1
+            cells, sides, names, vecs = np.asarray(b.column("cell")), np.asarray(b.column("side")), b.column("key"), b.column("vec")
+            cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (sides[1:] != sides[:-1])) + 1).tolist(), len(cells)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if s == e:
+                    continue
                 if cells[s] != cell:
-                    cell, keys, vecs, unit = cells[s], [], [], None
+                    cell, held, keys, unit = cells[s], [], None, None
                 if sides[s] == 0:
-                    keys += names[s:e]
-                    vecs += rows[s:e]
-                elif keys:
-                    if unit is None:
-                        dim = max({len(v) for v in vecs}, key=[len(v) for v in vecs].count)
-                        own = [n for n, v in enumerate(vecs) if len(v) == dim and None not in v]
-                        keys, unit = [keys[n] for n in own], matrix([vecs[n] for n in own])
-                    fit = [n for n in range(s, e) if len(rows[n]) == unit.shape[1] and None not in rows[n]]
-                    if fit and len(keys):
-                        c = unit @ matrix([rows[n] for n in fit]).T
-                        c[np.isnan(c)] = -np.inf
-                        m = min(k, c.shape[1])
-                        kth = -np.partition(-c, m - 1, axis=1)[:, m - 1 : m]
-                        r, j = np.nonzero((c >= kth) & np.isfinite(c))  # ties at the k-th place are kept
-                        yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in r], pa.string()), pa.array([names[fit[x]] for x in j], pa.string()), pa.array(c[r, j])], names=["q", "i", "cosine"])
-                s = e
+                    held.append((names.slice(s, e - s), vecs.slice(s, e - s)))
+                    continue
+                if unit is None and held:
+                    queries, own = (pa.chunked_array([h[n] for h in held]).combine_chunks() for n in (0, 1))
+                    lens, times = np.unique(np.asarray(pc.fill_null(pc.list_value_length(own), -1)), return_counts=True)
+                    at, unit = _rows_of(own, int(lens[times.argmax()]), 0, len(own))
+                    keys, held = queries.take(pa.array(at)), []
+                if unit is None or not len(unit):
+                    continue
+                at, x = _rows_of(vecs, unit.shape[1], s, e)
+                for q in range(0, len(unit) if len(at) else 0, 1024):
+                    c = unit[q : q + 1024] @ x.T
+                    c[np.isnan(c)] = -np.inf
+                    m = min(k, c.shape[1])
+                    kth = -np.partition(-c, m - 1, axis=1)[:, m - 1 : m]
+                    r, j = np.nonzero((c >= kth) & np.isfinite(c))  # ties at the k-th place are kept
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(q + r)), names.take(pa.array(at[j])), pa.array(c[r, j])], names=["q", "i", "cosine"])
 
     return run

@@ -342,11 +342,30 @@ def hit_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def question_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers to the questions whose id is divisible by 20, from the whole index of embeddable chunks."""
+    """Answers to the questions whose id is divisible by 20, from the whole index of embeddable chunks.
+
+    Each question is expanded to four queries; the lines of its document stand in for a model's reply.
+    """
     p = vectors.points(current_chunks(spark, folder, "chunk_type", "content", "content_embed", "title"), EMBED_DIM).select("point_id", "vector", "payload.content", "payload.title")
     p = Scratch(spark, "points").cut(p, "points")
     q = _questions(spark, folder).where("question_id % 20 = 0")
-    return retrieval.answer_questions(q.select("question_id", "question"), p, F.lit(None).cast("string"), EMBED_DIM)
+    return retrieval.answer_questions(q, p, F.col("reply"), EMBED_DIM)
+
+
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents to chunks to graph and index in one go: how many nodes, edges and points of each kind come of them."""
+    c = Scratch(spark, "pipeline").cut(_chunked(spark, folder), "chunks")
+    docs = graph.document_nodes(c)
+    edges = graph.structure_edges(c).union(graph.amendment_edges(c)).union(graph.amended_documents(c, docs))
+    counted = lambda df, kind: df.select(kind.alias("kind"))
+    parts = [
+        counted(docs.where("title is not null and source_url is not null"), F.lit("Document")), counted(graph.chunk_nodes(c), F.concat(F.lit("Chunk "), F.col("chunk_type"))),
+        counted(edges, F.col("rel")), counted(vectors.embeddable(c), F.lit("point")), counted(graph.entity_targets(c), F.lit("entity target")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -355,6 +374,6 @@ QUERIES = {
         doc_ids, point_ids, token_counts, text_clean_up, text_splits, clauses, new_wordings, metadata_cards, toc_links, metadata_entries, related_documents, html_round_trip,
         pending_pages, listing_pages, all_sources, distinct_amendments, segments, hierarchy_fill, pack_articles, pack_lines, summary_parts, chunks, chunk_types, json_round_trip,
         embed_filter, embedded_points, knn_top6, knn_dedup, upsert_latest, latest_events, streamed_upsert, document_nodes, chunk_nodes, amendment_edges, amended_documents,
-        structure_edges, entity_targets, entity_mentions, penalties, mention_counts, dispatched, query_expansion, rerank_top4, context_blocks, hit_report, question_answers,
+        structure_edges, entity_targets, entity_mentions, penalties, mention_counts, dispatched, query_expansion, rerank_top4, context_blocks, hit_report, question_answers, pipeline,
     )
 }

@@ -250,3 +250,18 @@ UNION ALL SELECT chunk_id, chunk_type, doc_id, NULL, content, NULL, NULL, NULL,
 """
 SQL["chunks"] = f"{_CHUNKED} SELECT chunked.*, docs.source_url, {plain('docs.title')} AS title, cardinality(docs.metadata)::INT AS metadata FROM chunked JOIN docs ON docs.doc_id = chunked.doc_id"
 SQL["chunk_types"] = f"{_CHUNKED} SELECT chunk_type, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs FROM chunked GROUP BY chunk_type"
+_BUILT = f"{_CHUNKED}, cur AS (SELECT * REPLACE (string_split(amends, ',') AS amends) FROM chunked)"
+_OF = lambda query: query.split(f"WITH {CHUNKS}", 1)[1].lstrip(", ")
+_LINKED = r"SELECT DISTINCT c.chunk_id, d.doc_id FROM cur c JOIN docs d ON d.source_url = regexp_replace(c.amended_link, '[?#](.|\n)*$', '') WHERE c.chunk_type IN ('Amendment', 'Amendment_Split')"
+SQL["pipeline"] = f"""{_BUILT}, parents AS (SELECT DISTINCT parent_chunk_id AS p FROM cur WHERE parent_chunk_id IS NOT NULL AND parent_chunk_id <> ''),
+parts AS (
+SELECT 'Document' AS kind FROM docs WHERE title IS NOT NULL AND source_url IS NOT NULL
+UNION ALL SELECT 'Chunk ' || chunk_type FROM cur
+UNION ALL SELECT rel FROM (WITH {_OF(SQL["structure_edges"])})
+UNION ALL SELECT rel FROM (WITH {_OF(SQL["amendment_edges"])})
+UNION ALL SELECT 'AMENDS_DOCUMENT' FROM ({_LINKED})
+UNION ALL SELECT 'point' FROM cur WHERE chunk_type IN {AMENDED} OR length(content_embed) > 0
+UNION ALL SELECT 'entity target' FROM (SELECT DISTINCT chunk_id, content FROM cur WHERE chunk_type IN {AMENDED} UNION ALL SELECT DISTINCT chunk_id, coalesce(content_embed, content) FROM cur WHERE chunk_type NOT IN {AMENDED} AND chunk_type NOT IN {NO_ENTITY} AND chunk_id NOT IN (SELECT p FROM parents)))
+SELECT kind, count(*) AS n FROM parts GROUP BY kind"""
+SQL["dispatched"] = f"WITH {TARGETS} SELECT (('0x' || substr(md5(chunk_id), 1, 8))::BIGINT % 2)::INT AS endpoint, count(*) AS n_targets FROM targets GROUP BY ALL"
+SQL["embedded_points"] = f"WITH {CHUNKS}, t AS (SELECT chunk_id, chunk_type, CASE WHEN chunk_type IN {AMENDED} THEN content ELSE content_embed END AS x FROM cur WHERE chunk_type IN {AMENDED} OR length(content_embed) > 0) SELECT {point_key('chunk_id')} AS point_id, chunk_type, 64 AS dim, CASE WHEN {n_tokens('x')} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM t"

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lawstrata.sources.sinks import upserted
+from lawstrata.sources.sinks import merge_buckets, read_buckets
 
 
 def stream_table(spark: SparkSession, folder: str, like: DataFrame, files_per_batch: int = 16, glob: str | None = None) -> DataFrame:
@@ -19,38 +18,19 @@ def stream_table(spark: SparkSession, folder: str, like: DataFrame, files_per_ba
 
 
 def upsert_stream(stream: DataFrame, target: str, key: str, order: Column, checkpoint: str) -> StreamingQuery:
-    """Keeps the last write of each key in versions of a Parquet table below ``target``.
+    """Keeps the last write of each key in a table of buckets below ``target``, which ``read_upserted`` reads.
 
-    Each batch writes a new version from the one before it, so that a batch that is run again after a
-    failure gives the same table. ``read_upserted`` reads the newest.
+    Each batch rewrites only the buckets that its keys fall into, as a version of its own number, so that a
+    batch that is run again after a failure gives the same table. Versions older than the last two of a
+    bucket are removed.
     """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = _newest(spark, target, number)
-        out = upserted(spark.read.parquet(before), batch, key, order) if before else upserted(batch.limit(0), batch, key, order)
-        out.write.mode("overwrite").parquet(f"{target}/v={number:09d}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _newest(spark: SparkSession, target: str, below: int | None = None) -> str | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    names = [n for n in names if n.startswith("v=") and (below is None or int(n[2:]) < below)]
-    return f"{target}/{names[-1]}" if names else None
+    return stream.writeStream.foreachBatch(lambda batch, number: merge_buckets(batch, target, [key], order, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_upserted(spark: SparkSession, target: str) -> DataFrame | None:
-    path = _newest(spark, target)
-    return spark.read.parquet(path) if path else None
+    return read_buckets(spark, target)
 
 
 def windowed_counts(stream: DataFrame, time: str, by: str, window: str, late: str) -> DataFrame:
     """Rows and their sum per window and kind, on event time; rows later than ``late`` are left out."""
     return stream.withWatermark(time, late).groupBy(F.window(time, window), by).agg(F.count("*").alias("n_rows")).select(F.col("window.start").alias("window_start"), by, "n_rows")
-
-

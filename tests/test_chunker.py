@@ -223,3 +223,52 @@ def test_greedy_bins(spark):
     df = spark.createDataFrame(data, "k string, o int, n int").withColumn("bin", F.lit(9)).withColumn("extra", F.create_map(F.lit("x"), F.lit(1)))
     got = {(r.k, r.o): r.bin for r in greedy_bins(df, ["k"], "o", F.col("n"), 7).collect()}
     assert [got["a", i] for i in range(8)] == [0, 0, 1, 2, 3, 3, 3, 3] and got["b", 0] == got[None, 1] == 0
+
+
+def count(x):
+    """A size by which joined texts are not the sum of their parts."""
+    return (len(x) + 6) // 7
+
+
+def remeasured(parts, limit, sep, first="", later="", shown=str):
+    out, held = [], ""
+    for part in parts:
+        joined = f"{held}{sep}{part}".strip() if held else part
+        if held and count(shown((later if out else first) + joined)) > limit:
+            out.append(held)
+            joined = part
+        held = joined
+    return [*out, held] if held else out
+
+
+def test_packing_by_measuring_the_joined_text(spark):
+    rng = random.Random(4)
+    docs, want = [], {}
+    for k in range(25):
+        paragraphs = [words(rng.randint(1, 12), rng.choice("abc")) for _ in range(rng.randint(1, 9))]
+        tips = [("t", "B", "\n".join(f"Khoản {i} {words(rng.randint(1, 9))}" for i in range(rng.randint(1, 9))), None)]
+        docs.append(doc("\n\n".join(paragraphs), summary="\n\n".join(paragraphs[::-1]), amendments=tips, key=f"d{k}"))
+        if count(squeeze(docs[-1][4])) >= 5:
+            want |= {f"d{k}_seg_0_p{n}": squeeze(x) for n, x in enumerate(remeasured(paragraphs, 40, "\n\n", shown=squeeze), 1)}
+        head = f"{t.SUMMARY_HEAD}T\n\n"
+        if count(head + docs[-1][3]) > 40:
+            want |= {f"summary_d{k}_part{n}": x for n, x in enumerate(remeasured(paragraphs[::-1], 40, "\n\n", head, head), 1)}
+        first, later = (f"{t.AMENDMENT_HEAD}\nB\n\n{t.NEW_WORDING}{x}:**\n" for x in ("", t.CONTINUED))
+        body = tips[0][2]
+        if count(first + body) > 30:
+            want |= {f"amend_d{k}_t_part_{n}": (later if n > 1 else first) + x for n, x in enumerate(remeasured(body.split("\n"), 30, "\n", first, later), 1)}
+    got = run(spark, docs, limit=40, limit_amendment=30, least=5, count=lambda x: (len(x) + 6) // 7)
+    made = {k: r.content for k, r in got.items() if "_p" in k}
+    assert made == want and len(want) > 25
+
+
+def test_every_chunk_has_its_document(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([doc(random_body(rng), title="*T* k", summary=words(90), amendments=[(None, "B", "x", None)] * 2 + [(None, "C", "y", None)], key=f"d{k}") for k in range(6)], DOC).withColumn("source_url", F.concat(F.lit("u/"), "doc_id"))
+    rows = chunker.chunk_documents(docs, 30, 40, 5).collect()
+    assert all((r.title, r.source_url, r.metadata) == ("T k", f"u/{r.doc_id}", {"Người ký": "X"}) for r in rows)
+    for key in {r.doc_id for r in rows}:
+        own = sorted((r for r in rows if r.doc_id == key), key=lambda r: r.ord)
+        assert [r.ord for r in own] == list(range(len(own))) and own[0].chunk_type == "Document_Meta"
+        assert [r.chunk_id for r in own][-2:] == [f"amend_{key}_unknown_0", f"amend_{key}_unknown_1"]  # numbered once duplicates are gone
+        assert [r.chunk_type == "Summary_Split" or r.chunk_type == "Summary" for r in own].index(True) == 1

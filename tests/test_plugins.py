@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 
 from lawstrata.functions import plugins
 from lawstrata.operators import chunker
-from lawstrata.sources.sinks import merge_graph
+from lawstrata.sources import sinks
+from lawstrata.sources.sinks import merge_graph, read_buckets
 
 
 def test_replies_and_retries(spark):
@@ -42,5 +43,12 @@ def test_graph_sink(spark, tmp_path):
     edges = spark.createDataFrame([("1", "2"), ("1", "2")], "src string, dst string")
     for _ in range(2):
         merge_graph(nodes, edges, str(tmp_path), ["label", "key"], F.col("o"))
-        assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/nodes").collect())) == [("C", "1", "new", 2), ("C", "2", None, 1)]
-        assert spark.read.parquet(f"{tmp_path}/edges").count() == 1
+        assert sorted(map(tuple, read_buckets(spark, f"{tmp_path}/nodes").collect())) == [("C", "1", "new", 2), ("C", "2", None, 1)]
+        assert read_buckets(spark, f"{tmp_path}/edges").count() == 1
+    more = spark.createDataFrame([("C", "2", "set", 5), ("D", "3", "x", 1), ("D", None, "y", 1)], nodes.schema)
+    for _ in range(3):
+        merge_graph(more, edges.limit(0), str(tmp_path), ["label", "key"], F.col("o"))
+        got = read_buckets(spark, f"{tmp_path}/nodes").select("label", "key", "name", "o").collect()
+        assert sorted(map(tuple, got), key=repr) == [("C", "1", "new", 2), ("C", "2", "set", 5), ("D", "3", "x", 1), ("D", None, "y", 1)]
+        assert read_buckets(spark, f"{tmp_path}/edges").count() == 1
+    assert max(len(v) for v in sinks._versions(spark, f"{tmp_path}/nodes").values()) <= sinks.KEPT
