@@ -200,21 +200,21 @@ def _matches(prints: DataFrame, scratch: Scratch, least_equal: int) -> DataFrame
     two = shared.where("n = 2").select("a", "b")
     many = shared.where("n > 2").select("key", "n")
     cell = F.pmod("key", F.lit(CELLS))
-
-    def members(keys: DataFrame) -> DataFrame:
-        bitmap = keys.withColumn("c", cell).groupBy(F.shiftright("c", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("bits"))
-        rows = table.withColumn("c", cell).withColumn("word", F.shiftright("c", 6)).join(F.broadcast(bitmap), "word").where("shiftrightunsigned(bits, cast(c % 64 as int)) & 1 = 1")
-        return rows.select("key", "p", "cid").join(keys, "key")
-
-    lists = members(many.where(F.col("n") <= COMMON)).groupBy("key").agg(F.array_sort(F.collect_list("cid")).alias("m"))
+    bitmap = many.withColumn("c", cell).groupBy(F.shiftright("c", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("bits"))
+    members = table.withColumn("c", cell).withColumn("word", F.shiftright("c", 6)).join(F.broadcast(bitmap), "word").where("shiftrightunsigned(bits, cast(c % 64 as int)) & 1 = 1")
+    members = members.select("key", "p", "cid").join(many, "key")
+    hot = many.where(F.col("n") > COMMON)
+    heated = hot.limit(1).count() > 0
+    if heated:  # read by both branches
+        members = scratch.cut(members, "members")
+    lists = members.where(F.col("n") <= COMMON).groupBy("key").agg(F.array_sort(F.collect_list("cid")).alias("m"))
     each = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = two.union(lists.select(F.explode(each).alias("p")).select("p.a", "p.b")).distinct()
     side = lambda x: prints.select(F.col("cid").alias(x), F.col("sig").alias(f"s{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_close(least_equal), _schema(pairs, "a", "b"))
-    hot = many.where(F.col("n") > COMMON)
-    if not hot.limit(1).count():
+    if not heated:
         return near
-    rows = members(hot).join(prints.select("cid", "sig"), "cid")
+    rows = members.where(F.col("n") > COMMON).join(prints.select("cid", "sig"), "cid")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     work = hot.select(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)).alias("rows")).first()["rows"]
