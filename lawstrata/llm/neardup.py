@@ -122,13 +122,13 @@ def _schema(df: DataFrame, *names: str, **more: str) -> T.StructType:
 
 
 def _patterns() -> Column:
-    """The 50 keys of a fingerprint: for each segment, the ball of radius one as its masked patterns."""
+    """The 50 keys of a fingerprint: for each segment, the ball of radius one as its masked patterns; the low six bits number them."""
     keys = []
     for s in range(SEGMENTS):
         for m in range(WIDTH):
             first = 2 * WIDTH * s + 1
             rest = F.concat(F.substring("sig", first, 2 * m), F.substring("sig", first + 2 * m + 2, 2 * (WIDTH - 1 - m)))
-            keys.append(F.xxhash64(F.lit(s * WIDTH + m), "g", rest))
+            keys.append(F.shiftleft(F.xxhash64("g", rest), 6).bitwiseOR(F.lit(s * WIDTH + m)))
     return F.array(*keys)
 
 
@@ -193,16 +193,16 @@ def _hot(least_equal: int):
 
 def _matches(prints: DataFrame, scratch: Scratch, least_equal: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of classes that share a pattern and agree in at least ``least_equal`` symbols."""
-    table = prints.select("cid", F.posexplode(_patterns()).alias("p", "key"))
+    table = prints.select("cid", F.explode(_patterns()).alias("key"))
     # numbers only, so that the aggregate hashes and does not sort
     shared = table.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("a"), F.max("cid").alias("b"))
     shared = scratch.cut(shared.where("n > 1"), "shared")
     two = shared.where("n = 2").select("a", "b")
     many = shared.where("n > 2").select("key", "n")
-    cell = F.pmod("key", F.lit(CELLS))
+    cell = F.shiftright("key", 6).bitwiseAND(F.lit(CELLS - 1))
     bitmap = many.withColumn("c", cell).groupBy(F.shiftright("c", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("bits"))
     members = table.withColumn("c", cell).withColumn("word", F.shiftright("c", 6)).join(F.broadcast(bitmap), "word").where("shiftrightunsigned(bits, cast(c % 64 as int)) & 1 = 1")
-    members = members.select("key", "p", "cid").join(many, "key")
+    members = members.select("key", "cid").join(many, "key")
     hot = many.where(F.col("n") > COMMON)
     heated = hot.limit(1).count() > 0
     if heated:  # read by both branches
@@ -218,7 +218,7 @@ def _matches(prints: DataFrame, scratch: Scratch, least_equal: int) -> DataFrame
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     work = hot.select(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)).alias("rows")).first()["rows"]
-    rows = rows.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "p", "blk", "cid", "sig")
+    rows = rows.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), F.col("key").bitwiseAND(F.lit(63)).cast("int").alias("p"), "blk", "cid", "sig")
     line = rows.repartition(enough_partitions(prints.sparkSession, work, 20_000), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return near.union(line.mapInArrow(_hot(least_equal), _schema(pairs, "a", "b"))).distinct()
 
