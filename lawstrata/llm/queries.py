@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lawstrata.llm import sql
@@ -60,14 +60,22 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("point_a"), F.greatest("id", "neighbour").alias("point_b")).distinct()
 
 
+def _neighbours(spark: SparkSession, folder: str, asks: Column | None) -> DataFrame:
+    near = most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96, queries=asks)
+    return near.select(F.col("id").alias("point_id"), "neighbour", F.col("rank").alias("neighbour_rank"), F.round("cosine", 3).alias("cosine"))
+
+
 def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """The five most similar points, whatever their cosine, of every point whose id is divisible by 20, among all points.
+    """The five most similar points of every point, whatever their cosine."""
+    return _neighbours(spark, folder, None)
+
+
+def p5_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar among all points, whatever their cosine, of the points whose id is divisible by 20.
 
     An id counts by its first eight hexadecimal digits.
     """
-    asks = F.conv(F.substring("point_id", 1, 8), 16, 10).cast("bigint") % 20 == 0
-    near = most_similar(table(spark, folder, "vector_point"), "point_id", "vector", 5, "loaded_at", 96, queries=asks)
-    return near.select(F.col("id").alias("point_id"), "neighbour", F.col("rank").alias("neighbour_rank"), F.round("cosine", 3).alias("cosine"))
+    return _neighbours(spark, folder, F.conv(F.substring("point_id", 1, 8), 16, 10).cast("bigint") % 20 == 0)
 
 
 def p7_bins(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,5 +151,5 @@ def p9_fits(spark: SparkSession, folder: str) -> DataFrame:
     return fits.select(F.col("id").alias("doc_id"), "part", "n_words", "prose", *values)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_clean, p5_found, p5_neighbours, p7_bins, p7_fill, p7_valid, p8_mix, p8_shares, p8_blocks, p8_valid, p9_found, p9_curves, p9_fits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_clean, p5_found, p5_neighbours, p5_search, p7_bins, p7_fill, p7_valid, p8_mix, p8_shares, p8_blocks, p8_valid, p9_found, p9_curves, p9_fits)}
 SQL = sql.SQL

@@ -85,7 +85,7 @@ def test_bound_loses_no_pair():
         assert np.abs(y @ y.T - x @ x.T).max() < 1e-4 and (y[:, : dim // 2] ** 2).sum() >= (x[:, : dim // 2] ** 2).sum()
 
 
-def test_neighbours_as_registered(spark, tmp_path):
+def test_search_as_registered(spark, tmp_path):
     """Every vector whose id is divisible by 20 against all."""
     from lawstrata.llm.queries import QUERIES
 
@@ -93,7 +93,7 @@ def test_neighbours_as_registered(spark, tmp_path):
     at, _ = truth(x, 5)
     ids = [f"{i:08x}-0000-5000-8000-000000000000" for i in range(len(x))]
     spark.createDataFrame([(k, v.tolist(), 1) for k, v in zip(ids, x)], "point_id string, vector array<float>, loaded_at int").write.parquet(str(tmp_path / "vector_point.parquet"))
-    got = {(r.point_id, r.neighbour, r.neighbour_rank) for r in QUERIES["p5_neighbours"](spark, str(tmp_path)).collect()}
+    got = {(r.point_id, r.neighbour, r.neighbour_rank) for r in QUERIES["p5_search"](spark, str(tmp_path)).collect()}
     assert got == {(ids[i], ids[j], r) for i in range(0, 600, 20) for r, j in enumerate(at[i], 1)}
 
 
