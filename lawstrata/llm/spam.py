@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lawstrata.functions.text import norm_id
@@ -229,36 +229,37 @@ def page_curves(df: DataFrame, id_col: str, text: Column, lang: Column, scratch:
     return rank_curves(spectrum.repartition("id"))
 
 
-#: (value, quantile of the middle, quantile on the side of prose, 1 if the high side is extreme)
-SIDES = (("slope", 0.75, -1), ("residual", None, 1), ("divergence", 0.25, 1))
+#: By value, the quartile on the side of prose (None: the spread is that of both sides), and 1 if the high side is extreme.
+SIDES = {"slope": ("q75", -1), "residual": (None, 1), "divergence": ("q25", 1)}
 
 
-def _quantile(df: DataFrame, value: Column, q: float) -> DataFrame:
-    """(prose, q, n): a quantile of a value by prose, in steps of 1/STEP, and the weight; '*' stands for all. No group is gathered: steps are counted."""
-    steps = df.groupBy(F.col("prose"), F.round(value * STEP).cast("int").alias("s")).agg(F.sum("weight").alias("n"))
-    both = steps.select(F.explode(F.array("prose", F.lit("*"))).alias("prose"), "s", "n").groupBy("prose", "s").agg(F.sum("n").alias("n"))
-    by = Window.partitionBy("prose")
+def _quartiles(df: DataFrame, values: dict[str, Column]) -> dict[tuple[str, str], Row]:
+    """By (prose, value), the quartiles in steps of 1/STEP and the weight ``n``; '*' stands for all. No group is gathered: steps are counted."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.round(v * STEP).cast("int").alias("s")) for n, v in values.items()))
+    steps = df.select("prose", "weight", F.explode(pairs).alias("p")).select("prose", "weight", "p.name", "p.s").groupBy("prose", "name", "s").agg(F.sum("weight").alias("n"))
+    both = steps.select(F.explode(F.array("prose", F.lit("*"))).alias("prose"), "name", "s", "n").groupBy("prose", "name", "s").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy("prose", "name")
     upto = both.withColumn("upto", F.sum("n").over(by.orderBy("s"))).withColumn("all", F.sum("n").over(by))
-    return upto.where(F.col("upto") >= q * F.col("all") - 1e-6).groupBy("prose").agg((F.min("s") / STEP).alias("q"), F.first("all").alias("n"))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all") - 1e-6, F.col("s"))) / STEP
+    rows = upto.groupBy("prose", "name").agg(at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"), F.first("all").alias("n"))
+    return {(r["prose"], r["name"]): r for r in rows.collect()}  # a row for each language and value
 
 
 def typical(curves: DataFrame) -> dict[str, dict[str, tuple[float, float]]]:
     """By prose, the (middle, spread) of each value among the full passages, those of a page weighing one together; '*' is that of all."""
     full = curves.where(F.col("n_words") >= FULL)
+    found = _quartiles(full, {name: F.col(name) for name in SIDES})
+    off = F.lit(None).cast("double")
+    for (p, name), r in found.items():
+        if name == "residual":
+            off = F.when(F.col("prose") == p, F.abs(F.col(name) - r["q50"])).otherwise(off)
+    spread = _quartiles(full, {"off": off})  # by '*', around each language's own middle
     out: dict[str, dict[str, tuple[float, float]]] = {}
-    for name, side, _ in SIDES:
-        middle = {r["prose"]: (r["q"], r["n"]) for r in _quantile(full, F.col(name), 0.5).collect()}  # a row for each language
-        if side is None:
-            off = F.lit(None).cast("double")
-            for p, (m, _n) in middle.items():
-                off = F.when(F.col("prose") == p, F.abs(F.col(name) - m)).otherwise(off)
-            # by '*' this is the spread around each language's own middle
-            spread = {r["prose"]: 1.4826 * r["q"] for r in _quantile(full, off, 0.5).collect()}
-        else:
-            spread = {r["prose"]: abs(r["q"] - middle[r["prose"]][0]) / 0.6745 for r in _quantile(full, F.col(name), side).collect()}
-        for p, (m, n) in middle.items():
-            if round(n, 3) >= OWN_PROSE or p == "*":
-                out.setdefault(p, {})[name] = (m, max(spread[p], 1 / STEP))
+    for (p, name), r in found.items():
+        if round(r["n"], 3) >= OWN_PROSE or p == "*":
+            side = SIDES[name][0]
+            wide = abs(r[side] - r["q50"]) / 0.6745 if side else 1.4826 * spread[p, "off"]["q50"]
+            out.setdefault(p, {})[name] = (r["q50"], max(wide, 1 / STEP))
     return out
 
 
@@ -273,7 +274,7 @@ def judged_passages(df: DataFrame, id_col: str, text: Column, lang: Column) -> D
     means = typical(curves)
     size = F.sqrt(F.least(F.col("n_words"), F.lit(PASSAGE)) / F.lit(float(PASSAGE)))
     z = {}
-    for name, _, sign in SIDES:
+    for name, (_, sign) in SIDES.items():
         each = F.lit(0.0)
         for p in [*(x for x in means if x != "*"), *(["*"] if "*" in means else [])][::-1]:
             m, s = means[p][name]
