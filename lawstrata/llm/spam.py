@@ -104,23 +104,31 @@ class Prose:
         self.langs, self.rare, self.place = langs, rare, {x: k for k, x in enumerate(langs)}
         self.gain: list[dict[str, float]] = [{} for _ in langs]
         self.common: dict[str, list[tuple[int, float]]] = {}
+        self.shares: list[dict[str, float]] = [{} for _ in langs]  # of common words
+        self.most: dict[str, float] = {}  # in any of the languages
         for w, own in words.items():
             for k, p in own:
                 self.gain[k][w] = rare[k] + math.log2(p)
                 if p >= COMMON and w != "#":
                     self.common.setdefault(w, []).append((k, p))
+                    self.shares[k][w] = p
+                    self.most[w] = max(p, self.most.get(w, 0.0))
 
     def language(self, label: str, words: list[str]) -> int:
         """The prose a page is compared with: of the language it is labelled with, unless the common words of another fit
         twice as well; without a label, of the language that fits best; of a language without prose of its own, the shared one."""
-        fit = [0.0] * len(self.langs)
         distinct = set(words)
+        own = self.place.get(label, self.place.get(REST)) if label != REST else None
+        if own is not None:  # no language can fit better than the best share of each word
+            most = sum(map(self.most.get, distinct, repeat(0.0)))
+            if most <= LIKE * len(distinct) or most <= 2 * sum(map(self.shares[own].get, distinct, repeat(0.0))):
+                return own
+        fit = [0.0] * len(self.langs)
         for w in distinct & self.common.keys():
             for k, p in self.common[w]:
                 fit[k] += p
         named = [k for k, x in enumerate(self.langs) if x != REST] or [0]
         best = max(named, key=fit.__getitem__)
-        own = self.place.get(label, self.place.get(REST)) if label != REST else None
         if own is None:
             return best
         return best if fit[best] > 2 * fit[own] and fit[best] > LIKE * len(distinct) else own
