@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ INDEX_BLOCK, QUERY_BLOCK, PER_TASK = 131_072, 262_144, 30_000
 #: Index rows of a piece of work above which it is partitioned again, the sample it learns from, and the recall it asks for.
 AGAIN, AGAIN_SAMPLE, AGAIN_RECALL = 32_768, 8_192, 0.998
 GRAPH_K = 10
+#: Query and index rows that are compared at once: what comes of them stays in a core's cache. The product is divisible by 8.
+TILE = 512, 512
 
 
 @dataclass
@@ -202,10 +205,9 @@ def unpacked(column: pa.Array, dim: int) -> np.ndarray:
 
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, unit vectors) of the usable vectors: all numbers there and finite, not all zero."""
-    ok = np.array([v is not None for v in column.is_valid().to_pylist()], bool) & np.asarray(column.is_valid())
-    lens = np.array([x if x is not None else -1 for x in pa.compute.list_value_length(column).to_pylist()], np.int64) if len(column) else np.empty(0, np.int64)
-    at = np.flatnonzero(ok & (lens == dim))
-    flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    lens = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(lens == dim)
+    flat = (column if len(at) == len(column) else column.take(pa.array(at))).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat.reshape(len(at), dim)
     norm = np.sqrt((x * x).sum(1))
     good = np.isfinite(x).all(1) & (norm > 0) & np.isfinite(norm)
@@ -249,11 +251,32 @@ def _route(dim: int, router: Router | None):
             row, part = row[keep], part[keep]
             y = x if router is None or router.turn is None else x @ router.turn
             side = np.concatenate([np.where(ask, 1, 0), np.full(len(row), 2)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([best, part]), pa.int32()), pa.array(side, pa.int32()), pa.array(np.concatenate([v, v[row]]), pa.int64()), packed(np.concatenate([y, y[row]]))], names=["part", "side", "v", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([best, part]), pa.int32()), pa.array(side, pa.int32()), pa.array(np.concatenate([v, v[row]]), pa.int64()), packed(y).take(pa.array(np.concatenate([np.arange(len(y)), row])))], names=["part", "side", "v", "vec"])
 
     return run
 
 
+def reaching(q: np.ndarray, x: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of q, row of x) of all products of at least ``floor``, of which there should be few; for a row of q those of x ascend."""
+    product, hit = np.empty(TILE[0] * TILE[1], np.float32), np.zeros(TILE[0] * TILE[1], bool)
+    words = hit.view(np.uint64)
+    r, j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for u in range(0, len(x), TILE[1]):
+        xt = np.ascontiguousarray(x[u : u + TILE[1]].T)
+        for s in range(0, len(q), TILE[0]):
+            part = q[s : s + TILE[0]]
+            n = len(part) * xt.shape[1]
+            np.matmul(part, xt, out=product[:n].reshape(len(part), -1))
+            np.greater_equal(product[:n], np.float32(floor), out=hit[:n])
+            hit[n : n + 7] = False  # the rest of the last word
+            some = np.flatnonzero(words[: (n + 7) // 8])
+            if len(some):
+                row, col = np.divmod((some[:, None] * 8 + np.arange(8))[hit.reshape(-1, 8)[some]], xt.shape[1])
+                r.append(s + row)
+                j.append(u + col)
+    return np.concatenate(r), np.concatenate(j)
+
+
 def above(q: np.ndarray, x: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, row of x, cosine) of all pairs with at least ``floor``, which is above 0."""
     d = q.shape[1] // 2
@@ -263,10 +286,7 @@ def above(q: np.ndarray, x: np.ndarray, floor: float) -> tuple[np.ndarray, np.nd
         return r, j, c[r, j]
     # a cosine is at most that of the first numbers plus the product of the others' lengths
     bound = lambda y: np.concatenate([y[:, :d], np.sqrt((y[:, d:] ** 2).sum(1, keepdims=True))], 1)
-    qb, xb = bound(q), np.ascontiguousarray(bound(x).T)
-    step = max(64, (1 << 20) // max(1, len(x)))
-    at = [(s, *np.divmod(np.flatnonzero(qb[s : s + step] @ xb >= np.float32(floor - 1e-5)), len(x))) for s in range(0, len(q), step)]
-    r, j = np.concatenate([s + r for s, r, _ in at]), np.concatenate([j for _, _, j in at])
+    r, j = reaching(bound(q), bound(x), floor - 1e-5)
     c = np.empty(len(r), np.float32)
     for s in range(0, len(r), 1 << 18):
         c[s : s + (1 << 18)] = np.einsum("ij,ij->i", q[r[s : s + (1 << 18)]], x[j[s : s + (1 << 18)]])

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +87,24 @@ def test_bound_loses_no_pair():
         assert np.abs(y @ y.T - x @ x.T).max() < 1e-4 and (y[:, : dim // 2] ** 2).sum() >= (x[:, : dim // 2] ** 2).sum()
 
 
+def test_pairs_above_a_floor_are_found_in_the_cache():
+    """Tiles give the pairs of one multiplication, whatever the sizes, and hold little more than the hits."""
+    x = clustered(8000, 96).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for n, m in ((1, 1), (3, 7), (511, 513), (700, 8000)):
+        c = x[:n] @ x[-m:].T
+        r, j, val = knn.above(x[:n], x[-m:], 0.8)
+        o = np.lexsort((j, r))
+        sure, maybe = (set(zip(*np.nonzero(c >= f))) for f in (0.80001, 0.79999))
+        assert sure <= set(zip(r, j)) <= maybe and len(set(zip(r, j))) == len(r) and np.abs(c[r, j] - val).max(initial=0) < 1e-5
+        assert (r[o] == np.sort(r)).all() and (j[np.argsort(r, kind="stable")] == j[o]).all()  # equal cosines keep their order
+    tracemalloc.start()
+    knn.above(x[:700], x, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 << 20, peak
+
+
 def test_search_as_registered(spark, tmp_path):
     """Every vector whose id is divisible by 20 against all."""
     from lawstrata.llm.queries import QUERIES
